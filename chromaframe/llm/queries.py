@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, packing, secrets, urlfilter
+from . import content_sort, kdshard, packing, qgram, secrets, urlfilter
 from .common import table
 
+SHARDS = 24
 #: URL rules: verdict, host, path. Fixed values.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -34,6 +35,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = kdshard.kd_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urlfilter.url_host(F.col("url")).rlike(LISTED_HOSTS)).select(urlfilter.canonical_url(F.col("url")).alias("listed_url"))
@@ -45,6 +51,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = qgram.benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.min(F.struct("edits", "start", "end", "item_start")).alias("best")
+    return hits.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.item_start", "best.start", "best.end", "best.edits")
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = content_sort.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
@@ -52,8 +64,10 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_kd_sharding": op2_kd_sharding,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
+    "op6_decontamination": op6_decontamination,
     "op7_content_sort": op7_content_sort,
 }
 
