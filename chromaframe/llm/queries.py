@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, content_sort, kdshard, packing, qgram, secrets, toxicity, urlfilter
+from . import chosen_path, content_sort, kdshard, packing, qgram, secrets, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -62,6 +62,10 @@ def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), words=4, threshold=80)
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_content_sort": op7_content_sort,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chosen_path": op9_chosen_path,
     "op10_toxicity": op10_toxicity,
 }
