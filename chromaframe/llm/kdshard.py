@@ -17,7 +17,7 @@ from .common import materialise, text_of
 #: Bins of the histogram along a node's widest dimension, and of the tie order inside one bin.
 BINS = 1 << 14
 #: Tie order: so many bins by the text's hash, each of so many by the identifier's.
-TEXT_BINS, ID_BINS = 1 << 10, 1 << 4
+TEXT_BINS, ID_BINS = 1 << 10, 1 << 8
 #: Equal texts stay together if that moves a cut by no more than this share of a shard.
 TOGETHER = 0.005
 #: Rows that one task numbers in a row.

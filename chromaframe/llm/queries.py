@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, content_sort, kdshard, packing, qgram, secrets, suffix_dedup, toxicity, urlfilter
+from . import chosen_path, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -40,6 +40,13 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preferences.neighbouring_pairs(preferences.conversations(table(spark, sf_dir, "conversations")))
+    made = preferences.format_preferences(pairs)
+    masks = [preferences.mask_text(F.col(c)).alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return made.select("pair_id", "prompt_turns", "prompt", "chosen_text", "rejected_text", *masks, "usable")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(urlfilter.url_host(F.col("url")).rlike(LISTED_HOSTS)).select(urlfilter.canonical_url(F.col("url")).alias("listed_url"))
@@ -79,6 +86,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_kd_sharding": op2_kd_sharding,
+    "op3_preferences": op3_preferences,
     "op4_url_filter": op4_url_filter,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
@@ -98,6 +106,35 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = first_value(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
     """,
+    "op3_preferences": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, 'user') AS role, replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id
+        ), p AS (
+            SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(any_value(turns) FILTER (conv_id % 2 = 0), []) AS c, coalesce(any_value(turns) FILTER (conv_id % 2 = 1), []) AS r
+            FROM c GROUP BY 1
+        ), n AS (
+            SELECT *, CAST(coalesce(nullif(list_position(list_transform(range(1, least(len(c), len(r)) + 1), lambda i: c[i] = r[i]), false), 0) - 1, least(len(c), len(r))) AS INTEGER) AS prompt_turns FROM p
+        ), s AS (
+            SELECT pair_id, prompt_turns, c[1:prompt_turns] AS p, c[prompt_turns + 1:] AS c, r[prompt_turns + 1:] AS r FROM n
+        ), o AS (
+            SELECT pair_id, prompt_turns,
+                   array_to_string(list_transform(p, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS prompt,
+                   array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS chosen_text,
+                   array_to_string(list_transform(r, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), '') AS rejected_text,
+                   list_transform(range(1, len(c) + 1), lambda i: coalesce(list_sum(list_transform(c[1:i - 1], lambda x: length(x.role) + length(x.text) + 24)), 0)) AS ca,
+                   list_transform(range(1, len(r) + 1), lambda i: coalesce(list_sum(list_transform(r[1:i - 1], lambda x: length(x.role) + length(x.text) + 24)), 0)) AS ra, c, r
+            FROM s
+        ), m AS (
+            SELECT pair_id, prompt_turns, prompt, chosen_text, rejected_text,
+                   coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: CAST(CAST(ca[i] + 22 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(ca[i] + 32 + length(c[i].text) AS BIGINT) AS VARCHAR)), ','), '') AS chosen_mask,
+                   coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: CAST(CAST(ra[i] + 22 AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(ra[i] + 32 + length(r[i].text) AS BIGINT) AS VARCHAR)), ','), '') AS rejected_mask
+            FROM o
+        )
+        SELECT *, chosen_mask <> '' AND rejected_mask <> '' AS usable FROM m
+    """,
     "op4_url_filter": r"""
         WITH u AS (
             SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
