@@ -9,7 +9,7 @@ per node, so no node's rows meet in one task. DataFrame expressions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_of
@@ -23,7 +23,7 @@ TOGETHER = 0.005
 #: Rows that one task numbers in a row.
 SLOT_ROWS = 50_000
 #: Levels after which the lineage is cut.
-CUT_LEVELS = 6
+CUT_LEVELS = 2
 
 
 def default_dimensions(text: Column) -> dict[str, Column]:
@@ -36,6 +36,12 @@ def default_dimensions(text: Column) -> dict[str, Column]:
     }
 
 
+def _literal_rows(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A table of a few rows of numbers as part of the plan."""
+    values = ", ".join("(" + ", ".join(repr(v) + ("D" if isinstance(v, float) else "") for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def _cumulated(rows: DataFrame, node: str, by: str) -> DataFrame:
     """Adds before and upto, running sums of w by node; a node has a bounded number of bins."""
     w = Window.partitionBy(node).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,14 +60,14 @@ def _split(rows: DataFrame, dims: list[str], nodes: dict[int, int], shard_bytes:
         plan.append((r["node"], dims.index(widest), float(r[f"min_{widest}"]), float(r[f"max_{widest}"] - r[f"min_{widest}"]), float(r["w"]) * (k // 2) / k, k // 2))
     if not plan:
         return rows
-    cuts = spark.createDataFrame(plan, "node int, dim int, low double, width double, target double, half int")
+    cuts = _literal_rows(spark, plan, "node, dim, low, width, target, half")
     value = F.coalesce(*[F.when(F.col("dim") == i, F.col(d)) for i, d in enumerate(dims)])
     at = F.when(F.col("width") > 0, F.least(F.floor((value - F.col("low")) / F.col("width") * BINS), F.lit(BINS - 1))).otherwise(F.lit(0)).cast("int")
     dealt = rows.join(F.broadcast(cuts), "node", "left").withColumn("bin", at)  # cuts: one row per open node
 
     by_bin = _cumulated(dealt.where("dim is not null").groupBy("node", "bin", "target").agg(F.sum("size").alias("w")), "node", "bin")
     chosen = by_bin.where("upto >= target").groupBy("node").agg(F.min_by(F.struct("bin", "before"), "bin").alias("c")).select("node", F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("left_of_bin"))
-    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
+    chosen = _literal_rows(spark, [tuple(r) for r in chosen.collect()], "node, cut_bin, left_of_bin")
     inside = dealt.join(F.broadcast(chosen), "node").where("bin = cut_bin")
     by_tie = _cumulated(inside.groupBy("node", "tie", "target", "left_of_bin").agg(F.sum("size").alias("w")), "node", "tie")
     miss = lambda border: F.abs(F.col("left_of_bin") + F.col(border) - F.col("target"))
@@ -71,8 +77,8 @@ def _split(rows: DataFrame, dims: list[str], nodes: dict[int, int], shard_bytes:
     # A border between texts may lie inside an empty stretch of ties; by_tie's borders cover those that matter.
     together = F.col("whole").isNotNull() & (F.col("whole.miss") <= F.greatest(F.col("any.miss"), F.lit(TOGETHER * shard_bytes)))
     ties = ties.select("node", F.when(together, F.col("whole.tie")).otherwise(F.col("any.tie")).alias("cut_tie"))
-    found = chosen.join(ties, "node").collect()
-    cut = spark.createDataFrame(found, "node int, cut_bin int, left_of_bin long, cut_tie int")
+    found = [tuple(r) for r in chosen.join(ties, "node").select("node", "cut_bin", "cut_tie").collect()]
+    cut = _literal_rows(spark, found, "node, cut_bin, cut_tie")
     right = (F.col("bin") > F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("tie") >= F.col("cut_tie")))
     after = dealt.join(F.broadcast(cut), "node", "left").withColumn("node", F.when(F.coalesce(right, F.lit(False)), F.col("node") + F.col("half")).otherwise(F.col("node")))
     return after.select(*rows.columns)
