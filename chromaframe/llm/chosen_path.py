@@ -5,8 +5,8 @@ its minwise shingle; nodes that hold many documents branch again by further minw
 that only share a common line part, and similar ones stay together in at least one of the trees with the
 recall that is asked for. Small nodes are compared exhaustively. A node that stays large after the last
 level holds a dense group of near copies: its members are compared with the group's centres, and members
-that no centre's component takes in are compared with the whole node, in blocks. All links are confirmed on
-the full sets.
+that no centre's component takes in are compared with the whole group by their differences from the centre, in
+blocks that only links leave. All links are confirmed on the full sets.
 
 Equal sets are collapsed to one representative first, so exact copies cost one row of each node.
 """
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise, shuffle_partitions, text_of
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 80
@@ -35,7 +35,7 @@ BRANCHES, LEVELS = 2, 3
 SMALL = 8
 #: Centres of a dense group.
 CENTRES = 3
-#: Members that no centre took in, in one block against their node.
+#: Members of a dense group in one block on average.
 BLOCK = 256
 #: Pairs are confirmed only if their sketches agree in at least this share; at the threshold that misses one link in about a million.
 SKETCH_LEAST = 0.5
@@ -196,7 +196,7 @@ def _centres(dense: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """The pairs (a < b) whose sketches and set sizes allow a link."""
+    """The pairs (a, b) whose sketches and set sizes allow a link."""
     left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"), F.col("shingles").alias("na"))
     right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"), F.col("shingles").alias("nb"))
     agree = F.size(F.filter(F.arrays_zip("sa", "sb"), lambda z: z["sa"] == z["sb"]))
@@ -219,37 +219,105 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> D
     return met.where(100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _rest(dense: DataFrame, labels: DataFrame, reps: DataFrame, size: int) -> DataFrame | None:
-    """Pairs of those members of dense nodes that lie outside their node's main component with members of other
-    components whose sketches allow a link. Blocks of such members meet each member of their node once."""
-    named = materialise(dense.join(labels, F.col("rep") == F.col("node_"), "left").select("node", "rep", F.coalesce("component", "rep").alias("component")))
-    per = named.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = per.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    open_ = materialise(named.join(main, "node"))
+_DIFFERENCE = "centre long, rep long, component long, outside boolean, size int, shared int, bits binary, fresh array<long>"
+
+
+def _differences(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Each member of a dense group against its centre: which of the centre's shingles it lacks (as bits in
+    the centre's order), how many it shares, and the shingles that it has besides."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _DIFFERENCE.split(", ")]
+        for batch in batches:
+            sets, middles = batch.column("set"), batch.column("middle")
+            bits, fresh, shared = [], [], []
+            for k in range(batch.num_rows):
+                own, centre = sets[k].values.to_numpy(), middles[k].values.to_numpy()
+                has = np.isin(centre, own)
+                shared.append(int(has.sum()))
+                packed = np.packbits(~has)
+                bits.append(packed.tobytes() + b"\0" * (-len(packed) % 8))
+                fresh.append(own[~np.isin(own, centre)].view(np.uint64))
+            plain = [batch.column(c) for c in ("centre", "rep", "component", "outside")]
+            sizes = pc.list_value_length(sets).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([*plain, sizes, pa.array(shared, pa.int32()), pa.array(bits, pa.binary()), _lists(fresh)], names=names)
+
+    wanted = members.select(F.col("rep").alias("id")).unionAll(members.select(F.col("centre").alias("id"))).distinct()
+    sets = _set_table(docs, wanted, words).dropDuplicates(["id"])
+    salts = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
+    middles = sets.select(F.col("id").alias("centre"), F.col("set").alias("middle")).join(salts, "centre")
+    middles = middles.select("centre", "middle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    dealt = members.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
+    met = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").join(middles, ["centre", "salt"])
+    return met.select("centre", "rep", "component", "outside", "set", "middle").mapInArrow(look, _DIFFERENCE)
+
+
+class _Group:
+    """Some members of one dense group as arrays."""
+
+    def __init__(self, items: pa.StructArray) -> None:
+        self.rep, self.component = items.field("rep").to_numpy(), items.field("component").to_numpy()
+        self.size, self.shared = items.field("size").to_numpy().astype(np.int64), items.field("shared").to_numpy().astype(np.int64)
+        self.lacks = np.frombuffer(b"".join(items.field("bits").to_pylist()), np.uint64).reshape(len(self.rep), -1)
+        lists = items.field("fresh")
+        self.fresh, self.owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(self.rep)), pc.list_value_length(lists).to_numpy())
+
+
+def _linked(left: _Group, right: _Group, centre_size: int, threshold: int) -> Iterator[tuple[int, int]]:
+    """Exact links across components. Two members share what neither lacks of the centre, and their common fresh shingles."""
+    both_lack = np.empty((len(left.rep), len(right.rep)), np.int64)
+    for k in range(len(left.rep)):
+        both_lack[k] = np.bitwise_count(right.lacks & left.lacks[k]).sum(axis=1)
+    common = left.shared[:, None] + right.shared[None, :] - centre_size + both_lack
+    order = np.argsort(right.fresh, kind="stable")
+    sorted_ = right.fresh[order]
+    first, last = np.searchsorted(sorted_, left.fresh, "left"), np.searchsorted(sorted_, left.fresh, "right")
+    n = last - first
+    at = order[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+    np.add.at(common, (np.repeat(left.owner, n), right.owner[at]), 1)
+    union = left.size[:, None] + right.size[None, :] - common
+    found = (100 * common >= threshold * union) & (left.component[:, None] != right.component[None, :])
+    for i, j in zip(*np.nonzero(found), strict=True):
+        yield min(int(left.rep[i]), int(right.rep[j])), max(int(left.rep[i]), int(right.rep[j]))
+
+
+def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame | None:
+    """Exact links (a, b) of those members of dense groups that lie outside their group's main component.
+
+    Nodes with one centre are one group. Blocks of outside members meet chunks of the group's members, so rows grow
+    with the group's size and only links leave a task.
+    """
+    first = centres.groupBy("node").agg(F.min("centre").alias("centre"))
+    members = dense.join(first, "node").select("centre", "rep").distinct()
+    named = materialise(members.join(labels, F.col("rep") == F.col("node"), "left").select("centre", "rep", F.coalesce("component", "rep").alias("component")))
+    per = named.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = per.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    open_ = materialise(named.join(main, "centre").select("centre", "rep", "component", (F.col("component") != F.col("main")).alias("outside")))
     if not open_.limit(1).count():
         return None
-    outside = open_.where("component <> main").join(reps.select("rep", "sketch"), "rep")
-    block = Window.partitionBy("node").orderBy("rep")
-    outside = outside.withColumn("block", F.floor((F.row_number().over(block) - 1) / BLOCK))
-    blocks = outside.groupBy("node", "block").agg(F.collect_list(F.struct("rep", "component", "sketch")).alias("outside"))
-    met = open_.join(reps.select("rep", "sketch"), "rep").join(blocks, "node").select("rep", "component", "sketch", "outside")
+    apart = materialise(_differences(open_, docs, words))
+    item = F.collect_list(F.struct("rep", "component", "size", "shared", "bits", "fresh"))
+
+    def pieces(rows: DataFrame, name: str) -> DataFrame:
+        """Parts of BLOCK members on average."""
+        counts = rows.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
+        part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+        return rows.join(counts, "centre").withColumn(f"{name}_part", part).groupBy("centre", f"{name}_part").agg(item.alias(name))
+
+    middle = apart.where("rep = centre").select("centre", F.col("size").alias("centre_size"))
+    met = pieces(apart, "members").join(pieces(apart.where("outside"), "block"), "centre").join(middle, "centre")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in range(batch.num_rows):
-                part = batch.slice(row, 1)
-                rep, component = part.column("rep")[0].as_py(), part.column("component")[0].as_py()
-                own = part.column("sketch").flatten().to_numpy()
-                others = part.column("outside").flatten()
-                ids, groups = others.field("rep").to_numpy(), others.field("component").to_numpy()
-                agree = (others.field("sketch").flatten().to_numpy().reshape(len(ids), size) == own).sum(axis=1)
-                for other in ids[(agree >= math.ceil(SKETCH_LEAST * size)) & (groups != component)].tolist():
-                    found.append((min(rep, other), max(rep, other)))
+            found: set[tuple[int, int]] = set()
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                left, right = _Group(row.column("block").flatten()), _Group(row.column("members").flatten())
+                found.update(_linked(left, right, row.column("centre_size")[0].as_py(), threshold))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long")
+    return met.repartition(shuffle_partitions(docs.sparkSession), "centre", "members_part", "block_part").select("members", "block", "centre_size").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -273,14 +341,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small, dense = _leaves(known, n_trees)
     grouped = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # SMALL members at most
     pairs = grouped.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b")
-    centres = materialise(dense.join(_centres(dense, known), "node").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"), "centre"))
-    # The centre of a dense group goes first, as the hub of its pairs.
-    hub = centres.select(F.col("centre").alias("a"), F.when(F.col("a") == F.col("centre"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    centres = materialise(_centres(dense, known))
+    # The centre of a dense group is the hub of its pairs.
+    hub = dense.join(centres, "node").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     links = materialise(_confirm(_alike(pairs.unionAll(hub), known, size), texts, words, threshold))
     labels = connected_components(links)
-    more = _rest(dense, labels.withColumnRenamed("node", "node_"), known, size) if dense.limit(1).count() else None
+    more = _rest(dense, centres, labels, texts, words, threshold) if dense.limit(1).count() else None
     if more is not None:
-        more = materialise(_confirm(_alike(more, known, size), texts, words, threshold))
+        more = materialise(more.distinct())
         if more.limit(1).count():
             labels = connected_components(links.unionAll(more))
 
