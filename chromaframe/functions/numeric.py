@@ -23,7 +23,7 @@ def quantise(v: Column, fmt: str) -> Column:
 
 
 def next_power_of_two(v: Column) -> Column:
-    return F.when(v <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1), F.length(F.bin(v - 1)))).cast("long")
+    return F.when(v <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(v - 1)))).cast("long")
 
 
 def is_power_of_two(v: Column) -> Column:

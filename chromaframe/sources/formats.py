@@ -447,9 +447,12 @@ def decode_empty(data: bytes) -> list[Part]:
     w, h, n = (int(f) for f in fields[1:])
     names = []
     for _ in range(n):
-        (size,), at = _words(data, at - 1, 1)
-        names.append(data[at : at + int(size)].decode())
-        at += int(size) + 1
+        end = at
+        while data[end : end + 1].isdigit():
+            end += 1
+        size = int(data[at:end])
+        names.append(data[end : end + size].decode())
+        at = end + size
     if w * h <= 0 or not n:
         raise UnsupportedFormat("an image without pixels")
     return [("", names, np.zeros((h, w, n)))]
