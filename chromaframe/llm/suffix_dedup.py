@@ -30,7 +30,7 @@ Q = 32
 TASK_BUCKET = 4096
 
 _BASE = 0x2545F4914F6CDD1D
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 _powers: list[np.ndarray] = []
 _letters: list[np.ndarray] = []
 
@@ -96,14 +96,16 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-_ANCHOR = "at int, reach_back int, least_back int, bucket long, whole long, half_before long, half_after long"
+#: place packs the anchor's offset and its distances from the first and last window's start; halves packs 32 bits of two hashes.
+_ANCHOR = "place long, bucket long, whole long, halves long"
+_PLACE = (32, 16)
 
 
 def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
     """row, tag, text_key, n_bytes, and the anchors of each text.
 
     reach_back and least_back are the distances from the first and last window's start to the anchor;
-    whole, half_before and half_after are hashes of all its windows and of half a window on either side.
+    whole is a hash of all its windows, halves has those of half a window on either side, 0 where the text is shorter.
     """
     half = length // 2
 
@@ -118,13 +120,15 @@ def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
                 start, end = borders[doc], borders[doc + 1]
                 back, least = place - first, place - last
                 shape = (back * 4096 + least).astype(np.uint64)
+                some = np.uint64(1)  # a hash of 0 would look like a missing one
+                before = np.where(place - half >= start, hashes.of(np.maximum(place - half, 0), place) >> np.uint64(32) | some, 0)
+                after = np.where(place + half <= end, hashes.of(place, np.minimum(place + half, len(data))) >> np.uint64(32) | some, 0)
                 columns = [
-                    (place - start).astype(np.int32), back.astype(np.int32), least.astype(np.int32),
+                    (place - start) << _PLACE[0] | back << _PLACE[1] | least,
                     hashes.of(place, place + q).view(np.int64),
                     _mix(hashes.of(first, last + length) ^ shape).view(np.int64),
-                    np.where(place - half >= start, hashes.of(np.maximum(place - half, 0), place).view(np.int64), 0),
-                    np.where(place + half <= end, hashes.of(place, np.minimum(place + half, len(data))).view(np.int64), 0),
-                ]
+                    (before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)).view(np.int64),
+                ]
                 names = [f.split()[0] for f in _ANCHOR.split(", ")]
                 items = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
                 offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
@@ -241,14 +245,20 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tup
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n")
     members = every.join(shared, "bucket")
     count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("bucket", *by))
-    first = F.row_number().over(Window.partitionBy("bucket", "whole").orderBy("row", "at"))
+    first = F.row_number().over(Window.partitionBy("bucket", "whole").orderBy("row", "tag", "place"))
     members = members.withColumn("settled", count("whole") > 1).withColumn("first", first == 1)
-    before = (F.col("half_before") != 0) & (F.col("reach_back") >= half) & (count("half_before") > 1)
-    after = (F.col("half_after") != 0) & (F.col("least_back") <= half) & (count("half_after") > 1)
+    half_before, half_after = F.shiftrightunsigned("halves", 32), F.col("halves").bitwiseAND(0xFFFFFFFF)
+    members = members.withColumns({"half_before": half_before, "half_after": half_after})
+    low = (1 << _PLACE[1]) - 1
+    reach_back, least_back = F.shiftright("place", _PLACE[1]).bitwiseAND(low), F.col("place").bitwiseAND(low)
+    before = (F.col("half_before") != 0) & (reach_back >= half) & (count("half_before") > 1)
+    after = (F.col("half_after") != 0) & (least_back <= half) & (count("half_after") > 1)
     members = members.withColumn("open", ~F.col("settled") & (before | after))
     any_open = F.max("open").over(Window.partitionBy("bucket"))
     members = members.withColumn("wanted", F.col("open") | (F.col("settled") & F.col("first") & any_open))
-    members = materialise(members.where("settled or wanted").select("row", "tag", "at", "reach_back", "least_back", "bucket", "settled", "wanted"))
+    members = materialise(members.where("settled or wanted").select("row", "tag", "place", "bucket", "settled", "wanted"))
+    unpacked = {"at": F.shiftright("place", _PLACE[0]).cast("int"), "reach_back": reach_back.cast("int"), "least_back": least_back.cast("int")}
+    members = members.withColumns(unpacked).drop("place")
 
     wanted = members.where("wanted")
     hot = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_BUCKET).select("bucket", F.lit(True).alias("hot"))
