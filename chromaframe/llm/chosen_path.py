@@ -43,7 +43,7 @@ SKETCH_LEAST = 0.5
 HUB_PAIRS = 512
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def trees(threshold: float, recall: float = RECALL) -> int:
@@ -69,7 +69,7 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not _letters:
         _letters.append(np.random.default_rng(7).integers(1, 1 << 63, size=256, dtype=np.uint64))
     if not _powers or len(_powers[0]) < len(data):
-        size = max(len(data), _SLICE_BYTES + (1 << 20))
+        size = max(len(data), _SLICE_BYTES + (1 << 18))
         inverse = pow(_BASE, -1, 1 << 64)
         for k, b in enumerate((_BASE, inverse)):
             steps = np.full(size, b, np.uint64)

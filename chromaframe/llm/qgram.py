@@ -29,7 +29,7 @@ LEAST_CHARS = 24
 #: Characters of items in one block that goes to the tasks.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that are looked through at once.
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 20
 
 _FILTER_BITS = 22
 _SEPARATOR = "\U0010ffff"

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import materialise, text_of
 
 #: Labelled documents that markers are counted over at most; more are sampled by a hash of the identifier.
-FIT_ROWS = 20_000
+FIT_ROWS = 12_000
 #: Markers that are kept at most, the clearest first; the model that goes to tasks is bounded by this and by the alphabet.
-MARKERS = 3_000
+MARKERS = 2_000
 #: Lengths of word beginnings that can be markers besides whole words.
 BEGINNINGS = (3, 4, 5, 6)
 #: Standard errors by which a marker is commoner in toxic documents.
@@ -36,6 +36,8 @@ CLEAR = 3.3
 #: Weight of the squares in the regression, and its steps.
 RIDGE, STEPS = 1.0, 400
 THRESHOLD = 0.7
+#: Tokens whose readings a task remembers before it starts afresh.
+MEMO_TOKENS = 150_000
 #: Readings that decoding carries along at each character.
 BEAM = 8
 #: Letters the trigram model knows: a-z and the lower-case Latin letters with marks.
@@ -152,7 +154,7 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (16 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), side="right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -190,21 +192,21 @@ class Markers:
     def __init__(self, letters: Trigrams, number: dict[str, int]) -> None:
         self.letters, self.number = letters, number
         self.weights, self.bias = np.zeros(2 * len(number)), 0.0
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def marks(self, token: str) -> list[int]:
+    def marks(self, token: str) -> tuple[int, ...]:
         found = self.memo.get(token)
         if found is None:
             found = self.memo[token] = self.of_word(restore(token, self.letters))
         return found
 
-    def of_word(self, word: str) -> list[int]:
-        return [self.number[f] for f in features(word) if f in self.number]
+    def of_word(self, word: str) -> tuple[int, ...]:
+        return tuple([self.number[f] for f in features(word) if f in self.number])
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, marker and number of finds for all that occur, and the words of each document."""
         tokens, index, ends = _token_lists(texts)
-        if len(self.memo) > 1_000_000:
+        if len(self.memo) > MEMO_TOKENS:
             self.memo.clear()
         marks = [self.marks(t) for t in tokens]
         n = np.array([len(m) for m in marks] + [0])
@@ -263,6 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for y, text in zip(batch.column("_y").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 found: Counter = Counter()
+                if len(memo) > MEMO_TOKENS // 5:
+                    memo.clear()
                 for token in text.split():
                     if token not in memo:
                         memo[token] = features(restore(token, letters))
