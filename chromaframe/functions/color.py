@@ -399,3 +399,13 @@ def apply_matrix(matrix: Matrix, rgb: RGB) -> RGB:
     if is_identity(matrix):
         return rgb
     return tuple(lit(row[0]) * rgb[0] + lit(row[1]) * rgb[1] + lit(row[2]) * rgb[2] for row in matrix)
+
+
+#: Thresholds of an 8 x 8 ordered dither: each bit pair of the place puts the quarter it lies in.
+DITHER = [[sum(((x >> b & 1) * 2 ^ (y >> b & 1) * 3) << 2 * (2 - b) for b in range(3)) for x in range(8)] for y in range(8)]
+
+
+def ordered_dither(v: Column, threshold: Column, bits: int) -> Column:
+    """A level of the given depth; threshold is the place's entry of DITHER."""
+    top = float(2**bits - 1)
+    return clip(F.floor(v * lit(top) + (threshold + lit(0.5)) / lit(64)).cast("double"), 0, top).cast("int")

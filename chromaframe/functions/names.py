@@ -167,3 +167,11 @@ def parse_color(text: str) -> tuple[float, float, float, float]:
     if len(numbers) not in (3, 4):
         raise ValueError(f"not a colour: {text}")
     return (*numbers, 1.0)[:4]
+
+
+def common_prefix_length(a: Column, b: Column) -> Column:
+    """Code points that two texts begin with alike."""
+    n = F.least(F.length(a), F.length(b))
+    same = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))).otherwise(F.array().cast("array<boolean>"))
+    at = F.array_position(same, False)
+    return F.when(at > 0, at - 1).otherwise(n).cast("int")

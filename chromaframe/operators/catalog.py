@@ -115,3 +115,23 @@ def contiguous_prefix(rows: DataFrame, by: list[str], ident: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(ident)
     lowest = F.min(ident).over(Window.partitionBy(*by))
     return rows.withColumn("_run", F.col(ident) - F.row_number().over(w) + 1).withColumn("_low", lowest).where("_run = _low").drop("_run", "_low")
+
+
+def common_affixes(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Code points that all names of a group begin and end with: those of the least and the greatest, forwards and reversed."""
+    ends = rows.groupBy(*by).agg(F.min(name).alias("_a"), F.max(name).alias("_b"), F.min(F.reverse(name)).alias("_c"), F.max(F.reverse(name)).alias("_d"))
+    return ends.select(*by, N.common_prefix_length(F.col("_a"), F.col("_b")).alias("prefix"), N.common_prefix_length(F.col("_c"), F.col("_d")).alias("suffix"))
+
+
+def numbered_distinct(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, position of each distinct value in its group, and how many there are."""
+    distinct = rows.select(*by, value).distinct()
+    w = Window.partitionBy(*by)
+    return distinct.withColumn("position", F.dense_rank().over(w.orderBy(value)) - 1).withColumn("distinct_values", F.count(F.lit(1)).over(w))
+
+
+def summaries(channels: DataFrame, by: list[str], name: str = "channel") -> DataFrame:
+    """One line per image: each layer with its channels in order."""
+    layered = channels.groupBy(*by, N.layer_of(F.col(name)).alias("layer")).agg(F.array_join(F.array_sort(F.collect_set(N.tail_of(F.col(name)))), ",").alias("tails"))
+    line = F.concat("layer", F.lit(": "), "tails")
+    return layered.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(line)), "; ").alias("summary"), F.count(F.lit(1)).alias("layers"))

@@ -73,12 +73,12 @@ def watch_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
 
 
-def sticky_selectors(lines: DataFrame, order: str = "n", line: str = "line") -> DataFrame:
-    """Paths with the selector in force: a line ':selector' sets it for those that follow, blank lines are skipped."""
+def sticky_selectors(lines: DataFrame, by: list[str], order: str = "n", line: str = "line") -> DataFrame:
+    """Paths of each stream of lines with the selector in force: a line ':selector' sets it for those that follow, blank lines are skipped."""
     from pyspark.sql import Window
 
     text = F.trim(F.col(line))
     selector = F.when(text.startswith(":"), F.substring(text, 2, 1 << 30))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = lines.where(text != "").withColumn("selector", F.coalesce(F.last(selector, ignorenulls=True).over(w), F.lit("")))
-    return rows.where(~text.startswith(":")).select(order, text.alias("path"), "selector")
+    return rows.where(~text.startswith(":")).select(*by, order, text.alias("path"), "selector")

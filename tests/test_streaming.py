@@ -70,5 +70,5 @@ def test_stream_is_the_batch(spark):
 
 
 def test_sticky_selectors(spark):
-    lines = spark.createDataFrame(enumerate(["a", "", ":r", "b", " c ", ":", "d"]), "n long, line string")
-    assert [(r.path, r.selector) for r in T.sticky_selectors(lines).orderBy("n").collect()] == [("a", ""), ("b", "r"), ("c", "r"), ("d", "")]
+    lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(["a", "", ":r", "b", " c ", ":", "d"])], "s long, n long, line string")
+    assert [(r.path, r.selector) for r in T.sticky_selectors(lines, ["s"]).orderBy("n").collect()] == [("a", ""), ("b", "r"), ("c", "r"), ("d", "")]
