@@ -66,7 +66,6 @@ def decode_pnm(data: bytes) -> list[Part]:
     while data[at:].strip():
         at += len(data[at:]) - len(data[at:].lstrip())
         (magic,), at = _words(data, at, 1)
-        names: list[str] | None = None
         if magic == b"P7":
             fields, end = {}, data.index(b"ENDHDR", at)
             for line in data[at:end].splitlines():
@@ -102,7 +101,7 @@ def decode_pnm(data: bytes) -> list[Part]:
             pixels = _colours(raw, top)
         else:
             raise UnsupportedFormat(f"no PNM: {magic!r}")
-        parts.append((f"frames.{len(parts)}", names or channel_names(n), pixels))
+        parts.append((f"frames.{len(parts)}", channel_names(n), pixels))
     return [("", *parts[0][1:])] if len(parts) == 1 else parts
 
 
