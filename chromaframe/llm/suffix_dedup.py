@@ -101,8 +101,27 @@ _ANCHOR = "place long, bucket long, whole long, halves long"
 _PLACE = (32, 16)
 
 
+def _within_text(doc: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: np.ndarray, whole: np.ndarray, length: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """One anchor of each kind and text, in order, and the stretches (text, start, end) of kinds that occur again."""
+    order = np.lexsort((np.arange(len(doc)), whole, bucket, doc))
+    again = np.concatenate([[False], (doc[order][1:] == doc[order][:-1]) & (bucket[order][1:] == bucket[order][:-1]) & (whole[order][1:] == whole[order][:-1])])[: len(doc)]
+    one = np.sort(order[~again])
+    twice = np.zeros(len(doc), bool)
+    twice[order[again]] = True
+    twice[order[:-1][again[1:]]] = True
+    doc, first, last = doc[twice], first[twice], last[twice]
+    if not len(doc):
+        return one, (doc, first, last)
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] > last[:-1] + 1)]))
+    ends = np.concatenate([new[1:] - 1, [len(doc) - 1]])
+    return one, (doc[new], first[new], last[ends] + length)
+
+
 def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """row, tag, text_key, n_bytes, and the anchors of each text.
+    """row, tag, text_key, n_bytes, the anchors of each text, and the stretches (start, end) that repeat within it.
+
+    Anchors whose windows all occur at another anchor of the same text, as in text that goes round and round, are
+    settled here and leave one for the other texts, so a bucket grows with the texts that share it.
 
     reach_back and least_back are the distances from the first and last window's start to the anchor;
     whole is a hash of all its windows, halves has those of half a window on either side, 0 where the text is shorter.
@@ -130,13 +149,16 @@ def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
                     (before.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)).view(np.int64),
                 ]
                 names = [f.split()[0] for f in _ANCHOR.split(", ")]
-                items = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=names)
-                offsets = np.searchsorted(doc, np.arange(len(texts) + 1)).astype(np.int32)
+                one, spans = _within_text(doc, first - start, last - start, columns[1], columns[2], length)
+                items = pa.StructArray.from_arrays([pa.array(c[one]) for c in columns], names=names)
+                offsets = np.searchsorted(doc[one], np.arange(len(texts) + 1)).astype(np.int32)
+                ends = np.searchsorted(spans[0], np.arange(len(texts) + 1)).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(spans[1]), pa.array(spans[2])], names=["start", "end"]))
                 keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("tag"), pa.array(keys, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["row", "tag", "text_key", "n_bytes", "anchors"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("tag"), pa.array(keys, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items), own], names=["row", "tag", "text_key", "n_bytes", "anchors", "own"])
 
     fields = ", ".join(":".join(f.split()) for f in _ANCHOR.split(", "))
-    return rows.mapInArrow(look, f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>")
+    return rows.mapInArrow(look, f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>, own array<struct<start:bigint,end:bigint>>")
 
 
 _CONTEXT = "bucket long, row long, tag long, at int, reach_back int, least_back int, settled boolean, context binary"
@@ -241,6 +263,7 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tup
     texts = materialise(table.select("row", "tag", "text_key", "n_bytes").join(classes, "text_key").select("row", "tag", "n_bytes", "rep", "copies"))
     reps = texts.where(f"row = rep and n_bytes >= {length}").select("row", "tag").distinct()
     every = table.select("row", "tag", "anchors").join(reps, ["row", "tag"]).select("row", "tag", F.explode("anchors").alias("a")).select("row", "tag", "a.*")
+    within = table.select("row", "tag", F.explode("own").alias("s")).select("row", "tag", "s.start", "s.end")
 
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n")
     members = every.join(shared, "bucket")
@@ -264,7 +287,7 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tup
     hot = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_BUCKET).select("bucket", F.lit(True).alias("hot"))
     contexts = _contexts(rows, wanted.withColumn("length", F.lit(length))).join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     settled = members.where("settled").select("row", "tag", (F.col("at") - F.col("reach_back")).cast("long").alias("start"), (F.col("at") - F.col("least_back") + length).cast("long").alias("end"))
-    return texts, settled.unionAll(_refined(contexts, length))
+    return texts, settled.unionAll(within).unionAll(_refined(contexts, length))
 
 
 _RESULT = "row long, n_removed long, n_spans long, kept_sha256 string"

@@ -49,7 +49,7 @@ def rows_with_repeats(seed):
         out.append((i, t))
     near = text(60)
     out += [(100 + k, near[: 20 * k] + "#" + near[20 * k :]) for k in range(6)]
-    out += [(200, None), (201, ""), (202, "a" * 300), (203, "ab" * 100), (204, near), (205, near), (205, near), (206, "z" * 40), (207, "z" * 39), (None, passages[0] * 2), (208, "short"), (209, "one id" * 20), (209, "one id, another text" * 20)]
+    out += [(200, None), (201, ""), (202, "a" * 300), (203, "ab" * 100), (210, "abc " * 60 + near[:70] + "abc " * 60), (211, "x" + "abc " * 40), (204, near), (205, near), (205, near), (206, "z" * 40), (207, "z" * 39), (None, passages[0] * 2), (208, "short"), (209, "one id" * 20), (209, "one id, another text" * 20)]
     return out
 
 
