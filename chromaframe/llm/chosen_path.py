@@ -33,8 +33,8 @@ RECALL = 0.99999
 BRANCHES, LEVELS = 2, 3
 #: Members up to which a node is compared exhaustively.
 SMALL = 8
-#: Centres of a dense group.
-CENTRES = 3
+#: Centres of a dense node, and those that a member is compared with.
+CENTRES, HUBS = 3, 2
 #: Members of a dense group in one block on average.
 BLOCK = 256
 #: Pairs are confirmed only if their sketches agree in at least this share; at the threshold that misses one link in about a million.
@@ -204,12 +204,10 @@ def _alike(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return both.where(agree >= math.ceil(SKETCH_LEAST * size)).select("a", "b", "na", "nb")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that are linked by their whole sets. Pairs of a hub are dealt over salts."""
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that are linked by their whole sets (id, set). Pairs of a hub are dealt over salts."""
     pairs = materialise(pairs.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"))
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _set_table(docs, wanted, words).dropDuplicates(["id"])
     ones = sets.withColumnRenamed("id", "a").withColumnRenamed("set", "one").join(hubs, "a")
     ones = ones.select("a", "one", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     dealt = pairs.join(hubs, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
@@ -222,7 +220,7 @@ def _confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> D
 _DIFFERENCE = "centre long, rep long, component long, outside boolean, size int, shared int, bits binary, fresh array<long>"
 
 
-def _differences(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Each member of a dense group against its centre: which of the centre's shingles it lacks (as bits in
     the centre's order), how many it shares, and the shingles that it has besides."""
 
@@ -242,8 +240,6 @@ def _differences(members: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             sizes = pc.list_value_length(sets).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([*plain, sizes, pa.array(shared, pa.int32()), pa.array(bits, pa.binary()), _lists(fresh)], names=names)
 
-    wanted = members.select(F.col("rep").alias("id")).unionAll(members.select(F.col("centre").alias("id"))).distinct()
-    sets = _set_table(docs, wanted, words).dropDuplicates(["id"])
     salts = members.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
     middles = sets.select(F.col("id").alias("centre"), F.col("set").alias("middle")).join(salts, "centre")
     middles = middles.select("centre", "middle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -281,21 +277,25 @@ def _linked(left: _Group, right: _Group, centre_size: int, threshold: int) -> It
         yield min(int(left.rep[i]), int(right.rep[j])), max(int(left.rep[i]), int(right.rep[j]))
 
 
-def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame | None:
+def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
     """Exact links (a, b) of those members of dense groups that lie outside their group's main component.
 
-    Nodes with one centre are one group. Blocks of outside members meet chunks of the group's members, so rows grow
+    Nodes whose centres are in one component are one group, with their commonest centre. Blocks of outside members meet chunks of the group's members, so rows grow
     with the group's size and only links leave a task.
     """
-    first = centres.groupBy("node").agg(F.min("centre").alias("centre"))
-    members = dense.join(first, "node").select("centre", "rep").distinct()
-    named = materialise(members.join(labels, F.col("rep") == F.col("node"), "left").select("centre", "rep", F.coalesce("component", "rep").alias("component")))
+    label = labels.withColumnRenamed("node", "labelled")
+    first = centres.groupBy("node").agg(F.min("centre").alias("own"))
+    first = first.join(label, F.col("own") == F.col("labelled"), "left").select("node", "own", F.coalesce("component", "own").alias("group"))
+    usual = first.groupBy("group", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("own", F.struct("n", -F.col("own"))).alias("centre"))
+    members = dense.join(first.join(usual, "group").select("node", "centre"), "node").select("centre", "rep")
+    members = members.unionAll(usual.select("centre", F.col("centre").alias("rep"))).distinct()
+    named = materialise(members.join(label, F.col("rep") == F.col("labelled"), "left").select("centre", "rep", F.coalesce("component", "rep").alias("component")))
     per = named.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
     open_ = materialise(named.join(main, "centre").select("centre", "rep", "component", (F.col("component") != F.col("main")).alias("outside")))
     if not open_.limit(1).count():
         return None
-    apart = materialise(_differences(open_, docs, words))
+    apart = materialise(_differences(open_, sets))
     item = F.collect_list(F.struct("rep", "component", "size", "shared", "bits", "fresh"))
 
     def pieces(rows: DataFrame, name: str) -> DataFrame:
@@ -317,7 +317,7 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, docs: DataFra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
 
-    return met.repartition(shuffle_partitions(docs.sparkSession), "centre", "members_part", "block_part").select("members", "block", "centre_size").mapInArrow(compare, "a long, b long")
+    return met.repartition(shuffle_partitions(sets.sparkSession), "centre", "members_part", "block_part").select("members", "block", "centre_size").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -342,11 +342,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # SMALL members at most
     pairs = grouped.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b")
     centres = materialise(_centres(dense, known))
-    # The centre of a dense group is the hub of its pairs.
-    hub = dense.join(centres, "node").where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    links = materialise(_confirm(_alike(pairs.unionAll(hub), known, size), texts, words, threshold))
+    # The centre of a dense group is the hub of its pairs. A member is in many nodes; the HUBS centres that it meets most often stand for them.
+    met = dense.join(centres, "node").where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("centre")).alias("c"))), asc=False), 1, HUBS).alias("hubs"))
+    hub = best.select(F.explode("hubs").alias("h"), F.col("rep").alias("b")).select((-F.col("h.c")).alias("a"), "b")
+    small_pairs, hub_pairs = materialise(_alike(pairs, known, size)), materialise(_alike(hub, known, size))
+    ends = [df.select(F.col(c).alias("id")) for df, c in ((small_pairs, "a"), (small_pairs, "b"), (dense, "rep"))]
+    sets = materialise(_set_table(texts, ends[0].unionAll(ends[1]).unionAll(ends[2]).distinct(), words).dropDuplicates(["id"]))
+
+    to_hub = materialise(_confirm(hub_pairs, sets, threshold))
+    # Small nodes need no second look at two documents of one hub.
+    star = to_hub.groupBy("b").agg(F.min("a").alias("hub"))
+    with_hubs = small_pairs.join(star.select(F.col("b").alias("a"), F.col("hub").alias("ha")), "a", "left").join(star.select("b", F.col("hub").alias("hb")), "b", "left")
+    apart = with_hubs.where(~F.coalesce("ha", "a").eqNullSafe(F.coalesce("hb", "b"))).select("a", "b", "na", "nb")
+    links = materialise(to_hub.unionAll(_confirm(apart, sets, threshold)))
     labels = connected_components(links)
-    more = _rest(dense, centres, labels, texts, words, threshold) if dense.limit(1).count() else None
+    more = _rest(dense, centres, labels, sets, threshold) if dense.limit(1).count() else None
     if more is not None:
         more = materialise(more.distinct())
         if more.limit(1).count():
