@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffle_partitions
+
+#: Rows of links or labels in one partition; labels are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
+ROWS = 250_000
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -14,13 +17,19 @@ def connected_components(links: DataFrame) -> DataFrame:
     Labels spread to neighbours and then jump to their label's label, so stars take two rounds and
     chains a logarithmic number. Labels are combined before each shuffle, so hubs do not pile up rows.
     """
+    spark = links.sparkSession
     both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    n = both.count()
+    parts = max(1, min(shuffle_partitions(spark), -(-n // ROWS)))
+    small = F.broadcast if n <= ROWS else lambda df: df  # there are at most as many labels as links
+    both = both.coalesce(parts)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")).coalesce(parts))
     while True:
-        heard = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
-        spread = labels.join(heard, "node").select("node", "component", F.least("component", "heard").alias("next"))
+        heard = both.join(small(labels), both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("heard"))
+        spread = heard.join(small(labels), "node").select("node", "component", F.least("component", "heard").alias("next"))
         roots = labels.select(F.col("node").alias("next"), F.col("component").alias("root"))
-        jumped = materialise(spread.join(roots, "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("root", "next")).alias("component")))
+        jumped = spread.join(small(roots), "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("root", "next")).alias("component"))
+        jumped = materialise(jumped.coalesce(parts))
         changed = jumped.where("component <> was").limit(1).count()
         labels = jumped.select("node", "component")
         if not changed:
