@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialise, text_of
 
 #: Labelled documents that markers are counted over at most; more are sampled by a hash of the identifier.
-FIT_ROWS = 12_000
+FIT_ROWS = 20_000
 #: Markers that are kept at most, the clearest first; the model that goes to tasks is bounded by this and by the alphabet.
-MARKERS = 2_000
+MARKERS = 3_000
 #: Lengths of word beginnings that can be markers besides whole words.
 BEGINNINGS = (3, 4, 5, 6)
 #: Standard errors by which a marker is commoner in toxic documents.

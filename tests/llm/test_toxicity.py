@@ -92,3 +92,10 @@ def test_query(spark, sf_dir, texts):
     rows = op10_toxicity(spark, sf_dir).collect()
     assert {r.doc_id for r in rows} == set(texts)
     assert all(r.predicted == (r.score >= 0.7) for r in rows)
+
+
+def test_all_clear_markers_up_to_three_thousand(spark, make_docs):
+    insults = " ".join("".join("bcdfghjklm"[int(d)] for d in f"{k:04}") + "ox" for k in range(1500))
+    rows = [(i, "some plain words " + (insults if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)]
+    model = toxicity.fit(make_docs([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(model.number) == 3_000 and toxicity.FIT_ROWS == 20_000
