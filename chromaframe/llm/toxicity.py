@@ -1,6 +1,6 @@
 """Toxicity scoring of deobfuscated text.
 
-A word that may be disguised (digits and signs for letters, letters spaced out or repeated) becomes a
+A word that may be disguised (digits and signs for letters, letters spaced out, doubled or repeated) becomes a
 lattice of the characters it may stand for, and Viterbi decoding under a character trigram model of the
 corpus picks the likeliest reading. The restored text is scored by logistic regression on the words and word beginnings
 that are commoner in toxic documents than in others.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -52,12 +53,21 @@ PUNCTUATION = "!|+(<"
 #: Costs in nats: reading a sign as a letter; dropping one letter of a run of three or more, or of two; dropping a separator,
 #: punctuation, or any other sign.
 SIGN_COST, RUN_COST, PAIR_COST, SEPARATOR_COST, PUNCTUATION_COST, DROP_COST = 1.0, 0.3, 4.0, 0.2, 3.0, 9.0
-
-_SPACED = r"(?:^|\s)(?:[^\s][\s._*-]+){3,}[^\s](?:\s|$)"
-_SPACED_RUN = re.compile(r"(?<!\S)(?:\S[\s]+){3,}\S(?!\S)")
+#: Costs of a letter that the model does not know (only repeats of it are dropped), and of a digit or another sign that stands
+#: for itself in a word without letters (a separator costs the same either way).
+FOREIGN_COST, DIGIT_COST, PLAIN_COST = 2.0, 4.0, 6.0
+
+_PARTED = "[" + re.escape(SEPARATORS) + "\\s]+"
+_SINGLE = "[^" + re.escape(SEPARATORS) + "\\s]"
+_RUN = "[\"'(\\[{<]*((?:" + _SINGLE + _PARTED + "){2,}" + _SINGLE + ")[\"')\\]}>.,;:!?&%#*]*"
+_SPACED = "(?:^|\\s)" + _RUN + "(?:\\s|$)"
+_SPACED_RUN = re.compile("(?<!\\S)" + _RUN + "(?!\\S)")
+_PARTS = re.compile(_PARTED)
 _DISGUISE = re.compile("[" + re.escape("".join(LEET)) + "._*~^-]|(.)\\1\\1")
+_DOUBLED = re.compile(r"(.)\1")
 _OUTER = re.compile(r"^[\"'(\[{<.,;:]+|[\"')\]}>.,;:!?&%#*]+$")
 _LETTER = re.compile(r"[^\W\d_]")
+_UNKNOWN = "\0"
 
 
 class Trigrams:
@@ -83,6 +93,13 @@ class Trigrams:
         return self.memo[key]
 
 
+def _foreign(word: str, i: int) -> bool:
+    """Whether a character is a letter outside LETTERS, or a mark on one."""
+    while i and unicodedata.category(word[i])[0] == "M":
+        i -= 1
+    return word[i].isalpha() and word[i] not in LETTERS
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each character the letters it may stand for (or none) with the cost of that reading."""
     out: list[list[tuple[str, float]]] = []
@@ -91,6 +108,8 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             readings = [(c, 0.0)]
         elif c in LEET:
             readings = [*[(x, SIGN_COST) for x in LEET[c]], ("", PUNCTUATION_COST if c in PUNCTUATION else DROP_COST)]
+        elif _foreign(word, i):
+            readings = [(c, FOREIGN_COST)]
         else:
             readings = [("", SEPARATOR_COST if c in SEPARATORS else DROP_COST)]
         if i and word[i - 1] == c:
@@ -100,18 +119,25 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: Trigrams) -> str:
-    """The likeliest reading of a lower-case word."""
+    """The likeliest reading of a lower-case word; one without letters may also stand for itself."""
     best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
     for readings in lattice(word):
         after: dict[str, tuple[float, str]] = {}
         for context, (cost, said) in best.items():
             for letter, own in readings:
-                state = context[1] + letter if letter else context
-                c = cost + own - (model(context, letter) if letter else 0.0)
+                if not letter:
+                    state, c = context, cost + own
+                elif letter in LETTERS:
+                    state, c = context[1] + letter, cost + own - model(context, letter)
+                else:
+                    state, c = context[1] + _UNKNOWN, cost + own
                 if state not in after or c < after[state][0]:
                     after[state] = (c, said + letter)
         best = dict(sorted(after.items(), key=lambda x: x[1])[:BEAM]) if len(after) > BEAM else after
-    return min(((cost - model(context, "$"), said) for context, (cost, said) in best.items()))[1]
+    cost, said = min((cost - model(context, "$"), said) for context, (cost, said) in best.items())
+    if not _LETTER.search(word) and sum(DIGIT_COST if c.isdigit() else SEPARATOR_COST if c in SEPARATORS else PLAIN_COST for c in word) <= cost:
+        return word
+    return said
 
 
 def restore(token: str, model: Trigrams) -> str:
@@ -120,7 +146,7 @@ def restore(token: str, model: Trigrams) -> str:
     if not word.isalpha():
         bare = _OUTER.sub("", word)
         word = bare if bare.isalpha() else _OUTER.sub("", bare, count=1) if bare[:1] in "\"'([{<" else bare
-    if _DISGUISE.search(word) and _LETTER.search(word):
+    if _DISGUISE.search(word):
         return decode(word, model)
     return word
 
@@ -132,12 +158,23 @@ def features(word: str) -> list[str]:
     return [f"^{word}$", *[f"^{word[:n]}" for n in BEGINNINGS if len(word) >= n]]
 
 
+def token_features(token: str, model: Trigrams) -> list[str]:
+    """Features of the restored word and, as a doubled letter may be spelling or disguise, of its likeliest reading besides."""
+    word = restore(token, model)
+    found = features(word)
+    if _DOUBLED.search(word) and word.isalpha() and (other := decode(word, model)) != word:
+        return list(dict.fromkeys([*found, *features(other)]))
+    return found
+
+
 def _spaced_words(text: str, model: Trigrams) -> list[str]:
-    """Readings of runs of four or more single characters; what stands before each letter of a run may belong to it, so each start counts."""
+    """Readings of runs of three or more single characters; what stands before each letter of a run may belong to it, so each
+    start counts. Runs without blanks are tokens, which are read as such."""
     found = []
     for run in _SPACED_RUN.findall(text):
-        letters = "".join(run.split()).lower()
-        found += [decode(letters[i:], model) for i in range(max(1, len(letters) - 3))] + [decode(letters[:i], model) for i in range(4, len(letters))]
+        if len(run.split()) > 1:
+            letters = _PARTS.sub("", run).lower()
+            found += [decode(letters[i:], model) for i in range(max(1, len(letters) - 2))] + [decode(letters[:i], model) for i in range(3, len(letters))]
     return found
 
 
@@ -196,11 +233,11 @@ class Markers:
     def marks(self, token: str) -> tuple[int, ...]:
         found = self.memo.get(token)
         if found is None:
-            found = self.memo[token] = self.of_word(restore(token, self.letters))
+            found = self.memo[token] = self.numbers(token_features(token, self.letters))
         return found
 
-    def of_word(self, word: str) -> tuple[int, ...]:
-        return tuple([self.number[f] for f in features(word) if f in self.number])
+    def numbers(self, found: list[str]) -> tuple[int, ...]:
+        return tuple([self.number[f] for f in found if f in self.number])
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, marker and number of finds for all that occur, and the words of each document."""
@@ -215,7 +252,7 @@ class Markers:
         key = flat[np.arange(n[mine].sum()) + np.repeat(first[mine] - (np.cumsum(n[mine]) - n[mine]), n[mine])] if len(at) else np.zeros(0, np.int64)
         doc = np.repeat(np.searchsorted(ends, at, "right"), n[mine])
         spaced = pc.fill_null(pc.match_substring_regex(texts, _SPACED), False).to_numpy(zero_copy_only=False)
-        more = [(int(k), m) for k in np.flatnonzero(spaced) for w in _spaced_words(texts[int(k)].as_py(), self.letters) for m in self.of_word(w)]
+        more = [(int(k), m) for k in np.flatnonzero(spaced) for w in _spaced_words(texts[int(k)].as_py(), self.letters) for m in self.numbers(features(w))]
         pairs = np.concatenate([doc, [d for d, _ in more]]).astype(np.int64) * max(1, len(self.number)) + np.concatenate([key, [m for _, m in more]]).astype(np.int64)
         pairs, times = np.unique(pairs, return_counts=True)
         size = max(1, len(self.number))
@@ -268,7 +305,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     memo.clear()
                 for token in text.split():
                     if token not in memo:
-                        memo[token] = features(restore(token, letters))
+                        memo[token] = token_features(token, letters)
                     found.update(memo[token])
                 for word in _spaced_words(text, letters):
                     found.update(features(word))

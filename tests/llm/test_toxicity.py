@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,32 @@ def test_all_clear_markers_up_to_three_thousand(spark, make_docs):
     rows = [(i, "some plain words " + (insults if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)]
     model = toxicity.fit(make_docs([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
     assert len(model.number) == 3_000 and toxicity.FIT_ROWS == 20_000
+
+
+@pytest.fixture(scope="module")
+def rude():
+    words = ["stupid"] * 50 + ["ass"] * 200 + ["pass", "letter", "number", "is", "the", "and"] * 40
+    return toxicity.Trigrams({k: n for k, n in Counter(f"^^{w}$"[i : i + 3] for w in words for i in range(len(w) + 1)).items()})
+
+
+@pytest.mark.parametrize("shown,meant", [("455", "ass"), ("@$$", "ass"), ("letter", "letter"), ("2024", "2024"), ("1,000", "1,000")])
+def test_signs_alone(rude, shown, meant):
+    assert toxicity.restore(shown, rude) == meant
+
+
+def test_doubled_letters_count_with_and_without(rude, model):
+    assert {"^stupid$", "^stuupid$"} <= set(toxicity.token_features("stuupid", rude))
+    assert "^letter$" in toxicity.token_features("Letter.", rude)
+    clean, bad = model.scores(pa.array(["you are rely no tali", "you are stuupid and a moronn"]))
+    assert clean < 0.5 < bad
+
+
+@pytest.mark.parametrize("shown,meant", [("где-то", "гдето"), ("λό.γος", "λόγος"), ("длинный", "длинный"), ("дуууурак", "дурак"), ("नमस्ते-जी", "नमस्तेजी")])
+def test_unknown_letters_stand_for_themselves(rude, shown, meant):
+    assert toxicity.restore(shown, rude) == meant
+
+
+@pytest.mark.parametrize("shown,meant", [("s. t. u. p. i. d", "stupid"), ("so s-t u_p, i / d.", "stupid"), ("(s t u p i d)", "stupid"), ("an a s s", "ass"), ("4 5 5", "ass")])
+def test_spaced_runs_with_separators_and_of_three(rude, shown, meant):
+    assert meant in toxicity._spaced_words(shown, rude)
+    assert pa.compute.match_substring_regex(pa.array([shown]), toxicity._SPACED)[0].as_py()
