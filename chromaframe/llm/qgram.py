@@ -155,8 +155,13 @@ class Segments:
         for a in range(0, len(segment), 512):
             s, d = segment[a : a + 512], diagonal[a : a + 512]
             edits, start, end = self.verify(codes, s, d)
-            doc = np.maximum(np.searchsorted(starts, start, "right") - 1, 0)
-            found = {(int(t), int(g), int(b), int(e)): int(c) for t, g, b, e, c in zip(doc, s, start - starts[doc], end - starts[doc], edits, strict=True) if c <= self.edits[g]}
+            # The start may lie in the gap before a text that lacks the segment's first characters; the last character cannot.
+            doc = np.searchsorted(starts, end - 1, "right") - 1
+            found: dict[tuple[int, int, int, int], int] = {}
+            for t, g, b, e, c in zip(doc.tolist(), s.tolist(), (start - starts[doc]).tolist(), (end - starts[doc]).tolist(), edits.tolist(), strict=True):
+                if c <= self.edits[g]:
+                    key = (t, g, max(b, 0), min(e, len(texts[t])))
+                    found[key] = min(c, found.get(key, c))
             for (t, g, b, e), c in found.items():
                 yield t, self.item[g], self.at[g], b, e, c
 

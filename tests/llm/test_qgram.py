@@ -72,3 +72,21 @@ def test_blocks_nulls_and_columns(spark, make_docs):
     assert sorted(r.doc_id for r in left.collect()) == [100, 101, 102]
     assert benchmark_hits(make_docs([]), bench).count() == 0
     assert decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_passages_cut_at_a_text_border():
+    item = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    index = Segments([(1, item)], 0.1)
+    for cut in range(1, 4):
+        for texts in (["clean words before it", item[cut:] + " and more", "clean"], [item[cut:], "clean"], ["clean", "so " + item[:-cut], "clean"]):
+            hits = list(index.search(texts))
+            assert {t for t, *_ in hits} == {next(k for k, t in enumerate(texts) if "brown" in t)}
+            assert all(0 <= b < e <= len(texts[t]) and c == semi_global(item, texts[t]) == cut for t, _, _, b, e, c in hits)
+
+
+def test_a_cut_passage_drops_its_own_document(spark, make_docs):
+    item = prose(15)
+    docs = make_docs([(1, "clean words before it"), (2, item[2:] + " " + prose(5)), (3, "clean")]).coalesce(1)
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in benchmark_hits(docs, bench).collect()} == {2}
+    assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [1, 3]
