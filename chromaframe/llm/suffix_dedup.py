@@ -8,6 +8,9 @@ anchor's windows settles most anchors at once, halves rule out those whose commo
 rest, around the ends of repeats, is refined window by window. A bucket of one is done.
 
 Texts that are equal as a whole are settled first and leave one representative.
+
+Besides, passages that texts share are counted in words: of each window of runs of RUN_WORDS words the one with the
+least hash is a mark, so two texts that share a passage of PASSAGE_WORDS words have a mark in common.
 """
 
 from __future__ import annotations
@@ -28,6 +31,13 @@ LENGTH = 400
 Q = 32
 #: Members of a bucket up to which one task refines its windows; larger buckets are refined by a shuffle on the windows' hashes.
 TASK_BUCKET = 4096
+#: Members of a bucket up to which one task counts its kinds; larger buckets are counted by partial sums.
+COUNT_BUCKET = 50_000
+#: Words of a passage that always shows as a mark shared with another text, and of the runs that are marks.
+PASSAGE_WORDS, RUN_WORDS = 50, 40
+
+#: What a row is joined by; all joins with texts have these columns, so the texts are shuffled once.
+KEY = ["row", "tag"]
 
 _BASE = 0x2545F4914F6CDD1D
 _SLICE_BYTES = 1 << 20
@@ -87,6 +97,37 @@ def anchors(data: np.ndarray, borders: np.ndarray, length: int, q: int) -> tuple
     return chosen[new], p[new], p[last], hashes
 
 
+def marks(data: np.ndarray, borders: np.ndarray, hashes: Hashes, passage: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of each text's distinct marks. Words are stretches without ASCII blanks; texts of fewer than
+    passage words have no marks."""
+    word = (data != 32) & ((data < 9) | (data > 13))
+    word_before = np.concatenate([[False], word[:-1]])
+    word_before[borders[:-1][borders[:-1] < len(data)]] = False
+    starts = np.flatnonzero(word & ~word_before)
+    word_after = np.concatenate([word[1:], [False]])
+    word_after[borders[1:][borders[1:] > 0] - 1] = False
+    ends = np.flatnonzero(word & ~word_after) + 1
+    span, n = passage - run + 1, len(starts) - run + 1
+    none = np.zeros(0, np.int64)
+    if n < span:
+        return none, none
+    steps = np.full(len(starts) + 1, _BASE, np.uint64)
+    steps[0] = 1
+    back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    running = np.concatenate([[np.uint64(0)], np.cumsum(hashes.of(starts, ends) * np.multiply.accumulate(steps)[:-1])])
+    grams = _mix((running[run:] - running[:n]) * np.multiply.accumulate(back))
+    windows = n - span + 1
+    best = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(windows)
+    doc = np.searchsorted(borders, starts, "right") - 1
+    inside = doc[:windows] == doc[passage - 1 : passage - 1 + windows]
+    chosen = np.unique(best[inside])
+    doc, found = doc[chosen], grams[chosen].view(np.int64)
+    order = np.lexsort((found, doc))
+    new = np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (found[order][1:] != found[order][:-1])])[: len(doc)]
+    return doc[order][new], found[order][new]
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
     at = 0
@@ -117,8 +158,8 @@ def _within_text(doc: np.ndarray, first: np.ndarray, last: np.ndarray, bucket: n
     return one, (doc[new], first[new], last[ends] + length)
 
 
-def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """row, tag, text_key, n_bytes, the anchors of each text, and the stretches (start, end) that repeat within it.
+def anchor_table(rows: DataFrame, length: int, q: int, passage: int = PASSAGE_WORDS, run: int = RUN_WORDS) -> DataFrame:
+    """row, tag, text_key, n_bytes, the anchors of each text, the stretches (start, end) that repeat within it, and its marks.
 
     Anchors whose windows all occur at another anchor of the same text, as in text that goes round and round, are
     settled here and leave one for the other texts, so a bucket grows with the texts that share it.
@@ -154,14 +195,17 @@ def anchor_table(rows: DataFrame, length: int, q: int) -> DataFrame:
                 offsets = np.searchsorted(doc[one], np.arange(len(texts) + 1)).astype(np.int32)
                 ends = np.searchsorted(spans[0], np.arange(len(texts) + 1)).astype(np.int32)
                 own = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(spans[1]), pa.array(spans[2])], names=["start", "end"]))
+                marked, found = marks(data, borders, hashes, passage, run)
+                mark_ends = np.searchsorted(marked, np.arange(len(texts) + 1)).astype(np.int32)
+                own_marks = pa.ListArray.from_arrays(pa.array(mark_ends), pa.array(found, pa.int64()))
                 keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("tag"), pa.array(keys, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items), own], names=["row", "tag", "text_key", "n_bytes", "anchors", "own"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("tag"), pa.array(keys, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items), own, own_marks], names=["row", "tag", "text_key", "n_bytes", "anchors", "own", "marks"])
 
     fields = ", ".join(":".join(f.split()) for f in _ANCHOR.split(", "))
-    return rows.mapInArrow(look, f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>, own array<struct<start:bigint,end:bigint>>")
+    return rows.mapInArrow(look, f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>, own array<struct<start:bigint,end:bigint>>, marks array<long>")
 
 
-_CONTEXT = "bucket long, row long, tag long, at int, reach_back int, least_back int, settled boolean, context binary"
+_CONTEXT = "bucket long, hot boolean, row long, tag long, at int, reach_back int, least_back int, settled boolean, context binary"
 
 
 def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -173,12 +217,12 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 out = []
                 for row, tag, text, items in zip(*[batch.slice(k, 64).column(c).to_pylist() for c in ("row", "tag", "text", "items")], strict=True):
                     for i in items:
-                        out.append((i["bucket"], row, tag, i["at"], i["reach_back"], i["least_back"], i["settled"], text[i["at"] - i["reach_back"] : i["at"] - i["least_back"] + i["length"]]))
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
+                        out.append((i["bucket"], i["hot"], row, tag, i["at"], i["reach_back"], i["least_back"], i["settled"], text[i["at"] - i["reach_back"] : i["at"] - i["least_back"] + i["length"]]))
+                types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in _CONTEXT.split(", ")])
 
-    by_row = wanted.groupBy("row", "tag").agg(F.collect_list(F.struct("bucket", "at", "reach_back", "least_back", "settled", "length")).alias("items"))  # as many as a text has
-    return rows.join(by_row, ["row", "tag"]).mapInArrow(look, _CONTEXT)
+    by_row = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "hot", "at", "reach_back", "least_back", "settled", "length")).alias("items"))  # as many as a text has
+    return rows.join(by_row, KEY).mapInArrow(look, _CONTEXT)
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,43 +298,69 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
     return usual.unionAll(found)
 
 
-def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[DataFrame, DataFrame]:
-    """For rows (row long, tag long, text binary): the table of texts with their representative, and the stretches
-    (row, tag, start, end) of representatives that are covered by strings that also start elsewhere."""
+def _counted(members: DataFrame) -> DataFrame:
+    """Adds how many members of the bucket have the same whole, half_before and half_after, and whether a member is the
+    first of its whole.
+
+    Buckets of up to COUNT_BUCKET members are counted by windows, larger ones by partial sums that are joined back, so
+    that no task gets such a bucket. The three counts of a large bucket's kinds are as many as its kinds.
+    """
+    kinds = ["whole", "half_before", "half_after"]
+    place = F.struct(*KEY, "place")
+    count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("bucket", *by))
+    first = F.row_number().over(Window.partitionBy("bucket", "whole").orderBy(*KEY, "place")) == 1
+    small = members.where(F.col("n") <= COUNT_BUCKET)
+    small = small.withColumns({f"n_{k}": count(k) for k in kinds} | {"first": first})
+    large = members.where(F.col("n") > COUNT_BUCKET)
+    for k in kinds:
+        own = [F.count(F.lit(1)).alias(f"n_{k}")] + [F.min(place).alias("least")] * (k == "whole")
+        large = large.join(members.where(F.col("n") > COUNT_BUCKET).groupBy("bucket", k).agg(*own), ["bucket", k])
+    large = large.withColumn("first", F.col("least") == place)
+    return small.unionByName(large.select(*small.columns))
+
+
+def _shared_marks(table: DataFrame, reps: DataFrame) -> DataFrame:
+    """row, tag and shared_runs: how many marks of each representative another one has, too."""
+    every = table.select(*KEY, "marks").join(reps, KEY).select(*KEY, F.explode("marks").alias("mark"))
+    common = every.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    return every.join(common, "mark", "left_semi").groupBy(*KEY).agg(F.count(F.lit(1)).alias("shared_runs"))
+
+
+def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For rows (row long, tag long, text binary): the table of texts with their representative, the stretches
+    (row, tag, start, end) of representatives that are covered by strings that also start elsewhere, and shared_runs of
+    those that share passages."""
     half = length // 2
-    table = materialise(anchor_table(rows, length, q))
+    table = materialise(anchor_table(rows.select(*KEY, "text"), length, q))
     classes = table.groupBy("text_key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    texts = materialise(table.select("row", "tag", "text_key", "n_bytes").join(classes, "text_key").select("row", "tag", "n_bytes", "rep", "copies"))
-    reps = texts.where(f"row = rep and n_bytes >= {length}").select("row", "tag").distinct()
-    every = table.select("row", "tag", "anchors").join(reps, ["row", "tag"]).select("row", "tag", F.explode("anchors").alias("a")).select("row", "tag", "a.*")
-    within = table.select("row", "tag", F.explode("own").alias("s")).select("row", "tag", "s.start", "s.end")
+    texts = materialise(table.select(*KEY, "text_key", "n_bytes", F.size("marks").cast("long").alias("n_marks")).join(classes, "text_key").select(*KEY, "n_bytes", "n_marks", "rep", "copies"))
+    reps = texts.where("row = rep").select(*KEY, "n_bytes").distinct()
+    long_reps = reps.where(f"n_bytes >= {length}").select(*KEY)
+    every = table.select(*KEY, "anchors").join(long_reps, KEY).select(*KEY, F.explode("anchors").alias("a")).select(*KEY, "a.*")
+    within = table.select(*KEY, F.explode("own").alias("s")).select(*KEY, "s.start", "s.end")
+    runs = materialise(_shared_marks(table, reps.select(*KEY)))
 
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n")
-    members = every.join(shared, "bucket")
-    count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("bucket", *by))
-    first = F.row_number().over(Window.partitionBy("bucket", "whole").orderBy("row", "tag", "place"))
-    members = members.withColumn("settled", count("whole") > 1).withColumn("first", first == 1)
     half_before, half_after = F.shiftrightunsigned("halves", 32), F.col("halves").bitwiseAND(0xFFFFFFFF)
-    members = members.withColumns({"half_before": half_before, "half_after": half_after})
+    members = _counted(every.join(shared, "bucket").withColumns({"half_before": half_before, "half_after": half_after}))
+    members = members.withColumn("settled", F.col("n_whole") > 1)
     low = (1 << _PLACE[1]) - 1
     reach_back, least_back = F.shiftright("place", _PLACE[1]).bitwiseAND(low), F.col("place").bitwiseAND(low)
-    before = (F.col("half_before") != 0) & (reach_back >= half) & (count("half_before") > 1)
-    after = (F.col("half_after") != 0) & (least_back <= half) & (count("half_after") > 1)
-    members = members.withColumn("open", ~F.col("settled") & (before | after))
-    any_open = F.max("open").over(Window.partitionBy("bucket"))
-    members = members.withColumn("wanted", F.col("open") | (F.col("settled") & F.col("first") & any_open))
-    members = materialise(members.where("settled or wanted").select("row", "tag", "place", "bucket", "settled", "wanted"))
+    before = (F.col("half_before") != 0) & (reach_back >= half) & (F.col("n_half_before") > 1)
+    after = (F.col("half_after") != 0) & (least_back <= half) & (F.col("n_half_after") > 1)
+    # Members of one whole have one shape and the same halves, so what is first of a settled whole can stand for all of it.
+    members = members.withColumn("open", ~F.col("settled") & (before | after)).withColumn("wanted", F.col("open") | (F.col("settled") & F.col("first")))
+    members = materialise(members.where("settled or wanted").select(*KEY, "place", "bucket", "settled", "open", "wanted"))
     unpacked = {"at": F.shiftright("place", _PLACE[0]).cast("int"), "reach_back": reach_back.cast("int"), "least_back": least_back.cast("int")}
     members = members.withColumns(unpacked).drop("place")
 
+    # Settled members are looked at again only in buckets that have an open one.
     wanted = members.where("wanted")
-    hot = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_BUCKET).select("bucket", F.lit(True).alias("hot"))
-    contexts = _contexts(rows, wanted.withColumn("length", F.lit(length))).join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    settled = members.where("settled").select("row", "tag", (F.col("at") - F.col("reach_back")).cast("long").alias("start"), (F.col("at") - F.col("least_back") + length).cast("long").alias("end"))
-    return texts, settled.unionAll(within).unionAll(_refined(contexts, length))
-
-
-_RESULT = "row long, n_removed long, n_spans long, kept_sha256 string"
+    sizes = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).where("any_open").select("bucket", (F.col("n") > TASK_BUCKET).alias("hot"))
+    wanted = wanted.join(sizes, "bucket")
+    contexts = _contexts(rows, wanted.withColumn("length", F.lit(length)))
+    settled = members.where("settled").select(*KEY, (F.col("at") - F.col("reach_back")).cast("long").alias("start"), (F.col("at") - F.col("least_back") + length).cast("long").alias("end"))
+    return texts, settled.unionAll(within).unionAll(_refined(contexts, length)), runs
 
 
 def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
@@ -309,33 +379,36 @@ def _cut(text: bytes, spans: list[dict]) -> tuple[list[tuple[int, int]], bytes]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, q: int = Q, with_text: bool = True) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (binary).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, shared_runs and, with_text, kept (binary).
 
     Removed are the UTF-8 bytes covered by a string of length bytes that also starts anywhere else, in the
-    same text or another. A null text counts as empty. Repeated rows are copies of each other; a null id stays
-    null; an empty table gives an empty result; other columns are ignored.
+    same text or another. shared_runs counts the text's marks, runs of RUN_WORDS words, that another row has, too: it is
+    at least 1 if the text shares a passage of PASSAGE_WORDS words with another row, and 0 if it shares none of RUN_WORDS.
+    A null text counts as empty. Repeated rows are copies of each other; a null id stays null; an empty table gives an
+    empty result; other columns are ignored.
     """
     # A row is named by its id and a hash of its text; rows that share both are copies and have one result.
     text = text_of(text_col).cast("binary")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = source.select(F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("row"), F.xxhash64("text").alias("tag"), "text")
-    texts, stretches = repeated_stretches(rows, length, q)
-    spans = stretches.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    rows = source.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("row"), F.xxhash64("text").alias("tag"))
+    texts, stretches, runs = repeated_stretches(rows, length, q)
+    spans = stretches.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    own = texts.groupBy(*KEY).agg(F.max(F.col("copies") > 1).alias("copied"), F.max("n_marks").alias("n_marks"))
+    found = own.join(spans, KEY, "left").join(runs, KEY, "left")
+    found = found.select(*KEY, "copied", "spans", F.when(F.col("copied"), F.col("n_marks")).otherwise(F.coalesce("shared_runs", F.lit(0))).alias("shared_runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 out = []
-                for doc_id, text, found, copied in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "spans", "copied")], strict=True):
+                for doc_id, text, found, copied, shared in zip(*[part.column(c).to_pylist() for c in ("doc_id", "text", "spans", "copied", "shared_runs")], strict=True):
                     found = [{"start": 0, "end": len(text)}] if copied and len(text) >= length else found or []
                     gone, kept = _cut(text, found)
-                    out.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()) + (kept,) * with_text)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+                    out.append((doc_id, len(text), len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), shared) + (kept,) * with_text)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()] + [pa.binary()] * with_text
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shared_runs"] + ["kept"] * with_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    copied = texts.select("row", "tag", (F.col("copies") > 1).alias("copied")).dropDuplicates(["row", "tag"]).join(spans, ["row", "tag"], "left")
-    keyed = source.withColumn("row", F.coalesce(F.col("doc_id"), F.xxhash64("text"))).withColumn("tag", F.xxhash64("text"))
-    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return keyed.join(copied, ["row", "tag"], "left").select("doc_id", "text", "spans", "copied").mapInArrow(finish, fields)
+    fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shared_runs long" + ", kept binary" * with_text
+    return rows.join(found, KEY, "left").mapInArrow(finish, fields)

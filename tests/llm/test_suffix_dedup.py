@@ -67,3 +67,33 @@ def test_hot_buckets(make_docs, monkeypatch):
 
 def test_empty_table(make_docs):
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
+
+
+def test_bucket_counts_by_partial_sums(make_docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "COUNT_BUCKET", 1)
+    rows = rows_with_repeats(9)
+    assert values(suffix_dedup.remove_repeats(make_docs(rows), length=40, q=8)) == expected(rows, 40)
+
+
+def shared_runs_of(rows, words):
+    """Whether each row has so many words in a row that another row has, too."""
+    runs = [{tuple(w[k : k + words]) for k in range(len(w) - words + 1)} for w in ((t or "").encode().split() for _, t in rows)]
+    times = Counter(r for own in runs for r in own)
+    return [any(times[r] > 1 for r in own) for own in runs]
+
+
+def test_shared_passages_show_as_marks(make_docs):
+    random.seed(3)
+    text = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
+    rows = [(k, text(random.randint(0, 200))) for k in range(30)]
+    for n in (39, 40, 45, 50, 51, 80):
+        p = text(n)
+        rows += [(100 * n + k, f"{text(random.randint(0, 30))} {p}\n{text(random.randint(0, 30))}") for k in range(3)]
+    copy, short = text(70), text(45)
+    rows += [(1, None), (2, ""), (3, copy), (4, copy), (4, copy), (None, copy + " end"), (5, short), (6, short), (7, text(60) + " " + rows[-1][1])]
+    got = suffix_dedup.remove_repeats(make_docs(rows)).select("doc_id", "n_bytes", "shared_runs").collect()
+    shared = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.shared_runs > 0) for r in got)
+    sizes = [len((t or "").encode()) for _, t in rows]
+    always, never = [{(i, n) for (i, _), n, f in zip(rows, sizes, shared_runs_of(rows, k), strict=True) if f} for k in (50, 40)]
+    found = {(i, n) for _, i, n, f in shared if f}
+    assert len(always) > 10 and always <= found <= never
