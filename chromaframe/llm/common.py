@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +19,32 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def fresh(frames: DataFrame | list[DataFrame], *names: str) -> list[str]:
+    """Names for internal columns that no column of the given tables has, in any case of letters."""
+    taken = {c.lower() for df in ([frames] if isinstance(frames, DataFrame) else frames) for c in df.columns}
+    out = []
+    for name in names:
+        out.append(next(n for n in (f"_{name}{k or ''}" for k in count()) if n.lower() not in taken))
+        taken.add(out[-1].lower())
+    return out
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder in the one that spark.checkpoint.dir names. On one machine, as in tests, a temporary folder does without that setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix=f"{purpose}-")
+    return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
-    Only where that setting is absent (tests on one machine) is a temporary folder used.
-    """
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
     return df.checkpoint()
 
 

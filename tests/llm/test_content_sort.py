@@ -34,3 +34,20 @@ def test_rows_that_stay_keep_their_columns(make_docs):
     got = drop_exact_copies(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a b"), (3, "c")]
+
+
+def test_repeated_ids_in_any_order(make_docs):
+    for rows in ([(1, "a   b"), (1, "ab")], [(1, "ab"), (1, "a   b")]):
+        assert [r.text for r in drop_exact_copies(make_docs(rows)).collect()] == ["a   b"]
+    ties = [(1, "a b c"), (1, "ab  c"), (1, " abc "), (None, "x y"), (None, "x y"), (None, " xy")]
+    assert sorted(map(str, drop_exact_copies(make_docs(ties)).collect())) == sorted(map(str, drop_exact_copies(make_docs(ties[::-1])).collect()))
+    assert drop_exact_copies(make_docs(ties)).count() == 2
+
+
+def test_clashing_names(make_docs):
+    docs = make_docs([(1, "a b"), (2, "ab"), (3, "c")])
+    for c in ("_kept", "_KEPT1", "kept_tag", "_own_tag", "tag", "digest", "_chars", "norm"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = drop_exact_copies(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]
+    assert {r.keep_id for r in exact_groups(docs).collect()} == {1, 3}
