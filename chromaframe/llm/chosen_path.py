@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_of
+from .common import fresh, materialise, shuffle_partitions, text_of
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 80
@@ -37,7 +37,8 @@ SMALL = 8
 CENTRES, HUBS = 3, 2
 #: Members of a dense group in one block on average.
 BLOCK = 256
-#: Pairs are confirmed only if their sketches agree in at least this share; at the threshold that misses one link in about a million.
+#: Pairs are confirmed only if their sketches agree in at least this share. With 45 hashes that misses 3 links in a million at the
+#: threshold, fewer above it; more trees make sketches longer and the loss smaller.
 SKETCH_LEAST = 0.5
 #: Pairs of one hub that are confirmed in one task.
 HUB_PAIRS = 512
@@ -134,7 +135,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketch_table(docs: DataFrame, words: int, size: int) -> DataFrame:
-    """id, shingles, set_key (of the whole set; null for an empty one) and sketch."""
+    """id, tag (a hash of the text), shingles, set_key (of the whole set; null for an empty one) and sketch."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,20 +147,20 @@ def sketch_table(docs: DataFrame, words: int, size: int) -> DataFrame:
                     for k, row in zip(some, sketches([sets[k] for k in some], size), strict=True):
                         rows[k] = row
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(rows)], names=["id", "shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(rows)], names=["id", "tag", "shingles", "set_key", "sketch"])
 
-    return docs.mapInArrow(look, "id long, shingles long, set_key binary, sketch array<long>")
+    return docs.mapInArrow(look, "id long, tag long, shingles long, set_key binary, sketch array<long>")
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """id and its whole set, for the wanted ids."""
+    """id and whole set of the wanted representatives (rep, id, tag)."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(shingle_sets(part.column("text").to_pylist(), words))], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(shingle_sets(part.column("text").to_pylist(), words))], names=["id", "set"])
 
-    return docs.join(wanted, "id", "left_semi").mapInArrow(look, "id long, set array<long>")
+    return docs.join(wanted, ["id", "tag"]).select("rep", "text").mapInArrow(look, "id long, set array<long>")
 
 
 def _leaves(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
@@ -322,23 +323,45 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
     return met.repartition(shuffle_partitions(sets.sparkSession), "centre", "members_part", "block_part").select("members", "block", "centre_size").mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:
+    """set_key, rep, id, tag, sketch and shingles of each class of equal sets, and whether rep is always id.
+
+    id is the smallest one of the class and tag names one of that id's texts. rep, which stands for the class in all joins,
+    is that id; where several classes have it, as an id repeats with different texts, rep is a hash of id and set.
+    """
+    least = F.min(F.struct("id", "tag"))
+    found = sets.groupBy("set_key").agg(least.alias("least"), F.min_by("sketch", "id").alias("sketch"), F.first("shingles").alias("shingles"))
+    found = materialise(found.select("set_key", "least.id", "least.tag", "sketch", "shingles"))
+    several = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
+    if not several.limit(1).count():
+        return found.withColumn("rep", F.col("id")), True
+    return materialise(found.join(several, "id", "left").withColumn("rep", F.when(F.col("several"), F.xxhash64("id", "set_key")).otherwise(F.col("id")))), False
+
+
+def _by_smallest_id(labels: DataFrame, reps: DataFrame) -> DataFrame:
+    """labels (node, component) with the smallest id of each component in place of its smallest rep."""
+    named = labels.join(reps.select(F.col("rep").alias("node"), "id"), "node")
+    smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
+    return named.join(smallest, "component").select("node", F.col("smallest").alias("component"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD, recall: float = RECALL, with_tag: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept and, with_tag, tag (a hash of the text).
 
     Two documents are linked if 100 times the number of shingles they share is at least threshold times
     the number either has. Words are lower-cased (A-Z) runs without ASCII blanks. A text with fewer words
     than a shingle has one shingle, one without words has none and is linked with nothing, as is a row
     with a null id. component_id is the smallest id reachable over links; kept tells the rows that have it.
-    Rows that repeat an id count as equal only through their texts. An empty table gives an empty result;
-    other columns are ignored.
+    Rows that repeat an id count as equal only through their texts; each of them has its own links. An empty table gives
+    an empty result; other columns are ignored.
     """
     n_trees = trees(threshold / 100, recall)
     size = n_trees * (1 + BRANCHES * (LEVELS - 1))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
     rows = materialise(sketch_table(texts, words, size))
     sets = rows.where("set_key is not null and id is not null")
-    reps = materialise(sets.groupBy("set_key").agg(F.min("id").alias("rep"), F.min_by("sketch", "id").alias("sketch"), F.first("shingles").alias("shingles")))
-    known = reps.select("rep", "sketch", "shingles").dropDuplicates(["rep"])
+    reps, by_id = _classes(sets)
+    known = reps.select("rep", "sketch", "shingles")
 
     small, dense = _leaves(known, n_trees)
     grouped = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # SMALL members at most
@@ -350,7 +373,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hub = best.select(F.explode("hubs").alias("h"), F.col("rep").alias("b")).select((-F.col("h.c")).alias("a"), "b")
     small_pairs, hub_pairs = materialise(_alike(pairs, known, size)), materialise(_alike(hub, known, size))
     ends = [df.select(F.col(c).alias("id")) for df, c in ((small_pairs, "a"), (small_pairs, "b"), (dense, "rep"))]
-    sets = materialise(_set_table(texts, ends[0].unionAll(ends[1]).unionAll(ends[2]).distinct(), words).dropDuplicates(["id"]))
+    ends = ends[0].unionAll(ends[1]).unionAll(ends[2]).distinct().withColumnRenamed("id", "rep")
+    sets = materialise(_set_table(texts, reps.select("rep", "id", "tag").join(ends, "rep", "left_semi"), words).dropDuplicates(["id"]))
 
     to_hub = materialise(_confirm(hub_pairs, sets, threshold))
     # Small nodes need no second look at two documents of one hub.
@@ -365,13 +389,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if more.limit(1).count():
             labels = connected_components(links.unionAll(more))
 
-    classes = reps.select("set_key", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "shingles", "set_key").join(classes, "set_key", "left")
+    labels = labels if by_id else _by_smallest_id(labels, reps)
+    classes = reps.select("set_key", "rep", F.col("id").alias("least")).join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "least").alias("component"))
+    out = rows.select("id", "tag", "shingles", "set_key").join(classes, "set_key", "left")
     component = F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("shingles").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("shingles").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *["tag"] * with_tag)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that stay: one document of each component."""
-    gone = near_duplicates(docs, id_col, text_col, words, threshold).where("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    """The rows of docs, with all their columns, whatever these are named, that stay: those of each component's smallest id.
+
+    Rows with a null id stay. Of rows that repeat an id, each stays or goes by its own text.
+    """
+    gone_id, gone_tag, own_tag = fresh(docs, "gone", "gone_tag", "own_tag")
+    found = near_duplicates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words, threshold=threshold, with_tag=True)
+    gone = found.where("not kept").select(F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag))
+    rows = docs.withColumn(own_tag, F.xxhash64(text_of(text_col)))
+    return rows.join(gone, (rows[id_col] == gone[gone_id]) & (rows[own_tag] == gone[gone_tag]), "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -83,3 +83,23 @@ def test_components_of_chains_and_stars(spark):
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(300, 299), (299, 300)]
     labels = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert labels == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {299: 299, 300: 299}
+
+
+def test_an_id_with_several_texts_loses_no_link(make_docs):
+    random.seed(8)
+    a, b, c = (" ".join(f"w{random.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (4, c), (4, near(c)), (5, near(a)), (0, "zero"), (6, b + " x")]
+    for order in (rows, rows[::-1]):
+        docs = make_docs(order)
+        got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs).collect())
+        assert got == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (5, 1), (6, 1)]
+        assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [0, 1, 1, 4, 4]
+
+
+def test_names_of_the_pipeline_stage(make_docs):
+    docs = make_docs([(1, "a b c d e f"), (2, "a b c d e F"), (None, "a b c d e F")])
+    for c in ("_gone", "_gone_tag", "_OWN_TAG", "tag", "rep", "component"):
+        docs = docs.withColumn(c, F.lit("x"))
+    left = drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(map(str, (r.doc_id for r in left.collect()))) == ["1", "None"]
