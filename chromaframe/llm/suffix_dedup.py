@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shuffle_partitions, text_of
@@ -34,7 +34,7 @@ TASK_BUCKET = 4096
 #: Members of a bucket up to which one task counts its kinds; larger buckets are counted by partial sums.
 COUNT_BUCKET = 50_000
 #: Words of a passage that always shows as a mark shared with another text, and of the runs that are marks.
-PASSAGE_WORDS, RUN_WORDS = 50, 40
+PASSAGE_WORDS, RUN_WORDS = 50, 30
 
 #: What a row is joined by; all joins with texts have these columns, so the texts are shuffled once.
 KEY = ["row", "tag"]
@@ -298,25 +298,49 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
     return usual.unionAll(found)
 
 
-def _counted(members: DataFrame) -> DataFrame:
-    """Adds how many members of the bucket have the same whole, half_before and half_after, and whether a member is the
-    first of its whole.
+def _judged(members: DataFrame, half: int) -> DataFrame:
+    """settled: all windows occur at another member. open: some may, as half a window on either side does."""
+    reach_back, least_back = _unpacked()
+    before = (F.col("half_before") != 0) & (reach_back >= half) & (F.col("n_half_before") > 1)
+    after = (F.col("half_after") != 0) & (least_back <= half) & (F.col("n_half_after") > 1)
+    return members.withColumn("settled", F.col("n_whole") > 1).withColumn("open", ~F.col("settled") & (before | after))
+
+
+def _unpacked() -> tuple[Column, Column]:
+    low = (1 << _PLACE[1]) - 1
+    return F.shiftright("place", _PLACE[1]).bitwiseAND(low), F.col("place").bitwiseAND(low)
+
 
-    Buckets of up to COUNT_BUCKET members are counted by windows, larger ones by partial sums that are joined back, so
-    that no task gets such a bucket. The three counts of a large bucket's kinds are as many as its kinds.
+def _members(every: DataFrame, half: int) -> DataFrame:
+    """The anchors of buckets of two or more that are settled, or wanted for a closer look: the open ones and, in their
+    buckets, the first of each settled kind, which stands for all of it.
+
+    Buckets of up to COUNT_BUCKET members are counted by windows, larger ones by partial sums that are joined back, so that
+    no task gets such a bucket.
     """
-    kinds = ["whole", "half_before", "half_after"]
-    place = F.struct(*KEY, "place")
-    count = lambda *by: F.count(F.lit(1)).over(Window.partitionBy("bucket", *by))
+    kinds = {"whole": F.col("whole"), "half_before": F.shiftrightunsigned("halves", 32), "half_after": F.col("halves").bitwiseAND(0xFFFFFFFF)}
+    sizes = materialise(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    place, one = F.struct(*KEY, "place"), F.count(F.lit(1))
+    out = ["row", "tag", "place", "bucket", "settled", "wanted"]
+    wanted = F.col("open") | (F.col("settled") & F.col("first") & F.col("any_open"))
+
+    small = every.join(sizes.where(F.col("n") <= COUNT_BUCKET).select("bucket"), "bucket").withColumns(kinds)
     first = F.row_number().over(Window.partitionBy("bucket", "whole").orderBy(*KEY, "place")) == 1
-    small = members.where(F.col("n") <= COUNT_BUCKET)
-    small = small.withColumns({f"n_{k}": count(k) for k in kinds} | {"first": first})
-    large = members.where(F.col("n") > COUNT_BUCKET)
+    small = small.withColumns({f"n_{k}": one.over(Window.partitionBy("bucket", k)) for k in kinds} | {"first": first})
+    small = _judged(small, half).withColumn("any_open", F.max("open").over(Window.partitionBy("bucket")))
+    found = small.withColumn("wanted", wanted).where("settled or wanted").select(*out)
+    if not sizes.where(F.col("n") > COUNT_BUCKET).limit(1).count():
+        return materialise(found)
+
+    large = materialise(every.join(sizes.where(F.col("n") > COUNT_BUCKET).select("bucket"), "bucket").withColumns(kinds))
+    counted = large
     for k in kinds:
-        own = [F.count(F.lit(1)).alias(f"n_{k}")] + [F.min(place).alias("least")] * (k == "whole")
-        large = large.join(members.where(F.col("n") > COUNT_BUCKET).groupBy("bucket", k).agg(*own), ["bucket", k])
-    large = large.withColumn("first", F.col("least") == place)
-    return small.unionByName(large.select(*small.columns))
+        own = [one.alias(f"n_{k}")] + [F.min(place).alias("least")] * (k == "whole")
+        counted = counted.join(large.groupBy("bucket", k).agg(*own), ["bucket", k])
+    counted = materialise(_judged(counted, half).withColumn("first", F.col("least") == place))
+    opened = counted.where("open").select("bucket", F.lit(True).alias("any_open")).distinct()
+    counted = counted.join(opened, "bucket", "left").withColumn("any_open", F.coalesce("any_open", F.lit(False)))
+    return materialise(found.unionAll(counted.withColumn("wanted", wanted).where("settled or wanted").select(*out)))
 
 
 def _shared_marks(table: DataFrame, reps: DataFrame) -> DataFrame:
@@ -340,24 +364,13 @@ def repeated_stretches(rows: DataFrame, length: int = LENGTH, q: int = Q) -> tup
     within = table.select(*KEY, F.explode("own").alias("s")).select(*KEY, "s.start", "s.end")
     runs = materialise(_shared_marks(table, reps.select(*KEY)))
 
-    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "n")
-    half_before, half_after = F.shiftrightunsigned("halves", 32), F.col("halves").bitwiseAND(0xFFFFFFFF)
-    members = _counted(every.join(shared, "bucket").withColumns({"half_before": half_before, "half_after": half_after}))
-    members = members.withColumn("settled", F.col("n_whole") > 1)
-    low = (1 << _PLACE[1]) - 1
-    reach_back, least_back = F.shiftright("place", _PLACE[1]).bitwiseAND(low), F.col("place").bitwiseAND(low)
-    before = (F.col("half_before") != 0) & (reach_back >= half) & (F.col("n_half_before") > 1)
-    after = (F.col("half_after") != 0) & (least_back <= half) & (F.col("n_half_after") > 1)
-    # Members of one whole have one shape and the same halves, so what is first of a settled whole can stand for all of it.
-    members = members.withColumn("open", ~F.col("settled") & (before | after)).withColumn("wanted", F.col("open") | (F.col("settled") & F.col("first")))
-    members = materialise(members.where("settled or wanted").select(*KEY, "place", "bucket", "settled", "open", "wanted"))
+    reach_back, least_back = _unpacked()
     unpacked = {"at": F.shiftright("place", _PLACE[0]).cast("int"), "reach_back": reach_back.cast("int"), "least_back": least_back.cast("int")}
-    members = members.withColumns(unpacked).drop("place")
+    members = _members(every, half).withColumns(unpacked).drop("place")
 
-    # Settled members are looked at again only in buckets that have an open one.
     wanted = members.where("wanted")
-    sizes = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any_open")).where("any_open").select("bucket", (F.col("n") > TASK_BUCKET).alias("hot"))
-    wanted = wanted.join(sizes, "bucket")
+    hot = wanted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_BUCKET).select("bucket", F.lit(True).alias("hot"))
+    wanted = wanted.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     contexts = _contexts(rows, wanted.withColumn("length", F.lit(length)))
     settled = members.where("settled").select(*KEY, (F.col("at") - F.col("reach_back")).cast("long").alias("start"), (F.col("at") - F.col("least_back") + length).cast("long").alias("end"))
     return texts, settled.unionAll(within).unionAll(_refined(contexts, length)), runs

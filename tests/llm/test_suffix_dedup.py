@@ -86,7 +86,7 @@ def test_shared_passages_show_as_marks(make_docs):
     random.seed(3)
     text = lambda n: " ".join(f"w{random.randrange(10**6)}" for _ in range(n))
     rows = [(k, text(random.randint(0, 200))) for k in range(30)]
-    for n in (39, 40, 45, 50, 51, 80):
+    for n in (29, 30, 45, 50, 51, 80):
         p = text(n)
         rows += [(100 * n + k, f"{text(random.randint(0, 30))} {p}\n{text(random.randint(0, 30))}") for k in range(3)]
     copy, short = text(70), text(45)
@@ -94,6 +94,6 @@ def test_shared_passages_show_as_marks(make_docs):
     got = suffix_dedup.remove_repeats(make_docs(rows)).select("doc_id", "n_bytes", "shared_runs").collect()
     shared = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.shared_runs > 0) for r in got)
     sizes = [len((t or "").encode()) for _, t in rows]
-    always, never = [{(i, n) for (i, _), n, f in zip(rows, sizes, shared_runs_of(rows, k), strict=True) if f} for k in (50, 40)]
+    always, never = [{(i, n) for (i, _), n, f in zip(rows, sizes, shared_runs_of(rows, k), strict=True) if f} for k in (50, 30)]
     found = {(i, n) for _, i, n, f in shared if f}
     assert len(always) > 10 and always <= found <= never
