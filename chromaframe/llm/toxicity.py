@@ -6,7 +6,7 @@ corpus picks the likeliest reading. The restored text is scored by logistic regr
 that are commoner in toxic documents than in others.
 
 The trigram model is counted over all documents. Markers and their weights are fitted on at most FIT_ROWS
-labelled documents; everything else covers all data.
+labelled documents, and all clear markers of these are kept; everything else covers all data.
 """
 
 from __future__ import annotations
@@ -27,19 +27,17 @@ from .common import materialise, text_of
 
 #: Labelled documents that markers are counted over at most; more are sampled by a hash of the identifier.
 FIT_ROWS = 20_000
-#: Markers that are kept at most, the clearest first; the model that goes to tasks is bounded by this and by the alphabet.
-MARKERS = 3_000
 #: Lengths of word beginnings that can be markers besides whole words.
 BEGINNINGS = (3, 4, 5, 6)
-#: Standard errors by which a marker is commoner in toxic documents.
-CLEAR = 3.3
+#: Standard errors by which a marker is commoner in toxic documents, and toxic documents that have it at least.
+CLEAR, LEAST_DOCS = 3.3, 3
 #: Weight of the squares in the regression, and its steps.
 RIDGE, STEPS = 1.0, 400
 THRESHOLD = 0.7
 #: Tokens whose readings a task remembers before it starts afresh.
 MEMO_TOKENS = 150_000
-#: Readings that decoding carries along at each character.
-BEAM = 8
+#: Letters of a spaced-out word at most: each start and each end in a run of single characters is read over so many.
+SPACED_LETTERS = 24
 #: Letters the trigram model knows: a-z and the lower-case Latin letters with marks.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 #: What a sign may stand for. Fixed values.
@@ -83,32 +81,44 @@ class Trigrams:
             self.after_two[gram[:2]] += n
             self.after_one[gram[1]] += n
         self.total, self.memo = sum(self.one.values()), {}
+        self.spread = self._spread()
+
+    def _log(self, context: str, letter: str) -> float:
+        key = context + letter
+        p = (self.one[letter] + 0.5) / (self.total + 0.5 * (len(LETTERS) + 2))
+        p = (self.two[key[1:]] + 5 * p) / (self.after_one[context[1]] + 5)
+        return math.log((self.three[key] + 5 * p) / (self.after_two[context] + 5))
 
     def __call__(self, context: str, letter: str) -> float:
         key = context + letter
         if key not in self.memo:
-            p = (self.one[letter] + 0.5) / (self.total + 0.5 * (len(LETTERS) + 2))
-            p = (self.two[key[1:]] + 5 * p) / (self.after_one[context[1]] + 5)
-            self.memo[key] = math.log((self.three[key] + 5 * p) / (self.after_two[context] + 5))
+            self.memo[key] = self._log(context, letter)
         return self.memo[key]
 
-
-def _foreign(word: str, i: int) -> bool:
-    """Whether a character is a letter outside LETTERS, or a mark on one."""
-    while i and unicodedata.category(word[i])[0] == "M":
-        i -= 1
-    return word[i].isalpha() and word[i] not in LETTERS
+    def _spread(self) -> float:
+        """The most by which the costs of one reading can differ after two contexts: the next letter sees two other
+        letters before it, the one after that another letter two places before it, and further ones no difference."""
+        first = [*LETTERS, "^", _UNKNOWN]
+        far, near = 0.0, 0.0
+        for letter in [*LETTERS, "$"]:
+            by_last = [[self._log(a + b, letter) for a in first] for b in first]
+            far = max(far, max(map(max, by_last)) - min(map(min, by_last)))
+            near = max(near, *[max(x) - min(x) for x in by_last])
+        return far + near
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
     """For each character the letters it may stand for (or none) with the cost of that reading."""
     out: list[list[tuple[str, float]]] = []
+    foreign = False
     for i, c in enumerate(word):
+        if unicodedata.category(c)[0] != "M":  # a mark goes with its letter
+            foreign = c.isalpha() and c not in LETTERS
         if c in LETTERS:
             readings = [(c, 0.0)]
         elif c in LEET:
             readings = [*[(x, SIGN_COST) for x in LEET[c]], ("", PUNCTUATION_COST if c in PUNCTUATION else DROP_COST)]
-        elif _foreign(word, i):
+        elif foreign:
             readings = [(c, FOREIGN_COST)]
         else:
             readings = [("", SEPARATOR_COST if c in SEPARATORS else DROP_COST)]
@@ -119,10 +129,14 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(word: str, model: Trigrams) -> str:
-    """The likeliest reading of a lower-case word; one without letters may also stand for itself."""
-    best: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
+    """The likeliest reading of a lower-case word; one without letters may also stand for itself.
+
+    Viterbi decoding: for each two last letters the cheapest reading so far. A state that costs more than the cheapest
+    one by model.spread cannot end cheaper, whatever follows, and is dropped, so long words take few states.
+    """
+    best: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
     for readings in lattice(word):
-        after: dict[str, tuple[float, str]] = {}
+        after: dict[str, tuple[float, tuple | None]] = {}
         for context, (cost, said) in best.items():
             for letter, own in readings:
                 if not letter:
@@ -132,9 +146,17 @@ def decode(word: str, model: Trigrams) -> str:
                 else:
                     state, c = context[1] + _UNKNOWN, cost + own
                 if state not in after or c < after[state][0]:
-                    after[state] = (c, said + letter)
-        best = dict(sorted(after.items(), key=lambda x: x[1])[:BEAM]) if len(after) > BEAM else after
-    cost, said = min((cost - model(context, "$"), said) for context, (cost, said) in best.items())
+                    after[state] = (c, (letter, said) if letter else said)
+        if len(after) > 4:
+            most = min([c for c, _ in after.values()]) + model.spread
+            after = {state: x for state, x in after.items() if x[0] <= most}
+        best = after
+    cost, path = min(((cost - model(context, "$"), said) for context, (cost, said) in best.items()), key=lambda x: x[0])
+    letters = []
+    while path:
+        letters.append(path[0])
+        path = path[1]
+    said = "".join(reversed(letters))
     if not _LETTER.search(word) and sum(DIGIT_COST if c.isdigit() else SEPARATOR_COST if c in SEPARATORS else PLAIN_COST for c in word) <= cost:
         return word
     return said
@@ -168,13 +190,14 @@ def token_features(token: str, model: Trigrams) -> list[str]:
 
 
 def _spaced_words(text: str, model: Trigrams) -> list[str]:
-    """Readings of runs of three or more single characters; what stands before each letter of a run may belong to it, so each
-    start counts. Runs without blanks are tokens, which are read as such."""
+    """Readings of runs of three or more single characters. Other single characters may stand before and after a word, so
+    each start and each end in a run counts, over SPACED_LETTERS letters. Runs without blanks are tokens, which are read as such."""
     found = []
     for run in _SPACED_RUN.findall(text):
         if len(run.split()) > 1:
             letters = _PARTS.sub("", run).lower()
-            found += [decode(letters[i:], model) for i in range(max(1, len(letters) - 2))] + [decode(letters[:i], model) for i in range(3, len(letters))]
+            found += [decode(letters[i : i + SPACED_LETTERS], model) for i in range(max(1, len(letters) - 2))]
+            found += [decode(letters[max(0, i - SPACED_LETTERS) : i], model) for i in range(3, len(letters))]
     return found
 
 
@@ -290,9 +313,14 @@ def _values(times: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Markers:
-    """Markers and weights from labelled documents that are not held out; texts and their labels are all that is learned from."""
+    """Markers and weights from labelled documents that are not held out; texts and their labels are all that is learned from.
+
+    A document with several labels is toxic if one of them says so; null labels and ids are left out, as are labels without
+    a document. Documents that repeat an id each count. Null texts are empty. Without labels of both kinds, as with empty
+    tables, the model has no markers and gives all texts one score. Other columns are ignored.
+    """
     letters = character_model(docs, text_col)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropDuplicates(["_id"])
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).groupBy("_id").agg(F.max("_y").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(fit_rows)
     rows = materialise(docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("text")).join(F.broadcast(sample), "_id"))  # fit_rows labels at most
 
@@ -321,7 +349,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Markers(letters, {})
     mean_p, mean_q = F.col("p") / n_pos, F.col("q") / (n - n_pos)
     error = F.sqrt((F.col("pp") / n_pos - mean_p * mean_p) / n_pos + (F.col("qq") / (n - n_pos) - mean_q * mean_q) / (n - n_pos) + 1e-9)
-    clear = sums.where("n >= 3").select("f", ((mean_p - mean_q) / error).alias("z")).where(F.col("z") >= CLEAR).orderBy(F.col("z").desc(), "f").limit(MARKERS).collect()
+    clear = sums.where(F.col("n") >= LEAST_DOCS).select("f", ((mean_p - mean_q) / error).alias("z")).where(F.col("z") >= CLEAR).orderBy(F.col("z").desc(), "f").collect()  # of fit_rows documents at most
     model = Markers(letters, {r["f"]: k for k, r in enumerate(clear)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +381,10 @@ def score(docs: DataFrame, model: Markers, id_col: str = "doc_id", text_col: str
 
 
 def drop_toxic(docs: DataFrame, model: Markers, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that score below the threshold. Nothing is shuffled."""
+    """The rows of docs, with all their columns, whatever these are named, that score below the threshold. Nothing is shuffled.
+
+    Null and empty texts score lowest and stay, repeated rows stay or go together, and an empty table stays empty.
+    """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -72,10 +72,59 @@ def brute(word, model):
     return best[1]
 
 
-def test_decoding_is_the_best_path(model, monkeypatch):
-    monkeypatch.setattr(toxicity, "BEAM", 10_000)
-    for word in ("5tup1d", "m0r0n", "l00oser", "st!umm", "1d10t"):
-        assert toxicity.decode(word, model.letters) == brute(word, model.letters)
+def test_decoding_is_the_best_path(model):
+    random.seed(6)
+    words = ["5tup1d", "m0r0n", "l00oser", "st!umm", "1d10t", "(!il0000(8!6i.80"]
+    words += ["".join(random.choice("aeilost01!6(.|8$-") for _ in range(random.randint(3, 9))) for _ in range(300)]
+    for word in words:
+        steps = toxicity.lattice(word)
+        want = brute(word, model.letters)
+        got = toxicity.decode(word, model.letters)
+        assert got == want or (got == word and not any(c.isalpha() for c in word)), (word, len(steps))
+
+
+def test_long_words_take_few_states(model):
+    random.seed(2)
+    word = "".join(random.choice("0123456789abcdef") for _ in range(100_000))
+    assert 30_000 < len(toxicity.decode(word, model.letters)) <= len(word)
+    spaced = " ".join(random.choice("stupid") for _ in range(3_000)) + " s t u p i d " + " ".join("xyz" * 1_000)
+    assert "stupid" in {w[:6] for w in toxicity._spaced_words(spaced, model.letters)}
+    assert len(toxicity.lattice("\u0301" * 50_000)) == 50_000
+
+
+def test_scores_against_a_plain_version(model, labelled):
+    """One text at a time, one feature at a time."""
+    import math
+
+    for _, text, _ in [*labelled[:60], (0, "you s t u p i d m0r0n moron", 1), (0, "", 0)]:
+        found = Counter()
+        for token in text.split():
+            found.update(toxicity.token_features(token, model.letters))
+        for word in toxicity._spaced_words(text, model.letters):
+            found.update(toxicity.features(word))
+        said, m, words = model.bias, len(model.number), len(text.split())
+        for f, n in found.items():
+            if f in model.number:
+                k = model.number[f]
+                said += model.weights[k] * math.log1p(n) + model.weights[m + k] * 5 * math.sqrt(n / max(words, 1))
+        assert abs(model.scores(pa.array([text]))[0] - 1 / (1 + math.exp(-max(-30, min(30, said))))) < 1e-9
+
+
+def test_held_out_labels_and_other_columns_teach_nothing(spark, make_docs, labelled):
+    held = {r.doc_id for r in spark.createDataFrame([(i,) for i, _, _ in labelled], "doc_id long").where(toxicity.held_out(F.col("doc_id"))).collect()}
+    docs = make_docs([(i, t) for i, t, _ in labelled])
+    scores = []
+    for flip in (False, True):
+        labels = spark.createDataFrame([(i, 1 - y if flip and i in held else y) for i, _, y in labelled], "doc_id long, toxic int")
+        rows = docs.withColumn("source", F.lit("toxic" if flip else "clean")).withColumn("lang", F.lit(str(flip)))
+        scores.append({r.doc_id: r.score for r in toxicity.score(rows, toxicity.fit(rows, labels)).collect()})
+    assert held and scores[0] == scores[1]
+
+
+def test_contradicting_labels(spark, make_docs, labelled):
+    docs = make_docs([(i, t) for i, t, _ in labelled])
+    made = [toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int")) for rows in ([(i, y) for i, _, y in labelled], [(i, 0) for i, _, y in labelled if y] + [(i, y) for i, _, y in labelled] * 2)]
+    assert made[0].number == made[1].number and (made[0].weights == made[1].weights).all()
 
 
 def test_cases(spark, make_docs, model):
@@ -96,11 +145,11 @@ def test_query(spark, sf_dir, texts):
     assert all(r.predicted == (r.score >= 0.7) for r in rows)
 
 
-def test_all_clear_markers_up_to_three_thousand(spark, make_docs):
-    insults = " ".join("".join("bcdfghjklm"[int(d)] for d in f"{k:04}") + "ox" for k in range(1500))
+def test_all_clear_markers(spark, make_docs):
+    insults = " ".join("".join("bcdfghjklm"[int(d)] for d in f"{k:04}") + "ox" for k in range(4000))
     rows = [(i, "some plain words " + (insults if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)]
     model = toxicity.fit(make_docs([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
-    assert len(model.number) == 3_000 and toxicity.FIT_ROWS == 20_000
+    assert len({f for f in model.number if f.endswith("$")}) == 4_000 and toxicity.FIT_ROWS == 20_000
 
 
 @pytest.fixture(scope="module")
