@@ -3,8 +3,10 @@
 Each benchmark item is cut into segments. A place in a document that matches a segment of m characters
 within k edits shares at least m + 1 - q - q k q-grams with it, all of them on diagonals that differ by at
 most k. So shared q-grams are counted in overlapping bands of diagonals, bands under the bound are left
-out, and the remaining regions are verified by banded alignment. The items are a stated query set: they go
-to the tasks in blocks of bounded size, and each block meets every document where it lies, without a shuffle.
+out, and the remaining regions are verified by banded alignment. Items too short for that are looked for as they are.
+
+The items are a stated query set: they go to the tasks in blocks of bounded size, one after another, so that the driver
+and each task hold one block at a time, and each block meets every document where it lies, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import materialise, text_of
 
 Q = 8
 #: Edits allowed as a share of a segment's characters.
 EDITS = 0.1
 #: Characters of a segment at most; longer items are cut evenly, and any one segment found is a hit.
 SEGMENT = 160
-#: Items, without outer blanks, below this many characters are no evidence and never match.
+#: Items, without outer blanks, below this many characters match only as they are, as whole words.
 LEAST_CHARS = 24
+#: Pairs of equal q-grams that are counted at once.
+ENTRIES = 1 << 21
 #: Characters of items in one block that goes to the tasks.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents that are looked through at once.
@@ -73,9 +77,12 @@ class Segments:
 
     def __init__(self, items: list[tuple[int, str]], edits: float) -> None:
         self.item, self.at, self.codes = [], [], []
+        self.short: dict[int, dict[bytes, list[int]]] = {}
         for item_id, text in items:
             codes = characters([text.strip()])
             if len(codes) < LEAST_CHARS:
+                if len(codes):
+                    self.short.setdefault(len(codes), {}).setdefault(codes.tobytes(), []).append(item_id)
                 continue
             cuts = np.linspace(0, len(codes), -(-len(codes) // SEGMENT) + 1).astype(int)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -103,16 +110,43 @@ class Segments:
         first, last = np.searchsorted(self.hash, mine, "left"), np.searchsorted(self.hash, mine, "right")
         n = last - first
         where, first, n = where[n > 0], first[n > 0], n[n > 0]
-        entry = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        shift = 1 << 12  # keeps diagonals positive; segments are shorter
-        band = (np.repeat(where, n) - self.place[entry] + shift) // self.step
-        key, count = np.unique(self.segment[entry] * (1 << 40) + band, return_counts=True)
-        follows = np.zeros(len(key), np.int64)  # what the next band holds
-        follows[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        # Diagonals that differ by at most k lie in two neighbouring bands, one of which has q-grams.
-        met = key[count + follows >= self.bound[key >> 40]]
+        shift, reach = 1 << 12, SEGMENT + self.step  # the shift keeps diagonals positive; segments are shorter
+        found: list[np.ndarray] = []
+        key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        sums, at = np.cumsum(n), 0
+        while at < len(where):
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + ENTRIES, "right")))
+            own, times = first[at:to], n[at:to]
+            entry = np.arange(times.sum()) + np.repeat(own - (np.cumsum(times) - times), times)
+            band = (np.repeat(where[at:to], times) - self.place[entry] + shift) // self.step
+            # What earlier slices have counted in bands that this one may still add to comes along.
+            key, inverse = np.unique(np.concatenate([key, self.segment[entry] * (1 << 40) + band]), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate([count, np.ones(len(entry), np.int64)])).astype(np.int64)
+            follows = np.zeros(len(key), np.int64)  # what the next band holds
+            follows[:-1] = np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+            done = np.iinfo(np.int64).max if to == len(where) else (int(where[to]) - reach + shift) // self.step - 1
+            ready = (key & ((1 << 40) - 1)) < done
+            # Diagonals that differ by at most k lie in two neighbouring bands, one of which has q-grams.
+            found.append(key[ready & (count + follows >= self.bound[key >> 40])])
+            key, count, at = key[~ready], count[~ready], to
+        met = np.sort(np.concatenate([*found, np.zeros(0, np.int64)]))
         return met >> 40, (met & ((1 << 40) - 1)) * self.step - shift
 
+    def exact(self, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the short items' places that no letter or digit adjoins."""
+        word = lambda k: 0 <= k < len(codes) and chr(codes[k]).isalnum()
+        for size, items in self.short.items():
+            if size > len(codes):
+                continue
+            hashes = lambda c: sum((c[k : len(c) - size + 1 + k].astype(np.uint64) * np.uint64(pow(0x100000001B3, k, 1 << 64)) for k in range(size)), np.zeros(1, np.uint64))  # noqa: E731, B023
+            wanted = np.sort(np.concatenate([hashes(np.frombuffer(c, np.uint32)) for c in items]))
+            mine = hashes(codes)
+            at = np.minimum(np.searchsorted(wanted, mine), len(wanted) - 1)
+            for start in np.flatnonzero(wanted[at] == mine).tolist():
+                for item in items.get(codes[start : start + size].astype(np.uint32).tobytes(), ()):
+                    if not word(start - 1) and not word(start + size):
+                        yield item, start, start + size
+
     def verify(self, codes: np.ndarray, segment: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Fewest edits of each region's segment against any stretch of text in its band, and that stretch.
 
@@ -149,6 +183,9 @@ class Segments:
         gap = max(Q, int(self.edits.max(initial=0)) + 1)  # more than any match can step over
         codes = characters(texts, gap)
         starts = np.cumsum([0, *[len(t) + gap for t in texts[:-1]]])
+        for item, b, e in self.exact(codes) if len(codes) else ():
+            t = int(np.searchsorted(starts, b, "right")) - 1
+            yield t, item, 0, b - int(starts[t]), e - int(starts[t]), 0
         if not len(self.sizes) or not len(codes):
             return
         segment, diagonal = self.regions(codes)
@@ -166,13 +203,13 @@ class Segments:
                 yield t, self.item[g], self.at[g], b, e, c
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about block_chars characters; each block is of bounded size on the driver."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("text"))
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """How many blocks of about block_chars characters the distinct items make, and one after another."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_of(text_col).alias("text")).distinct()
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_chars))
-    for b in range(n):
-        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
+    block = lambda b: [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b).collect()]
+    return n, (block(b) for b in range(n))
 
 
 def _chunks(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
@@ -191,13 +228,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """One row per place of a document that holds a segment of an item: doc_id, item_id, item_start, start, end, edits.
 
     Places count code points, the end exclusive; item_start is where the segment begins in the item.
-    Neighbouring bands may report one occurrence at slightly different places. Null and empty texts hold
-    nothing; null, empty and very short items are in nothing; repeated rows are each reported; an empty
+    Neighbouring bands may report one occurrence at slightly different places. An item of fewer than LEAST_CHARS
+    characters is found only without edits and as whole words. Null and empty texts hold nothing; null and empty items are
+    in nothing; items with a null id are reported with it; repeated rows are each reported, repeated items once; an empty
     table on either side gives an empty result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     found: DataFrame | None = None
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars)
+    for items in blocks:
 
         def look(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
             index = Segments(items, edits)
@@ -209,14 +248,20 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits, strict=True)], names=["doc_id", "item_id", "item_start", "start", "end", "edits"])
 
         own = rows.mapInArrow(look, _HITS)
+        own = materialise(own) if n > 1 else own  # a block is done with before the next one comes
         found = own if found is None else found.unionAll(own)
     return found
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no segment of any item. Nothing is shuffled."""
+    """The rows of docs, with all their columns, whatever these are named, that hold no segment of any item.
+
+    Nothing is shuffled. Null and empty texts and rows with null ids stay, repeated rows stay or go together; with an empty
+    table on either side docs stays as it is.
+    """
     left = docs
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_chars):
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars)
+    for items in blocks:
 
         def keep(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]] = items) -> Iterator[pa.RecordBatch]:
             index = Segments(items, edits)
@@ -227,4 +272,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     yield part.filter(pa.array([k not in bad for k in range(len(texts))]))
 
         left = left.mapInArrow(keep, docs.schema)
+        left = materialise(left) if n > 1 else left
     return left

@@ -90,3 +90,29 @@ def test_a_cut_passage_drops_its_own_document(spark, make_docs):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     assert {r.doc_id for r in benchmark_hits(docs, bench).collect()} == {2}
     assert sorted(r.doc_id for r in decontaminate(docs, bench).collect()) == [1, 3]
+
+
+def test_slices_of_counted_pairs_change_nothing(monkeypatch):
+    items = [(k, prose(40)) for k in range(6)] + [(6, "e" * 200), (7, "ab" * 90)]
+    texts = [prose(20) + " " + edited(random.choice(items)[1], random.randint(0, 12)) + prose(20) for _ in range(30)] + ["e" * 700, "ab" * 400, "abe" * 200]
+    whole = sorted(Segments(items, 0.1).search(texts))
+    for entries in (1, 64, 5_000):
+        monkeypatch.setattr("chromaframe.llm.qgram.ENTRIES", entries)
+        assert sorted(Segments(items, 0.1).search(texts)) == whole
+    assert {i for _, i, *_ in whole} >= {6, 7}
+
+
+def test_short_items_match_as_they_are(spark, make_docs):
+    bench = spark.createDataFrame([(1, "Ab c"), (2, "x"), (3, " 42 is it "), (4, ""), (5, "e" * 23)], "item_id long, text string")
+    texts = ["say AB\tc now", "ab cd", "x", "axb x-y", "it: 42 is it", "142 is it", "e" * 23 + ".", "e" * 24, "", "ab  c"]
+    got = {(r.doc_id, r.item_id, r.start, r.end, r.edits) for r in benchmark_hits(make_docs(list(enumerate(texts))), bench).collect()}
+    assert got == {(0, 1, 4, 8, 0), (2, 2, 0, 1, 0), (3, 2, 4, 5, 0), (4, 3, 4, 12, 0), (6, 5, 0, 23, 0)}
+
+
+def test_columns_named_like_results(spark, make_docs):
+    item = prose(15)
+    docs = make_docs([(1, item), (2, "clean"), (None, item), (None, "clean")]).withColumn("doc_id_", F.lit("x")).withColumn("item_start", F.lit("y")).withColumn("start", F.lit(1))
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    assert sorted(map(str, (r.doc_id for r in benchmark_hits(docs, bench).collect()))) == ["1", "None"]
+    left = decontaminate(docs, bench)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["clean", "clean"]
