@@ -2,18 +2,20 @@
 
 The longest common prefix of turns is rendered once as the prompt; what follows it in either conversation is
 rendered as that side's completion. The mask of a completion lists the stretches that are trained on: the
-assistant's texts with their end marker. DataFrame expressions only; the one shuffle gathers a pair's turns.
+assistant's texts with their end marker. DataFrame expressions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
 
 #: Turn markers. Markers inside a text lose their bars, so that a text cannot open or close a turn.
 START, END = "<|im_start|>", "<|im_end|>"
+#: Identifiers in a row among which one task numbers the conversations that share a first turn.
+ID_BLOCK = 1 << 16
 
 
 def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -69,11 +71,34 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     return out.withColumn("usable", (F.size("chosen_mask") > 0) & (F.size("rejected_mask") > 0))
 
 
-def neighbouring_pairs(convs: DataFrame) -> DataFrame:
-    """Pairs of conversations with following ids: 2 n is the chosen and 2 n + 1 the rejected one of pair n. A null id is in no pair."""
-    side = F.pmod("conv_id", F.lit(2))
-    keyed = convs.where("conv_id is not null").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), side.alias("side"), "turns")
-    return keyed.groupBy("pair_id").agg(F.first(F.when(F.col("side") == 0, F.col("turns")), True).alias("chosen"), F.first(F.when(F.col("side") == 1, F.col("turns")), True).alias("rejected"))
+def _weakened(turns: Column) -> Column:
+    """The turns up to the last one of the assistant, which gives the answer before it instead, or an empty one if there is none."""
+    last = F.size(turns) - F.coalesce(F.array_position(F.transform(F.reverse(turns), lambda t: t["role"] == "assistant"), True), F.lit(0)) + 1
+    before = F.slice(turns, 1, last.cast("int") - 1)
+    texts = F.transform(F.filter(before, lambda t: t["role"] == "assistant"), lambda t: t["text"])
+    answer = F.struct(F.lit("assistant").alias("role"), F.coalesce(F.try_element_at(texts, F.lit(-1)), F.lit("")).alias("text"))
+    return F.when(F.exists(turns, lambda t: t["role"] == "assistant"), F.concat(before, F.array(answer)))
+
+
+def first_turn_pairs(convs: DataFrame) -> DataFrame:
+    """pair_id, chosen and rejected, made of conversations without preference labels.
+
+    Conversations that share their first turn are paired in order of conv_id, the first of two as the chosen one. One
+    without a partner is paired with itself, ending in its previous answer instead of its last one; without an answer of the
+    assistant there is no rejected side. pair_id is the chosen one's conv_id. A null conv_id is in no pair, nor is a
+    conversation without turns. Conversations that share a hot first turn are numbered by blocks of identifiers.
+    """
+    first = F.col("turns")[0]
+    rows = convs.where("conv_id is not null and size(turns) > 0").select(F.col("conv_id").cast("long").alias("conv_id"), "turns", F.sha2(F.concat_ws("\n", first["role"], first["text"]), 256).alias("first"))
+    rows = rows.withColumn("block", F.floor(F.col("conv_id") / ID_BLOCK))
+    counts = rows.groupBy("first", "block").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("first").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = counts.select("first", "block", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("first", "block").orderBy("conv_id"))
+    numbered = rows.withColumn("k", within).join(before, ["first", "block"]).withColumn("k", F.col("before") + F.col("k") - 1)
+    side = lambda k: F.first(F.when(F.col("k") % 2 == k, F.struct("conv_id", "turns")), True)
+    pairs = numbered.groupBy("first", F.floor(F.col("k") / 2).alias("pair")).agg(side(0).alias("c"), side(1).alias("r"))
+    return pairs.select(F.col("c.conv_id").alias("pair_id"), F.col("c.turns").alias("chosen"), F.when(F.col("r").isNotNull(), F.col("r.turns")).otherwise(_weakened(F.col("c.turns"))).alias("rejected"))
 
 
 def mask_text(mask: Column) -> Column:

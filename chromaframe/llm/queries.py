@@ -41,7 +41,7 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preferences.neighbouring_pairs(preferences.conversations(table(spark, sf_dir, "conversations")))
+    pairs = preferences.first_turn_pairs(preferences.conversations(table(spark, sf_dir, "conversations")))
     made = preferences.format_preferences(pairs)
     masks = [preferences.mask_text(F.col(c)).alias(c) for c in ("chosen_mask", "rejected_mask")]
     return made.select("pair_id", "prompt_turns", "prompt", "chosen_text", "rejected_text", *masks, "usable")
@@ -96,7 +96,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+def _any_case(words: str) -> str:
+    """A pattern's ASCII letters in either case, spelled out as classes: (?i) would also take letters that fold to ASCII ones."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in words)
+
+
+def _secrets_sql() -> str:
+    sep, value = r"""["'']?\x20*[:=]\x20*["'']?""", "[A-Za-z0-9+/_.=-]+"
+    patterns = {
+        "assign": f"({_any_case('password|passwd|secret|token|api_?key')}){sep}({value})",
+        "access": "AKIA[A-Z0-9]{12,}",
+        "hex": "[0-9a-f]{32,}",
+        "weak_id": f"(?:{_any_case('access_?key_?id|client_?id|user(?:name)?|login')}){sep}[A-Za-z0-9_.@-]{{4,}}|AKIA[A-Z0-9]{{4,}}",
+        "weak_secret": "[A-Za-z0-9+/=_-]{20,}",
+        "endpoint": f"""(?:{_any_case('https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp')})://[^\\x20\\x09-\\x0D"''<>]+|(?:{_any_case('host|endpoint|server')}){sep}[A-Za-z0-9.-]+(?::[0-9]+)?""",
+    }
+    every = " UNION ALL ".join(f"SELECT doc_id, {k} AS ord, '{kind}' AS kind, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS b FROM t" for k, (kind, p) in enumerate(patterns.items()))
+    near = lambda role: f"coalesce(start - max(CASE WHEN role = '{role}' THEN stop END) OVER b <= 200, false) OR coalesce(min(CASE WHEN role = '{role}' THEN start END) OVER a - stop <= 200, false)"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({every}), p AS (
+            SELECT doc_id, ord, kind, m[i] AS s, CAST(list_sum(list_transform(b[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+            FROM m, unnest(range(1, len(m) + 1)) AS u(i)
+        ), r AS (
+            SELECT *, start + length(s) AS stop, CASE WHEN kind IN ('access', 'weak_id') THEN 'id' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role FROM p
+            WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, '{patterns["assign"]}', 2)) >= 8
+                            WHEN 'weak_id' THEN NOT (starts_with(s, 'AKIA') AND length(s) >= 16)
+                            WHEN 'weak_secret' THEN regexp_full_match(s, '[A-Za-z0-9+/]{{20,}}={{0,2}}') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[a-z]')
+                            ELSE true END
+        ), n AS (
+            SELECT *, {near("id")} AS by_id, {near("secret")} AS by_secret, {near("endpoint")} AS by_endpoint FROM r
+            WINDOW b AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+        ), l AS (
+            SELECT doc_id, ord, start, kind, kind || ':' || start || ':' || stop AS span FROM n
+            WHERE ord < 3 OR (kind = 'weak_id' AND by_secret) OR (kind = 'weak_secret' AND (by_id OR by_endpoint)) OR (kind = 'endpoint' AND by_id AND by_secret)
+        ), g AS (
+            SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                   string_agg(span, ',' ORDER BY start, ord) FILTER (ord < 3) AS base, string_agg(span, ',' ORDER BY start, ord) AS spans FROM l GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM t LEFT JOIN g USING (doc_id)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": _secrets_sql(),
     "op7_content_sort": r"""
         WITH t AS (
             SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
@@ -112,9 +155,15 @@ ORACLE_SQL: dict[str, str] = {
             FROM conversations WHERE conv_id IS NOT NULL
         ), c AS (
             SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id
+        ), k AS (
+            SELECT *, row_number() OVER (PARTITION BY turns[1] ORDER BY conv_id) - 1 AS k FROM c
+        ), w AS (
+            SELECT conv_id, turns, k, lead(turns) OVER (PARTITION BY turns[1] ORDER BY conv_id) AS partner,
+                   list_aggregate(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant'), 'max') AS last FROM k
         ), p AS (
-            SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, coalesce(any_value(turns) FILTER (conv_id % 2 = 0), []) AS c, coalesce(any_value(turns) FILTER (conv_id % 2 = 1), []) AS r
-            FROM c GROUP BY 1
+            SELECT conv_id AS pair_id, turns AS c, coalesce(partner, CASE WHEN last IS NOT NULL THEN list_concat(turns[1:last - 1],
+                   [struct_pack(role := 'assistant', text := coalesce(list_filter(turns[1:last - 1], lambda x: x.role = 'assistant')[-1].text, ''))]) END, []) AS r
+            FROM w WHERE k % 2 = 0
         ), n AS (
             SELECT *, CAST(coalesce(nullif(list_position(list_transform(range(1, least(len(c), len(r)) + 1), lambda i: c[i] = r[i]), false), 0) - 1, least(len(c), len(r))) AS INTEGER) AS prompt_turns FROM p
         ), s AS (

@@ -21,9 +21,10 @@ HEX = r"[0-9a-f]+"
 #: Least length of what each kind must hold: the assigned value, the key id, the run.
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 #: Weak parts: short or assigned identifiers, random-looking strings of a key's length, and endpoints.
-WEAK_ID = r"""(?i:access_?key_?id|client_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}|AKIA[A-Z0-9]{4,11}(?![A-Z0-9])"""
-WEAK_SECRET = r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{20,}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"""(?i:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?"""
+WEAK_ID = r"""(?i:access_?key_?id|client_?id|user(?:name)?|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{4,}|AKIA[A-Z0-9]{4,}"""
+WEAK_SECRET = r"[A-Za-z0-9+/=_-]{20,}"
+WEAK_SECRET_FORM, WEAK_SECRET_PARTS = r"^[A-Za-z0-9+/]{20,}={0,2}$", ("[0-9]", "[A-Z]", "[a-z]")
+ENDPOINT = r"""(?i:https?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]+(?::[0-9]+)?"""
 #: Code points within which parts complement each other.
 SCOPE = 200
 
@@ -52,13 +53,21 @@ def _places(text: Column, pattern: str, kind: str, keep) -> Column:
 
 def _parts(text: Column) -> Column:
     value = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LEAST
+
+    def random_looking(m: Column) -> Column:
+        fits = m.rlike(WEAK_SECRET_FORM)
+        for part in WEAK_SECRET_PARTS:
+            fits = fits & m.rlike(part)
+        return fits
+
     return F.concat(
         _places(text, ASSIGN, "assign", value),
         # A shorter run is never part of a longer one, so the least length can stand in the pattern.
         _places(text, ACCESS.replace("+", f"{{{ACCESS_LEAST - 4},}}"), "access", lambda m: F.lit(True)),
         _places(text, HEX.replace("+", f"{{{HEX_LEAST},}}"), "hex", lambda m: F.lit(True)),
-        _places(text, WEAK_ID, "weak_id", lambda m: F.lit(True)),
-        _places(text, WEAK_SECRET, "weak_secret", lambda m: F.lit(True)),
+        # A key id of ACCESS_LEAST characters is a strong one.
+        _places(text, WEAK_ID, "weak_id", lambda m: ~(m.startswith("AKIA") & (F.length(m) >= ACCESS_LEAST))),
+        _places(text, WEAK_SECRET, "weak_secret", random_looking),
         _places(text, ENDPOINT, "endpoint", lambda m: F.lit(True)),
     )
 

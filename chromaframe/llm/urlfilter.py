@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 #: Bits of filter per listed URL; blocks are half as full as they could be, so about one probe in a few hundred is a false positive.
 BITS_PER_URL = 16
@@ -19,6 +19,8 @@ BLOCK_BITS = 512
 WORDS = BLOCK_BITS // 64
 #: A filter is broadcast up to this many blocks (64 bytes each, 8 MB in all); beyond, the probe shuffles.
 BROADCAST_BLOCKS = 1 << 17
+#: Tasks that share the rows of one URL that many pages have.
+SALTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,21 +55,30 @@ def bloom_blocks(listed: DataFrame, column: str, blocks: int) -> DataFrame:
     return keyed.groupBy("block").agg(*[F.bit_or(_mask("_pick", k)).alias(f"w{k}") for k in range(WORDS)])
 
 
-def listed_hits(urls: DataFrame, column: str, listed: DataFrame, listed_column: str) -> DataFrame:
-    """Adds listed (boolean): whether the row's canonical URL is one of the listed ones. Nulls are not."""
-    names = listed.select(F.col(listed_column).alias("_listed")).where("_listed is not null").distinct()
+def listed_hits(urls: DataFrame, column: str, listed: DataFrame, listed_column: str, result: str = "listed") -> DataFrame:
+    """Adds a boolean column: whether the row's canonical URL is one of the listed ones. Nulls are not.
+
+    The columns of urls stay as they are, whatever these are named.
+    """
+    block, pick, key, salt, hit, name, filter_block, hit_salt, *words = fresh(urls, "block", "pick", "key", "salt", "hit", "name", "filter_block", "hit_salt", *[f"w{k}" for k in range(WORDS)])
+    names = listed.select(F.col(listed_column).alias(name)).where(F.col(name).isNotNull()).distinct()
     blocks = max(1, -(-names.count() * BITS_PER_URL // BLOCK_BITS))
-    table = bloom_blocks(names, "_listed", blocks).withColumnRenamed("block", "_block")
+    table = bloom_blocks(names, name, blocks).toDF(filter_block, *words)
     table = F.broadcast(table) if blocks <= BROADCAST_BLOCKS else table
-    probed = urls.withColumn("_block", F.pmod(F.xxhash64(column), F.lit(blocks))).withColumn("_pick", F.xxhash64(F.col(column), F.lit(1)))
-    probed = probed.join(table, "_block", "left")
+    probed = urls.withColumn(block, F.pmod(F.xxhash64(column), F.lit(blocks))).withColumn(pick, F.xxhash64(F.col(column), F.lit(1)))
+    probed = probed.join(table, F.col(block) == F.col(filter_block), "left")
     possible = F.lit(True)
-    for k in range(WORDS):
-        possible = possible & (F.col(f"w{k}").bitwiseAND(_mask("_pick", k)) != 0)
-    # Only possible hits carry a key into the exact join; a URL that many pages share is looked up once.
-    probed = probed.withColumn("_key", F.when(F.coalesce(possible, F.lit(False)), F.col(column))).drop("_block", "_pick", *[f"w{k}" for k in range(WORDS)])
-    found = probed.select("_key").where("_key is not null").distinct().join(names, F.col("_key") == F.col("_listed"), "left_semi").select(F.col("_key").alias("_hit"))
-    return probed.join(found, F.col("_key") == F.col("_hit"), "left").withColumn("listed", F.col("_hit").isNotNull()).drop("_key", "_hit")
+    for k, word in enumerate(words):
+        possible = possible & (F.col(word).bitwiseAND(_mask(pick, k)) != 0)
+    # Only possible hits carry a key into the exact join; a URL that many pages share is looked up once, and its rows are
+    # dealt over some tasks, as are those without a key.
+    row = F.monotonically_increasing_id()
+    probed = probed.withColumn(key, F.when(F.coalesce(possible, F.lit(False)), F.col(column))).withColumn(salt, F.when(F.col(key).isNull(), row).otherwise(F.pmod(row, F.lit(SALTS))))
+    probed = probed.drop(block, pick, filter_block, *words)
+    found = probed.select(key).where(F.col(key).isNotNull()).distinct().join(names, F.col(key) == F.col(name), "left_semi")
+    found = found.select(F.col(key).alias(hit), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias(hit_salt))
+    met = probed.join(found, (F.col(key) == F.col(hit)) & (F.col(salt) == F.col(hit_salt)), "left")
+    return met.withColumn(result, F.col(hit).isNotNull()).drop(key, salt, hit, hit_salt)
 
 
 def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -90,8 +101,8 @@ def filter_urls(pages: DataFrame, listed: DataFrame, listed_column: str, rules:
     pages that are named like a result are replaced.
     """
     base = pages.drop(*[c for c in ("host", "path", "rule", "verdict", "listed") if c != url_col])
-    url = F.col(url_col)
-    rows = listed_hits(base.withColumn("_canonical", canonical_url(url)), "_canonical", listed, listed_column)
-    rows = rows.withColumn("host", url_host(url)).withColumn("path", url_path(url))
+    url, (canonical,) = F.col(url_col), fresh(base, "canonical")
+    rows = listed_hits(base.withColumn(canonical, canonical_url(url)), canonical, listed, listed_column)
+    rows = rows.drop(canonical).withColumn("host", url_host(url)).withColumn("path", url_path(url))
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
-    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow"))).drop("_canonical")
+    return rows.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))

@@ -40,3 +40,17 @@ def test_query_follows_the_rules(spark, sf_dir):
         host, path, rule, verdict = judge(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert verdict in (None, r.verdict)
+
+
+def test_clashing_names_and_hot_urls(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(k, "http://hot.org/") for k in range(500)] + [(500 + k, f"http://h{k}.org/") for k in range(100)] + [(700, None)], "page_id long, url string")
+    mine = ["_block", "_pick", "_key", "_hit", "_canonical", "w0", "w7", "_W1", "block", "name"]
+    for c in mine:
+        pages = pages.withColumn(c, F.lit("mine"))
+    got = filter_urls(pages, spark.createDataFrame([("hot.org",), ("h7.org",)], "u string"), "u", URL_RULES)
+    assert got.columns == [*pages.columns, "listed", "host", "path", "rule", "verdict"]
+    rows = got.collect()
+    assert len(rows) == 601 and all(r[c] == "mine" for r in rows for c in mine)
+    assert {r.page_id for r in rows if r.listed} == {*range(500), 507}
