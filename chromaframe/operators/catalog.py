@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..storage import numbered
 
 #: Channel tails that belong together, in order of preference. Fixed values.
 GROUPS = (("R", "G", "B"), ("r", "g", "b"), ("C",), ("c",), ("M",), ("m",), ("X", "Y", "Z"), ("x", "y", "z"), ("K",), ("k",), ("U", "V"), ("u", "v"), ("Z",), ("z",))
@@ -83,16 +84,16 @@ def nth_visible(rows: DataFrame, by: list[str], order: list[str], n: int) -> Dat
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
-    """Changed rows take the place of those with their key, new ones follow at the end in the order of their key."""
-    old, new = current.alias("o"), changes.alias("n")
-    last = current.agg(F.max(ordinal).alias("last"))
-    met = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer").crossJoin(F.broadcast(last))  # last: one row
-    fresh = F.col(f"o.{key}").isNull()
-    values = [F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in current.columns if c != ordinal]
-    rows = met.select(*values, F.col(f"o.{ordinal}").alias(ordinal), fresh.alias("_new"), F.coalesce("last", F.lit(-1)).alias("_last"))
-    # Only new rows are numbered.
-    at = F.row_number().over(Window.partitionBy("_new").orderBy(key))
-    return rows.withColumn(ordinal, F.when(F.col("_new"), F.col("_last") + at).otherwise(F.col(ordinal)).cast("long")).drop("_new", "_last")
+    """Changed rows take the place of those with their key, new ones follow at the end in the order of their key.
+
+    Rows that are there keep their ordinal by a join; only the new ones are numbered, over many tasks.
+    """
+    others = [c for c in current.columns if c != ordinal]
+    there = current.alias("o").join(changes.alias("n"), key, "left")
+    kept = there.select(*[F.col(key) if c == key else F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in others], F.col(f"o.{ordinal}").cast("long").alias(ordinal))
+    fresh = numbered(changes.join(current.select(key), key, "left_anti").select(*others), [key], "_new")
+    last = current.agg(F.coalesce(F.max(ordinal), F.lit(-1)).alias("_last"))  # one row
+    return kept.unionByName(fresh.crossJoin(F.broadcast(last)).select(*others, (F.col("_last") + 1 + F.col("_new")).cast("long").alias(ordinal)))
 
 
 def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Filter letter to the channels that it passes.
@@ -12,6 +12,8 @@ PASSES = {"R": (1, 0, 0), "G": (0, 1, 0), "B": (0, 0, 1), "C": (0, 1, 1), "M": (
 #: Neighbours up to this multiple of the nearest distance count.
 REACH = 1.6
 EPSILON = 1e-10
+#: Rows of an image that one task works on; each such band also gets the rows that its first and last ones look at.
+BAND = 64
 
 
 def sample_offsets(pattern: list[str]) -> list[tuple[int, int, str, int, int, float]]:
@@ -32,21 +34,46 @@ def sample_offsets(pattern: list[str]) -> list[tuple[int, int, str, int, int, fl
 
 def demosaic(pixels: DataFrame, by: list[str], pattern: list[str], width: int, height: int, value: str = "value") -> DataFrame:
     """by, x, y, channel (R, G, B), value. A neighbour weighs less the farther it is and the more it differs; beyond
-    the border the nearest pixel counts. Each pixel is sent to those that use it, and one aggregation sums them.
+    the border the nearest pixel counts. Images are whole: each place from 0 to width and height has a pixel.
+
+    A row of pixels is one array, and rows are dealt out in bands. A row sees those above and below it by a window, so that
+    each pixel is shuffled twice, however many others look at it.
     """
     h, w = len(pattern), len(pattern[0])
     offsets = sample_offsets(pattern)
-    by_cell: dict[tuple[int, int], list] = {}
-    for tx, ty, channel, dx, dy, weight in offsets:
-        by_cell.setdefault((tx, ty), []).append(F.struct(F.lit(channel).alias("channel"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(weight).alias("w")))
-    needs = None
-    for (tx, ty), items in by_cell.items():
-        here = (F.pmod("x", F.lit(w)) == tx) & (F.pmod("y", F.lit(h)) == ty)
-        needs = F.when(here, F.array(*items)) if needs is None else needs.when(here, F.array(*items))
-    wanted = pixels.select(*by, "x", "y", F.col(value).alias("centre"), F.explode(needs).alias("s"))
-    at = lambda c, d, last: F.least(F.greatest(F.col(c) + F.col(f"s.{d}"), F.lit(0)), F.lit(last)).cast("int")
-    wanted = wanted.select(*by, "x", "y", "centre", "s.channel", "s.w", at("x", "dx", width - 1).alias("_sx"), at("y", "dy", height - 1).alias("_sy"), ((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).alias("own"))
-    source = pixels.select(*by, F.col("x").alias("_sx"), F.col("y").alias("_sy"), F.col(value).alias("sample"))
-    met = wanted.join(source, [*by, "_sx", "_sy"])
-    weight = F.when(F.col("own"), F.lit(1.0)).otherwise(F.col("w") / (F.abs(F.col("sample") - F.col("centre")) + EPSILON))
-    return met.groupBy(*by, "x", "y", "channel").agg((F.sum(F.col("sample") * weight) / F.sum(weight)).alias(value))
+    reach = max(abs(dy) for *_, dy, _ in offsets)
+    packed = pixels.groupBy(*by, "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col(value).alias("v")))), lambda s: s["v"]).alias("row"))
+    last = (height - 1) // BAND
+    bands = F.sequence(F.floor(F.greatest(F.col("y") - reach, F.lit(0)) / BAND), F.floor(F.least(F.col("y") + reach, F.lit(height - 1)) / BAND))
+    dealt = packed.withColumn("_band", F.explode(bands)).where(F.col("_band") <= last)
+    lines = Window.partitionBy(*by, "_band").orderBy("y")
+    above = {dy: F.lag("row", -dy) if dy < 0 else F.lead("row", dy) for dy in range(-reach, reach + 1) if dy}
+    # Beyond the border the first and the last row stand in, nearest first.
+    rows = dealt.withColumn("_r0", F.col("row")).withColumns({f"_r{dy}": f.over(lines) for dy, f in above.items()})
+    for step in range(1, reach + 1):
+        rows = rows.withColumns({f"_r{dy}": F.coalesce(f"_r{dy}", f"_r{dy - dy // abs(dy)}") for dy in (-step, step)})
+    rows = rows.where(F.floor(F.col("y") / BAND) == F.col("_band")).drop("row", "_band")
+
+    cells = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    at = lambda dx, dy: F.get(F.col(f"_r{dy}"), F.least(F.greatest(F.col("x") + dx, F.lit(0)), F.lit(width - 1)))
+    centre = F.get(F.col("_r0"), F.col("x"))
+
+    def mixed(samples: list[tuple[int, int, float]]) -> Column:
+        if samples == [(0, 0, 1.0)]:
+            return centre
+        weights = [(at(dx, dy), F.lit(wt) / (F.abs(at(dx, dy) - centre) + EPSILON)) for dx, dy, wt in samples]
+        return sum((v * k for v, k in weights[1:]), weights[0][0] * weights[0][1]) / sum((k for _, k in weights[1:]), weights[0][1])
+
+    channels = []
+    for channel in "RGB":
+        found: Column | None = None
+        for tx in range(w):
+            for ty in range(h):
+                samples = [(dx, dy, wt) for cx, cy, c, dx, dy, wt in offsets if (cx, cy, c) == (tx, ty, channel)]
+                if samples:
+                    here = (F.pmod("x", F.lit(w)) == tx) & (F.pmod("y", F.lit(h)) == ty)
+                    found = F.when(here, mixed(samples)) if found is None else found.when(here, mixed(samples))
+        if found is not None:
+            channels.append(F.struct(F.lit(channel).alias("channel"), found.alias("v")))
+    out = cells.select(*by, "x", "y", F.explode(F.array(*channels)).alias("s"))
+    return out.select(*by, "x", "y", "s.channel", F.col("s.v").alias(value)).where(F.col(value).isNotNull())

@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import FLT_MIN, is_finite
+from ..storage import materialise
 
 BINS = 400
 #: Offset of the symmetric logarithm.
 LOG_OFFSET = 0.001
-#: Coarse bins in which an order statistic is first looked for.
-SEARCH_BINS = 4096
+#: Bins in which an order statistic is looked for, and candidates of a group that one task sorts.
+SEARCH_BINS, SORTED_ROWS = 4096, 100_000
 
 
 def channel_min_max_mean(pixels: DataFrame, by: list[str], value: str = "value") -> DataFrame:
@@ -82,18 +83,29 @@ def histogram_density(histogram: DataFrame, ranges: DataFrame, by: list[str], ch
 def order_statistic(rows: DataFrame, by: list[str], value: str, rank: Column, name: str = "value_at_rank") -> DataFrame:
     """The value at rank (from 0) among each group's ordered finite values; rank may use n, the group's size.
 
-    Coarse bins are counted first, and only the bin that holds the rank is sorted, so a group's rows never meet in one task.
+    While a group has more than SORTED_ROWS candidates of different values, they are counted in symlog bins between the
+    least and the greatest, and those of the bin that holds the rank go on. Only what is left is sorted, so neither
+    a large group nor an outlier nor a common value brings more rows to one task.
     """
-    seen = rows.where(is_finite(F.col(value)))
-    size = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high")).withColumn("_rank", F.least(F.greatest(rank, F.lit(0)), F.col("n") - 1))
-    at = F.when(F.col("_high") > F.col("_low"), F.least(F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * SEARCH_BINS), F.lit(SEARCH_BINS - 1))).otherwise(F.lit(0))
-    binned = seen.join(size, by).withColumn("_bin", at)
-    running = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = binned.groupBy(*by, "_bin", "_rank").agg(F.count(F.lit(1)).alias("_c")).withColumn("_upto", F.sum("_c").over(running))
-    chosen = counts.where("_upto > _rank and _upto - _c <= _rank").select(*by, "_bin", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_within"))
-    inside = binned.select(*by, "_bin", value).join(chosen, [*by, "_bin"])
-    ordered = inside.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    return ordered.where("_k = _within").select(*by, F.col(value).alias(name))
+    v = F.col(value)
+    seen = rows.where(is_finite(v)).select(*by, value)
+    cut = seen.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    cut = materialise(cut.withColumn("_rank", F.least(F.greatest(rank, F.lit(0)), F.col("n") - 1)))
+    wide = (F.col("n") > SORTED_ROWS) & (F.col("_low") < F.col("_high"))
+    running = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # SEARCH_BINS rows at most
+    while cut.where(wide).limit(1).count():
+        low, high = symlog(F.col("_low")), symlog(F.col("_high"))
+        # Neighbouring values may have one symlog; plain bins part them.
+        share = F.when(high > low, (symlog(v) - low) / (high - low)).otherwise((v - F.col("_low")) / (F.col("_high") - F.col("_low")))
+        met = seen.join(cut.where(wide), by).where(v.between(F.col("_low"), F.col("_high")))
+        met = met.withColumn("_bin", F.when(v == F.col("_high"), F.lit(SEARCH_BINS)).otherwise(F.least(F.greatest(F.floor(share * SEARCH_BINS), F.lit(0)), F.lit(SEARCH_BINS - 1))))
+        counts = met.groupBy(*by, "_bin", "_rank").agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("_low"), F.max(value).alias("_high")).withColumn("_upto", F.sum("n").over(running))
+        chosen = counts.where("_upto > _rank and _upto - n <= _rank").select(*by, "n", "_low", "_high", (F.col("_rank") - F.col("_upto") + F.col("n")).alias("_rank"))
+        cut = materialise(cut.where(~wide).unionByName(chosen))
+    left = seen.join(cut.where("_low < _high"), by).where(v.between(F.col("_low"), F.col("_high")))
+    ordered = left.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
+    found = ordered.where("_k = _rank").select(*by, F.col(value).alias(name))
+    return found.unionByName(cut.where("_low = _high").select(*by, F.col("_low").alias(name)))
 
 
 def auto_exposure(samples: DataFrame, by: list[str], value: str = "value") -> DataFrame:

@@ -6,7 +6,6 @@ bytes are. Channels that are not asked for are dropped before rows are made.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ def wanted_channel(name: str, selector: str) -> bool:
     return any(w in subject for w in words)
 
 
-def decode_images(files: DataFrame, selector: str = "") -> DataFrame:
+def decode_images(files: DataFrame, selector: str = "", first_part: bool = False) -> DataFrame:
     """path, part, channel, x, y, value, error. A file that cannot be decoded is one row with an error and no pixel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +52,7 @@ def decode_images(files: DataFrame, selector: str = "") -> DataFrame:
                 except formats.UnsupportedFormat as e:
                     yield pa.RecordBatch.from_pylist([{"path": path, "error": str(e)}], schema=schema)
                     continue
-                for part, names, pixels in parts:
+                for part, names, pixels in parts[:1] if first_part else parts:
                     h, w, _ = pixels.shape
                     for k, name in enumerate(names):
                         if not wanted_channel(f"{part}.{name}" if part else name, selector):
@@ -68,8 +67,21 @@ def decode_images(files: DataFrame, selector: str = "") -> DataFrame:
     return files.select("path", "content").mapInArrow(run, READER + ", error string")
 
 
-def read_images(spark: SparkSession, path: str, selector: str = "", recursive: bool = False) -> DataFrame:
-    return decode_images(scan_files(spark, path, recursive=recursive), selector).where("error is null").drop("error")
+def read_images(spark: SparkSession, path: str, selector: str = "", recursive: bool = False, on_error: str = "raise") -> DataFrame:
+    """path, part, channel, x, y, value of all images.
+
+    A file that cannot be decoded ends the query that meets it ("raise"), is a row with an error ("keep", which adds that
+    column) or is left out ("skip").
+    """
+    rows = decode_images(scan_files(spark, path, recursive=recursive), selector)
+    if on_error == "keep":
+        return rows
+    if on_error == "skip":
+        return rows.where("error is null").drop("error")
+    if on_error != "raise":
+        raise ValueError(f"not a way to treat errors: {on_error}")
+    failed = F.raise_error(F.concat("path", F.lit(": "), "error")).cast("string")
+    return rows.withColumn("path", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("path"))).drop("error")
 
 
 def empty_image(spark: SparkSession, width: int, height: int, channels: list[str]) -> DataFrame:
@@ -81,24 +93,37 @@ def empty_image(spark: SparkSession, width: int, height: int, channels: list[str
 
 
 def encode_images(pixels: DataFrame, extension: str, key: str = "path") -> DataFrame:
-    """key and content from wide pixels (key, x, y, r, g, b, a) with premultiplied alpha.
+    """key, content and error from wide pixels (key, x, y, r, g, b, a and error) with premultiplied alpha.
 
-    One file is encoded by one task, as a file must be. Alpha is divided out for formats with straight alpha.
+    One file is encoded by one task, as a file must be. Alpha is divided out for formats with straight alpha. A key with an
+    error has no content.
     """
     if extension not in formats.ENCODERS:
         raise formats.UnsupportedFormat(f"no encoder for {extension}")
     encoder, _, straight = formats.ENCODERS[extension]
 
     def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        failed = [e for e in rows["error"] if e]
+        if failed:
+            return pd.DataFrame({key: [group[0]], "content": [None], "error": failed[:1]})
         w, h = int(rows["x"].max()) + 1, int(rows["y"].max()) + 1
         out = np.zeros((h, w, 4))
         out[rows["y"], rows["x"]] = rows[["r", "g", "b", "a"]].to_numpy()
         if straight:
             alpha = out[:, :, 3:]
             out[:, :, :3] = np.where(alpha != 0, out[:, :, :3] / np.where(alpha != 0, alpha, 1), 0)
-        return pd.DataFrame({key: [group[0]], "content": [encoder(out)]})
+        return pd.DataFrame({key: [group[0]], "content": [encoder(out)], "error": [None]})
+
+    named = pixels if "error" in pixels.columns else pixels.withColumn("error", F.lit(None).cast("string"))
+    return named.groupBy(key).applyInPandas(run, f"{key} string, content binary, error string")
+
 
-    return pixels.groupBy(key).applyInPandas(run, f"{key} string, content binary")
+def path_inside(name: str) -> str:
+    """A target's name as a relative path: without scheme and leading slashes, all folders kept."""
+    parts = [p for p in re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "", name).split("/") if p not in ("", ".")]
+    if not parts or ".." in parts:
+        raise ValueError(f"not a file inside the target folder: {name}")
+    return "/".join(parts)
 
 
 class _Writer(DataSourceWriter):
@@ -106,12 +131,15 @@ class _Writer(DataSourceWriter):
         self.folder = folder
 
     def write(self, iterator) -> WriterCommitMessage:
+        from pyarrow import fs
+
+        system, top = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder.removeprefix("file:"))
         for row in iterator:
-            target = os.path.join(self.folder, os.path.basename(row["path"]))
-            os.makedirs(self.folder, exist_ok=True)
-            with open(target + ".part", "wb") as f:
+            target = f"{top}/{path_inside(row['path'])}"
+            system.create_dir(target.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(target + ".part") as f:
                 f.write(row["content"])
-            os.replace(target + ".part", target)  # a task that runs again writes the same bytes
+            system.move(target + ".part", target)  # a task that runs again writes the same bytes
         return WriterCommitMessage()
 
     def commit(self, messages) -> None:
@@ -122,7 +150,10 @@ class _Writer(DataSourceWriter):
 
 
 class ImageFiles(DataSource):
-    """Sink for path and content: df.write.format("imagefiles").mode("append").save(folder), a folder that all executors share."""
+    """Sink for path and content: df.write.format("imagefiles").mode("append").save(folder).
+
+    The folder is a URI of a store that Arrow's file systems reach, or a path that all executors share.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -1,17 +1,17 @@
 """Tile updates: the last write of a pixel wins, in batch and as a stream.
 
-There is no event time: order is the sequence number. A stream keeps its result in a versioned table instead of
-a state store, so state is not bounded by memory, and a batch that is run again writes the same version.
+There is no event time: order is the sequence number. A stream keeps its result in a table of its batches instead of
+a state store, so state is not bounded by memory. Nothing is kept on the driver, so a stream goes on after a restart, and a
+batch that is run again replaces what it wrote before.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder
+
 
 def last_write(tiles: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     return tiles.groupBy(*keys).agg(F.max_by(value, order).alias(value))
@@ -31,28 +31,55 @@ def explode_tiles(tiles: DataFrame) -> DataFrame:
 
 
 class TileTable:
-    """The latest value of each key under a folder of versions, one per batch of the stream."""
+    """The latest value of each key under a folder: what each batch of the stream has brought, and from time to time a
+    base that stands for all batches up to one.
+
+    A batch writes its own newest values only, into a folder named by its number; reading takes the newest base and the
+    batches after it. Of equal orders the later batch wins.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], order: str, value: str) -> None:
         self.spark, self.folder, self.keys, self.order, self.value = spark, folder, keys, order, value
-        self.version: int | None = None
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        rank = F.struct(self.order, "batch_id")
+        return rows.groupBy(*self.keys).agg(F.max_by(self.value, rank).alias(self.value), F.max(rank).alias("_rank")).select(*self.keys, self.value, f"_rank.{self.order}", "_rank.batch_id")
+
+    def _numbers(self, kind: str) -> list[int]:
+        """Batches or bases whose writers have committed."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{kind}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not system.exists(path):
+            return []
+        names = [status.getPath() for status in system.listStatus(path)]
+        done = [p.getName() for p in names if system.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n) for n in done if n.isdigit())
+
+    def _parts(self, through: int | None = None) -> list[str]:
+        bases = [n for n in self._numbers("base") if through is None or n <= through]
+        after = [n for n in self._numbers("batch") if (not bases or n > bases[-1]) and (through is None or n <= through)]
+        return [f"{self.folder}/base/{n}" for n in bases[-1:]] + [f"{self.folder}/batch/{n}" for n in after]
 
     def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.folder}/v{self.version}")
+        """Keys, value and order, or nothing before the first batch."""
+        parts = self._parts()
+        return self._newest(self.spark.read.parquet(*parts)).drop("batch_id") if parts else None
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
         """Give to foreachBatch."""
-        current = self.read() if self.version != batch_id else None
-        rows = batch.select(*self.keys, self.order, self.value)
-        rows = rows if current is None else rows.unionByName(current)
-        newest = rows.groupBy(*self.keys).agg(F.max_by(self.value, self.order).alias(self.value), F.max(self.order).alias(self.order))
-        newest.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id}")
-        self.version = batch_id
+        rows = batch.select(*self.keys, self.order, self.value, F.lit(batch_id).cast("long").alias("batch_id"))
+        self._newest(rows).write.mode("overwrite").parquet(f"{self.folder}/batch/{batch_id}")
+
+    def compact(self, through: int) -> None:
+        """Write a base for all batches up to one that has been committed; those may then be deleted."""
+        parts = self._parts(through)
+        if len(parts) > 1:
+            self._newest(self.spark.read.parquet(*parts)).write.mode("overwrite").parquet(f"{self.folder}/base/{through}")
 
 
 def replay_tiles(spark: SparkSession, tiles: DataFrame, keys: tuple[str, ...] = ("image_id", "channel", "x", "y")) -> DataFrame:
     """Tiles through a file stream in several batches until all are read; the result is that of last_write."""
-    shared = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tiles-')}/tiles-{uuid.uuid4().hex}"
+    shared = shared_folder(spark, "tiles")
     tiles.repartition(4).write.parquet(f"{shared}/in")
     table = TileTable(spark, f"{shared}/table", list(keys), "seq", "value")
     stream = spark.readStream.schema(tiles.schema).option("maxFilesPerTrigger", 2).parquet(f"{shared}/in")

@@ -211,3 +211,35 @@ def test_comparison_plan_has_no_product(spark, sf_dir):
 
     plan = QUERIES["metric_ae"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.mark.parametrize("rank", [0, 7, 499, 990, 999])
+def test_order_statistic_narrows_until_little_is_left(spark, monkeypatch, rank):
+    monkeypatch.setattr(S, "SORTED_ROWS", 5)
+    monkeypatch.setattr(S, "SEARCH_BINS", 4)
+    values = sorted([1e30, -1e30] + [0.5] * 300 + [float(v) for v in np.random.default_rng(3).lognormal(0, 9, 600)] + [1.0 + k * 1e-15 for k in range(98)])
+    rows = spark.createDataFrame([(g, v) for g in (1, 2) for v in values] + [(3, 2.0)] * 50 + [(4, float("nan"))], "g int, v double")
+    got = {r.g: r.value_at_rank for r in S.order_statistic(rows, ["g"], "v", F.lit(rank)).collect()}
+    assert got == {1: values[rank], 2: values[rank], 3: 2.0}
+
+
+@pytest.mark.parametrize("band", [1, 3, 64])
+def test_demosaic_by_bands(spark, monkeypatch, band):
+    monkeypatch.setattr(D, "BAND", band)
+    w, h, pattern = 7, 9, ["RG", "GB"]
+    values = np.random.default_rng(5).random((h, w))
+    rows = spark.createDataFrame([(k, x, y, float(values[y, x] + k)) for k in (0, 1) for y in range(h) for x in range(w)], "image long, x int, y int, value double")
+    got = {(r.image, r.x, r.y, r.channel): r.value for r in D.demosaic(rows, ["image"], pattern, w, h).collect()}
+    assert len(got) == 2 * 3 * w * h
+    for k, x, y, c in got:
+        near = [(wt, values[min(max(y + dy, 0), h - 1), min(max(x + dx, 0), w - 1)] + k, dx or dy) for tx, ty, n, dx, dy, wt in D.sample_offsets(pattern) if (tx, ty, n) == (x % 2, y % 2, c)]
+        weights = [wt / (abs(v - values[y, x] - k) + D.EPSILON) if away else 1.0 for wt, v, away in near]
+        assert abs(got[k, x, y, c] - sum(a * v for a, (_, v, _) in zip(weights, near, strict=True)) / sum(weights)) < 1e-9
+
+
+def test_numbers_over_partitions(spark):
+    from chromaframe.storage import numbered
+
+    rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"), F.lit("x").alias("o"))
+    assert all(r.v == r.at for r in numbered(rows, ["v"], "at").collect())
+    assert numbered(rows.limit(0), ["v"], "at").count() == 0

@@ -43,3 +43,27 @@ def test_targets_are_written_once(spark, tmp_path):
 
 def test_empty_image(spark):
     assert images.empty_image(spark, 3, 2, ["L", "A"]).count() == 12
+
+
+def test_targets_keep_their_folders_and_sources_their_bytes(spark, tmp_path):
+    for d in ("one", "two"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        folder(tmp_path / "in" / d)
+    out = tmp_path / "out"
+    failed = convert(spark, f"{tmp_path}/in/*", str(out), template="{dir}/{file}", extension="qoi")
+    assert len(failed.collect()) == 2
+    assert sorted(str(p.relative_to(out)).split("/in/")[1] for p in out.rglob("*.qoi")) == ["one/a.qoi", "one/b.qoi", "two/a.qoi", "two/b.qoi"]
+    before = (tmp_path / "in" / "one" / "b.png").read_bytes()
+    failed = convert(spark, f"{tmp_path}/in/one", f"{tmp_path}/in/one", extension="png", exposure=2.0)
+    assert {r.path.rsplit("/", 1)[1]: "itself" in r.error for r in failed.collect()} == {"b.png": True, "c.jpg": False}
+    assert (tmp_path / "in" / "one" / "b.png").read_bytes() == before and (tmp_path / "in" / "one" / "a.png").exists()
+
+
+def test_errors_are_raised_kept_or_skipped(spark, tmp_path):
+    import pytest
+
+    folder(tmp_path)
+    assert "error" in images.read_images(spark, str(tmp_path), on_error="keep").columns
+    assert images.read_images(spark, str(tmp_path), "R", on_error="skip").count() == 48
+    with pytest.raises(Exception, match="c.jpg"):
+        images.read_images(spark, str(tmp_path)).collect()

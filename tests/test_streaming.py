@@ -72,3 +72,33 @@ def test_stream_is_the_batch(spark):
 def test_sticky_selectors(spark):
     lines = spark.createDataFrame([(1, k, t) for k, t in enumerate(["a", "", ":r", "b", " c ", ":", "d"])], "s long, n long, line string")
     assert [(r.path, r.selector) for r in T.sticky_selectors(lines, ["s"]).orderBy("n").collect()] == [("a", ""), ("b", "r"), ("c", "r"), ("d", "")]
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    keys = ["k"]
+    batch = lambda rows: spark.createDataFrame(rows, "k long, seq long, value double")
+    table = lambda: T.TileTable(spark, str(tmp_path / "t"), keys, "seq", "value")
+    assert table().read() is None
+    table().merge(batch([(1, 1, 1.0), (2, 2, 2.0), (1, 3, 3.0)]), 0)
+    table().merge(batch([(2, 1, 9.0), (3, 4, 4.0)]), 1)  # a new object, as after a restart
+    for _ in range(2):  # a batch that is run again
+        table().merge(batch([(3, 5, 5.0), (4, 6, 6.0)]), 2)
+    want = {1: 3.0, 2: 2.0, 3: 5.0, 4: 6.0}
+    assert {r.k: r.value for r in table().read().collect()} == want
+    table().compact(1)
+    assert {r.k: r.value for r in table().read().collect()} == want
+    table().merge(batch([(1, 7, 7.0)]), 3)
+    table().compact(3)
+    (tmp_path / "t" / "base" / "9").mkdir()  # not committed
+    assert {r.k: r.value for r in table().read().collect()} == want | {1: 7.0}
+    assert len(table()._parts()) == 1
+
+
+def test_a_stopped_stream_loses_nothing(spark, tmp_path):
+    schema = "k long, seq long, value double"
+    table = lambda: T.TileTable(spark, str(tmp_path / "t"), ["k"], "seq", "value")
+    for n in range(3):
+        spark.createDataFrame([(k, 10 * n + k, float(10 * n + k)) for k in range(n, n + 3)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream.writeStream.foreachBatch(table().merge).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert {r.k: r.value for r in table().read().collect()} == {0: 0.0, 1: 11.0, 2: 22.0, 3: 23.0, 4: 24.0}
