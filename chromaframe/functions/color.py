@@ -358,8 +358,13 @@ PRIMARIES = {
     "bt470bg": ((0.64, 0.33), (0.29, 0.60), (0.15, 0.06), ILLUMINANTS["D65"]),
     "smpte170m": ((0.630, 0.340), (0.310, 0.595), (0.155, 0.070), ILLUMINANTS["D65"]),
     "film": ((0.681, 0.319), (0.243, 0.692), (0.145, 0.049), ILLUMINANTS["C"]),
+    "ebu3213": ((0.630, 0.340), (0.295, 0.605), (0.155, 0.077), ILLUMINANTS["D65"]),
     "xyz": ((1.0, 0.0), (0.0, 1.0), (0.0, 0.0), ILLUMINANTS["E"]),
 }
+#: H.273 colour primaries by code point; 6 and 7 are the same.
+H273_PRIMARIES = {1: "rec709", 4: "bt470m", 5: "bt470bg", 6: "smpte170m", 7: "smpte170m", 8: "film", 9: "bt2020", 10: "xyz", 11: "dci_p3", 12: "display_p3", 22: "ebu3213"}
+#: EXIF light sources by code that are standard illuminants.
+EXIF_LIGHTS = {17: "A", 18: "B", 19: "C", 20: "D55", 21: "D65", 22: "D75", 23: "D50"}
 BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
 
 

@@ -100,6 +100,76 @@ def delete(current: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return current.join(gone.select(key), key, "left_anti")
 
 
+def insert_at(current: DataFrame, new: DataFrame, index: int, ordinal: str = "ordinal") -> DataFrame:
+    """New rows, in their own order, before the row at index; rows from there on move back."""
+    count = new.agg(F.count(F.lit(1)).alias("_count"))  # one row
+    moved_back = current.crossJoin(F.broadcast(count)).withColumn(ordinal, (F.col(ordinal) + F.when(F.col(ordinal) >= index, F.col("_count")).otherwise(0)).cast("long")).drop("_count")
+    placed = numbered(new, [ordinal], "_new").withColumn(ordinal, (F.col("_new") + index).cast("long")).drop("_new")
+    return moved_back.unionByName(placed.select(*current.columns))
+
+
+def selected_after_delete(rows: DataFrame, by: list[str], gone: Column, visible: Column, ordinal: str = "ordinal") -> DataFrame:
+    """by and selected: the visible row that follows the deleted one, else the one before it, else none."""
+    at = rows.where(gone).select(*by, F.col(ordinal).alias("_gone"))
+    met = rows.where(visible).join(at, by)
+    follows, before = F.min(F.when(F.col(ordinal) > F.col("_gone"), F.col(ordinal))), F.max(F.when(F.col(ordinal) < F.col("_gone"), F.col(ordinal)))
+    return at.join(met.groupBy(*by).agg(F.coalesce(follows, before).alias("selected")), by, "left").select(*by, "selected")
+
+
+def delete_visible(current: DataFrame, visible: Column) -> DataFrame:
+    """What a filter hides stays."""
+    return current.where(~F.coalesce(visible, F.lit(False)))
+
+
+def lookup_first(rows: DataFrame, by: list[str], match: Column, value: str, order: str = "ordinal", fallback: bool = False) -> DataFrame:
+    """by and value of the first row that matches; with fallback, of the first row where none does."""
+    found = F.min_by(value, F.when(match, F.col(order)))
+    return rows.groupBy(*by).agg((F.coalesce(found, F.min_by(value, order)) if fallback else found).alias(value))
+
+
+def single_groups(channels: DataFrame, by: list[str], name: str = "channel", ordinal: str = "ordinal") -> DataFrame:
+    """Without grouping: each channel is a group that shows it in all three colours."""
+    return channels.select(*by, F.col(ordinal).alias("position"), F.col(name).alias("group_name"), F.array_repeat(name, 3).alias("channels"))
+
+
+def sorted_parts(parts: DataFrame, by: list[str], name: str, natural: bool) -> DataFrame:
+    """Adds position by the bytes of the name or by natural order."""
+    order = [N.natural_key(F.col(name)), F.col(name)] if natural else [F.col(name)]
+    return parts.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+
+
+def append_channels(pixels: DataFrame, others: DataFrame, layer: str) -> DataFrame:
+    """The channels of both; the others' names get a layer in front."""
+    named = others.withColumn("channel", N.join_if_not_empty(F.lit(layer), F.col("channel")))
+    return pixels.unionByName(named.select(*pixels.columns))
+
+
+def size_to_fit(sizes: DataFrame, by: list[str]) -> DataFrame:
+    """The largest width and the largest height of a group's images."""
+    return sizes.groupBy(*by).agg(F.max("width").alias("width"), F.max("height").alias("height"))
+
+
+def _seconds(at: Column) -> Column:
+    return at.cast("timestamp").cast("double")
+
+
+def load_batches(loads: DataFrame, by: list[str], at: str = "ts") -> DataFrame:
+    """How many images a batch has loaded, and the seconds from the first to the last."""
+    return loads.groupBy(*by).agg(F.count(F.lit(1)).alias("images"), (_seconds(F.max(at)) - _seconds(F.min(at))).alias("seconds"))
+
+
+def traffic(packets: DataFrame, by: list[str], payload: str, connection: str) -> DataFrame:
+    """Bytes, packets and connections, exactly."""
+    return packets.groupBy(*by).agg(F.sum(F.octet_length(payload)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("packets"), F.countDistinct(connection).alias("connections"))
+
+
+def recomputed(rows: DataFrame, by: list[str], at: str, shown: Column, least: float = 0.2) -> DataFrame:
+    """Updates that make statistics stale at once: all of images that are not shown, and of a shown one those that come later
+    than some seconds after the update before."""
+    before = F.lag(at).over(Window.partitionBy(*by).orderBy(at))
+    return rows.withColumn("_before", before).where(~shown | F.col("_before").isNull() | (_seconds(F.col(at)) - _seconds(F.col("_before")) > least)).drop("_before")
+
+
 def new_files(listing: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     return listing.join(seen.select(*key), key, "left_anti")
 

@@ -55,6 +55,57 @@ def apply_iso_gain(v: Column, boost: Column, weight: float, base_offset: float,
     return (v + base_offset) * F.pow(F.lit(2.0), boost * weight) - alternate_offset
 
 
+def gain_pictures(pictures: DataFrame, by: list[str], index: str = "index", parent: str = "parent") -> DataFrame:
+    """by, index and parent of the gain maps (is_gain) whose parent is an earlier picture that is no gain map itself."""
+    mains = pictures.where(~F.col("is_gain")).select(*by, F.col(index).alias(parent))
+    return pictures.where(F.col("is_gain") & (F.col(parent) < F.col(index))).join(mains, [*by, parent], "left_semi").select(*by, index, parent)
+
+
+def gain_table(rgb: tuple[Column, Column, Column], x: Column, y: Column, size: tuple[int, int], points: tuple[int, int, int], spacing: tuple[float, float], origin: tuple[float, float], weights: tuple[float, float, float, float, float], table: list[float]) -> Column:
+    """The gain at a pixel: trilinear in a table over the place and a mix of its colours, their least and their greatest.
+
+    points are those along x, y and the mix; the table runs over y, then x, then the mix. Spacing and origin are in shares of
+    the image. The last axis has 255 steps from 0 to 1, of which the table holds the first ones.
+    """
+    mixed = sum((c * w for c, w in zip(rgb[1:], weights[1:3], strict=True)), rgb[0] * weights[0]) + F.least(*rgb) * weights[3] + F.greatest(*rgb) * weights[4]
+    held = F.least(F.greatest(mixed, F.lit(0.0)), F.lit(1.0))
+    at = [((c + 0.5) / n - o) / s for c, n, o, s in zip((x, y), size, origin, spacing, strict=True)] + [held * 255.0]
+    cells = []
+    for v, n in zip(at, points, strict=True):
+        inside = F.least(F.greatest(v, F.lit(0.0)), F.lit(n - 1.0))
+        low = F.least(F.floor(inside), F.lit(max(n - 2, 0))).cast("int")
+        cells.append((low, F.least(low + 1, F.lit(n - 1)), inside - low))
+    (x0, x1, fx), (y0, y1, fy), (z0, z1, fz) = cells
+    entry = lambda i, j, k: lookup((j * points[0] + i) * points[2] + k, table)
+    along_z = lambda i, j: entry(i, j, z0) * (1.0 - fz) + entry(i, j, z1) * fz
+    along_y = lambda i: along_z(i, y0) * (1.0 - fy) + along_z(i, y1) * fy
+    return along_y(x0) * (1.0 - fx) + along_y(x1) * fx
+
+
+def black_level(pattern: list[list[float]], by_column: list[float], by_row: list[float]) -> Column:
+    """The level of a place: the pattern's, repeated, and those of its column and row."""
+    return periodic(F.col("x"), F.col("y"), pattern) + lookup(F.col("x"), by_column) + lookup(F.col("y"), by_row)
+
+
+def overlay_channel(pixels: DataFrame, mask: DataFrame, by: list[str], origin: tuple[int, int], name: str) -> DataFrame:
+    """Pixels with a further channel: 1 where the mask (x, y, value) placed at an origin of (row, column) from 1 is set, else 0."""
+    row, column = max(origin[0] - 1, 0), max(origin[1] - 1, 0)
+    placed = mask.where("value <> 0").select(*by, (F.col("x") + column).cast("int").alias("x"), (F.col("y") + row).cast("int").alias("y"), F.lit(1.0).alias("_set")).distinct()
+    met = pixels.select(*by, "x", "y").distinct().join(placed, [*by, "x", "y"], "left")
+    drawn = met.select(*by, "x", "y", F.lit(name).alias("channel"), F.coalesce("_set", F.lit(0.0)).alias("value"))
+    return pixels.select(*by, "x", "y", "channel", "value").unionByName(drawn)
+
+
+def place_frame(canvas: DataFrame, frame: DataFrame, by: list[str], offset: tuple[int, int], over: bool = True) -> DataFrame:
+    """by, x, y, value: the frame (x, y, value, alpha) drawn at an offset over what the canvas (x, y, value) has, or in its place.
+    Places that either has are there."""
+    moved = frame.select(*by, (F.col("x") + offset[0]).cast("int").alias("x"), (F.col("y") + offset[1]).cast("int").alias("y"), F.col("value").alias("_v"), F.col("alpha").alias("_a"))
+    met = canvas.select(*by, "x", "y", "value").join(moved, [*by, "x", "y"], "full_outer")
+    under = F.coalesce("value", F.lit(0.0))
+    drawn = F.col("_v") + under * (1.0 - F.col("_a")) if over else F.col("_v")
+    return met.select(*by, "x", "y", F.when(F.col("_v").isNull(), under).otherwise(drawn).alias("value"))
+
+
 # Tables of values are array literals: a lookup needs no join.
 
 

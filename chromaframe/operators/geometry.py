@@ -74,6 +74,15 @@ def oriented(x: Column, y: Column, orientation: int, width: int, height: int) ->
     return places.get(orientation, (x, y))
 
 
+def oriented_box(box: Box, orientation: int, width: int, height: int) -> Box:
+    """A window of an image that is turned upright: the box of where its corner pixels come to lie."""
+    if orientation in (0, 1):
+        return box
+    places = {2: lambda x, y: (width - x, y), 3: lambda x, y: (width - x, height - y), 4: lambda x, y: (x, height - y), 5: lambda x, y: (y, x), 6: lambda x, y: (height - y, x), 7: lambda x, y: (height - y, width - x), 8: lambda x, y: (y, width - x)}
+    move = places[orientation]
+    return box_from_points(move(box.min_x, box.min_y), move(box.max_x, box.max_y))
+
+
 def orient(pixels: DataFrame, orientation: int, width: int, height: int) -> DataFrame:
     if orientation in (0, 1):
         return pixels
