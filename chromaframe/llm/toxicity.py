@@ -349,8 +349,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Markers(letters, {})
     mean_p, mean_q = F.col("p") / n_pos, F.col("q") / (n - n_pos)
     error = F.sqrt((F.col("pp") / n_pos - mean_p * mean_p) / n_pos + (F.col("qq") / (n - n_pos) - mean_q * mean_q) / (n - n_pos) + 1e-9)
-    clear = sums.where(F.col("n") >= LEAST_DOCS).select("f", ((mean_p - mean_q) / error).alias("z")).where(F.col("z") >= CLEAR).orderBy(F.col("z").desc(), "f").collect()  # of fit_rows documents at most
-    model = Markers(letters, {r["f"]: k for k, r in enumerate(clear)})
+    clear = sums.where(F.col("n") >= LEAST_DOCS).select("f", ((mean_p - mean_q) / error).alias("z")).where(F.col("z") >= CLEAR).collect()  # of fit_rows documents at most
+    model = Markers(letters, {r["f"]: k for k, r in enumerate(sorted(clear, key=lambda r: (-r["z"], r["f"])))})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
