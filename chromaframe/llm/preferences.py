@@ -15,7 +15,7 @@ from .common import text_of
 #: Turn markers. Markers inside a text lose their bars, so that a text cannot open or close a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Identifiers in a row among which one task numbers the conversations that share a first turn.
-ID_BLOCK = 1 << 16
+ID_BLOCK = 1 << 12
 
 
 def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

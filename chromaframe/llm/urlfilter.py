@@ -20,7 +20,7 @@ WORDS = BLOCK_BITS // 64
 #: A filter is broadcast up to this many blocks (64 bytes each, 8 MB in all); beyond, the probe shuffles.
 BROADCAST_BLOCKS = 1 << 17
 #: Tasks that share the rows of one URL that many pages have.
-SALTS = 32
+SALTS = 8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
