@@ -30,7 +30,7 @@ GROUP_PIECES = 8192
 #: Words whose ids a Python worker remembers before it starts afresh.
 MEMO_WORDS = 250_000
 #: Bytes of text that are split into words at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 _PLAIN = re.compile("[\x00-\x7fÀ-ÿ]*")

@@ -31,11 +31,11 @@ FIT_ROWS = 20_000
 BEGINNINGS = (3, 4, 5, 6)
 #: Standard errors by which a marker is commoner in toxic documents, and toxic documents that have it at least.
 CLEAR, LEAST_DOCS = 3.3, 3
-#: Weight of the squares in the regression, and its steps.
-RIDGE, STEPS = 1.0, 400
+#: Weight of the squares in the regression, its steps at most, and the change of a weight at which it ends.
+RIDGE, STEPS, SETTLED = 1.0, 400, 1e-5
 THRESHOLD = 0.7
-#: Tokens whose readings a task remembers before it starts afresh.
-MEMO_TOKENS = 150_000
+#: Tokens whose readings a task remembers before it starts afresh, and bytes of text that are scored at once.
+MEMO_TOKENS, SLICE_BYTES = 150_000, 4 << 20
 #: Letters of a spaced-out word at most: each start and each end in a run of single characters is read over so many.
 SPACED_LETTERS = 24
 #: Letters the trigram model knows: a-z and the lower-case Latin letters with marks.
@@ -189,6 +189,17 @@ def token_features(token: str, model: Trigrams) -> list[str]:
     return found
 
 
+def first_letters(word: str) -> list[str]:
+    """All that readings of a word without signs may begin with, in three letters: of a run of letters one or more stay."""
+    found, runs = [""], 0
+    for run in re.finditer(r"(.)\1*", word):
+        found = [p + run[1] * k for p in found for k in (range(1, min(len(run[0]), 3 - len(p)) + 1) if len(p) < 3 else (0,))]
+        runs += 1
+        if runs == 3:
+            break
+    return found
+
+
 def _spaced_words(text: str, model: Trigrams) -> list[str]:
     """Readings of runs of three or more single characters. Other single characters may stand before and after a word, so
     each start and each end in a run counts, over SPACED_LETTERS letters. Runs without blanks are tokens, which are read as such."""
@@ -213,29 +224,36 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (8 << 20), side="right")))
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE_BYTES, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
 
 def character_model(docs: DataFrame, text_col: str = "text") -> Trigrams:
     """Trigram counts over the plain words of all documents. The result is bounded by the alphabet, not by the corpus."""
-    plain = re.compile(f"[{LETTERS}]+")
+    alphabet = "^$" + LETTERS
+    place = np.zeros(max(map(ord, alphabet)) + 1, np.int64)
+    place[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    plain = f"^[{LETTERS}]+$"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found = np.zeros(64**3, np.int64)
         for batch in batches:
             for part in _slices(batch, "text"):
-                words, index, _ = _token_lists(part.column("text"))
-                times = np.bincount(index, minlength=len(words)).tolist()
-                for word, n in zip(words, times, strict=True):
-                    word = word.lower().rstrip(".,")
-                    if plain.fullmatch(word):
-                        marked = f"^^{word}$"
-                        for i in range(len(marked) - 2):
-                            found[marked[i : i + 3]] += n
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
+                words = pc.utf8_split_whitespace(part.column("text")).flatten().value_counts()
+                lower = pc.utf8_rtrim(pc.utf8_lower(words.field("values")), ".,")
+                known = pc.match_substring_regex(lower, plain)
+                lower, times = lower.filter(known), words.field("counts").filter(known).to_numpy()
+                if not len(lower):
+                    continue
+                codes = place[np.frombuffer(("^^" + "$^^".join(lower.to_pylist()) + "$").encode("utf-32-le"), np.uint32)]
+                times = np.repeat(times, pc.utf8_length(lower).to_numpy() + 3)
+                inside = (codes[:-2] != 1) & (codes[1:-1] != 1)  # a word's end comes last
+                keys = (codes[:-2] * 64 + codes[1:-1]) * 64 + codes[2:]
+                found += np.bincount(keys[inside], times[:-2][inside], minlength=64**3).astype(np.int64)
+        some = np.flatnonzero(found)
+        grams = [alphabet[k >> 12] + alphabet[k >> 6 & 63] + alphabet[k & 63] for k in some.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(found[some], pa.int64())], names=["gram", "n"])
 
     grams = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return Trigrams({r["gram"]: r["n"] for r in grams.collect()})
@@ -250,15 +268,24 @@ class Markers:
 
     def __init__(self, letters: Trigrams, number: dict[str, int]) -> None:
         self.letters, self.number = letters, number
+        self.starts = {f[1:4] for f in number}
         self.weights, self.bias = np.zeros(2 * len(number)), 0.0
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def marks(self, token: str) -> tuple[int, ...]:
         found = self.memo.get(token)
         if found is None:
-            found = self.memo[token] = self.numbers(token_features(token, self.letters))
+            found = self.memo[token] = self._marks(token)
         return found
 
+    def _marks(self, token: str) -> tuple[int, ...]:
+        """numbers(token_features(token)), without what cannot begin like a marker."""
+        word = restore(token, self.letters)
+        found = features(word) if word[:3] in self.starts else []
+        if _DOUBLED.search(word) and word.isalpha() and any(x in self.starts for x in first_letters(word)) and (other := decode(word, self.letters)) != word:
+            found = list(dict.fromkeys([*found, *features(other)]))
+        return self.numbers(found)
+
     def numbers(self, found: list[str]) -> tuple[int, ...]:
         return tuple([self.number[f] for f in found if f in self.number])
 
@@ -293,18 +320,36 @@ class Markers:
         """Ridge-penalised logistic regression without negative weights, by accelerated gradient steps; each
         weight's step comes from a diagonal bound on the curvature."""
         n, m = len(y), len(self.number)
-        often, share = _values(times, words[doc])
-        rows, columns, x = np.concatenate([doc, doc]), np.concatenate([marker, m + marker]), np.concatenate([often, share])
-        whole = np.bincount(rows, x, minlength=n) + 1
-        bound, bound_b = 0.25 * np.bincount(columns, x * whole[rows], minlength=2 * m) + RIDGE, 0.25 * whole.sum()
-        w, b, v, vb = np.zeros(2 * m), 0.0, np.zeros(2 * m), 0.0
+        if not len(doc):
+            return
+        values = np.stack(_values(times, words[doc]))
+        docs, by_doc = np.unique(doc, return_index=True)  # pairs come by document
+        order = np.argsort(marker, kind="stable")
+        markers, by_marker = np.unique(marker[order], return_index=True)
+        ordered, doc_of = values[:, order], doc[order]
+
+        def of_documents(w: np.ndarray) -> np.ndarray:
+            out = np.zeros(n)
+            out[docs] = np.add.reduceat(w[0, marker] * values[0] + w[1, marker] * values[1], by_doc)
+            return out
+
+        def of_markers(e: np.ndarray) -> np.ndarray:
+            out = np.zeros((2, m))
+            out[:, markers] = np.add.reduceat(ordered * e[doc_of], by_marker, axis=1)
+            return out
+
+        whole = of_documents(np.ones((2, m))) + 1
+        bound, bound_b = 0.25 * of_markers(whole) + RIDGE, 0.25 * whole.sum()
+        w, b, v, vb = np.zeros((2, m)), 0.0, np.zeros((2, m)), 0.0
         for step in range(STEPS):
             ahead, ahead_b = w + v * (step / (step + 3)), b + vb * (step / (step + 3))
-            error = 1 / (1 + np.exp(-np.clip(ahead_b + np.bincount(rows, ahead[columns] * x, minlength=n), -30, 30))) - y
-            new = np.maximum(ahead - (np.bincount(columns, error[rows] * x, minlength=2 * m) + RIDGE * ahead) / bound, 0.0)
+            error = 1 / (1 + np.exp(-np.clip(ahead_b + of_documents(ahead), -30, 30))) - y
+            new = np.maximum(ahead - (of_markers(error) + RIDGE * ahead) / bound, 0.0)
             new_b = ahead_b - error.sum() / bound_b
             v, vb, w, b = new - w, new_b - b, new, new_b
-        self.weights, self.bias = w, float(b)
+            if max(np.abs(v).max(), abs(vb)) < SETTLED:
+                break
+        self.weights, self.bias = w.ravel(), float(b)
 
 
 def _values(times: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

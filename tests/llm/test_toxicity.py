@@ -179,3 +179,18 @@ def test_unknown_letters_stand_for_themselves(rude, shown, meant):
 def test_spaced_runs_with_separators_and_of_three(rude, shown, meant):
     assert meant in toxicity._spaced_words(shown, rude)
     assert pa.compute.match_substring_regex(pa.array([shown]), toxicity._SPACED)[0].as_py()
+
+
+def test_trigram_counts(make_docs):
+    texts = ["Aa bb. B", "été, ETÉ x1 ..", None, "", "aa\tŒuf", "z" * 70, "ß"]
+    want = Counter()
+    for word in ["aa", "bb", "b", "été", "eté", "aa", "œuf", "z" * 70, "ß"]:
+        want.update(f"^^{word}$"[i : i + 3] for i in range(len(word) + 1))
+    assert toxicity.character_model(make_docs(list(enumerate(texts)))).three == want
+
+
+def test_marks_without_what_cannot_be_a_marker(model):
+    tokens = ["stupid", "stuupid", "sttupid", "5tup1d!", "moorron", "letter", "mmm", "Ssstupid", "aaa", "lossser", "a", "", "l.o.s.e.r", "LOSER", "llooser", "xyz"]
+    for token in tokens:
+        assert model._marks(token) == model.numbers(toxicity.token_features(token, model.letters)), token
+    assert set(toxicity.first_letters("aabc")) == {"aab", "abc"} and toxicity.first_letters("aaa") == ["a", "aa", "aaa"]
