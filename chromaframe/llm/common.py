@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise, shared_folder
+
+__all__ = ["fresh", "materialise", "shared_folder", "shuffle_partitions", "table", "text_of"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,24 +31,5 @@ def fresh(frames: DataFrame | list[DataFrame], *names: str) -> list[str]:
     return out
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the one that spark.checkpoint.dir names. On one machine, as in tests, a temporary folder does without that setting."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if top is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = tempfile.mkdtemp(prefix=f"{purpose}-")
-    return f"{top.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark, "checkpoints"))
-    return df.checkpoint()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -15,7 +15,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) for every end of a link (a, b).
 
     Labels spread to neighbours and then jump to their label's label, so stars take two rounds and
-    chains a logarithmic number. Labels are combined before each shuffle, so hubs do not pile up rows.
+    chains a logarithmic number. Labels are combined before each shuffle. Beyond ROWS links a hub's rows meet its label in a
+    sort-merge join, which adaptive execution splits.
     """
     spark = links.sparkSession
     both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())

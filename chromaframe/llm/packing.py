@@ -195,11 +195,11 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset to materialised pieces (doc_id, start, length, ids_crc32, doc_tokens).
 
-    Groups are dealt by a hash of the piece, so a hot document or source spreads over all of them;
-    only pieces that repeat each other exactly share a group for certain.
+    Groups are dealt by a hash of the piece and its place in the materialised table, so a hot document or source and rows
+    that repeat each other spread over all of them.
     """
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
 
     def fill(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")

@@ -76,3 +76,20 @@ def test_cases(make_docs, whole):
     assert all(len(r.ids) == r.length for r in rows)
     assert pack_documents(make_docs([]), PATH).count() == 0
     assert pack_documents(make_docs([(1, "a")] * 3), PATH, with_ids=False).count() == 3
+
+
+def test_rows_that_repeat_each_other_spread_and_names_may_clash(make_docs):
+    from pyspark.sql import functions as F
+
+    from chromaframe.llm.packing import pack, tokenised_pieces
+
+    docs = make_docs([(1, "same words " * 40)] * 400)
+    for c in ("start", "length", "_group", "sequence_id", "ids"):
+        docs = docs.withColumn(c, F.lit("x"))
+    pieces = tokenised_pieces(docs, PATH, with_ids=False).cache()
+    rows = pack(pieces, group_pieces=50).collect()
+    assert len(rows) == 400 and len({r.sequence_id >> 32 for r in rows}) == 8
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append(r)
+    assert all(sum(r.length for r in p) <= 4096 and len({r.offset for r in p}) == len(p) for p in by.values())

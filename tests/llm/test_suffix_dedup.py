@@ -97,3 +97,14 @@ def test_shared_passages_show_as_marks(make_docs):
     always, never = [{(i, n) for (i, _), n, f in zip(rows, sizes, shared_runs_of(rows, k), strict=True) if f} for k in (50, 30)]
     found = {(i, n) for _, i, n, f in shared if f}
     assert len(always) > 10 and always <= found <= never
+
+
+def test_clashing_names(make_docs):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(1, "ab " * 40), (2, "ab " * 40), (3, "short")])
+    for c in ("row", "tag", "kept", "spans", "bucket", "whole", "n_bytes"):
+        docs = docs.withColumn(c, F.lit("x"))
+    got = suffix_dedup.remove_repeats(docs, length=40, q=8)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "shared_runs", "kept"]
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in got.collect()} == {1: (120, b""), 2: (120, b""), 3: (0, b"short")}
