@@ -116,6 +116,20 @@ def selected_after_delete(rows: DataFrame, by: list[str], gone: Column, visible:
     return at.join(met.groupBy(*by).agg(F.coalesce(follows, before).alias("selected")), by, "left").select(*by, "selected")
 
 
+def reselected(rows: DataFrame, by: list[str], visible: Column, current: Column, reference: Column, ordinal: str = "ordinal") -> DataFrame:
+    """by, current and reference after a filter has changed: the current row if it is visible, else the first visible one; the
+    reference only if it is visible itself. current and reference mark at most one row each."""
+    at = F.col(ordinal)
+    mine, first = F.max(F.when(visible & current, at)), F.min(F.when(visible, at))
+    return rows.groupBy(*by).agg(F.coalesce(mine, first).alias("current"), F.max(F.when(visible & reference, at)).alias("reference"))
+
+
+def sorted_attributes(attributes: DataFrame, by: list[str], tab: str, name: str) -> DataFrame:
+    """Adds tab_position by the bytes of the tab's name, and position inside the tab in the order of names."""
+    tabs = Window.partitionBy(*by)
+    return attributes.withColumn("tab_position", F.dense_rank().over(tabs.orderBy(tab)) - 1).withColumn("position", F.row_number().over(Window.partitionBy(*by, tab).orderBy(name)) - 1)
+
+
 def delete_visible(current: DataFrame, visible: Column) -> DataFrame:
     """What a filter hides stays."""
     return current.where(~F.coalesce(visible, F.lit(False)))

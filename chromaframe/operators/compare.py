@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,19 @@ def compare(image: DataFrame, reference: DataFrame, name: str, by: list[str], of
     return met.withColumn("error", metric(name, F.col(value), F.col("reference"))).drop("reference")
 
 
+def probe_error(image: DataFrame, reference: DataFrame, by: list[str], on: list[str], name: str, place: tuple[float, float], image_view: tuple[float, float, float], reference_view: tuple[float, float, float], value: str = "value") -> DataFrame:
+    """by and error of the values that images and their references (equal in on, a part of by) show at one place of the canvas.
+
+    A view is (scale, x, y): a pixel's corner lies at scale times its coordinates from (x, y), so the pixel at a place is the
+    floor of the inverse. Places outside an image count as 0, as does a missing reference; each group of by has a row.
+    """
+    at = lambda view: tuple(math.floor((p - o) / view[0]) for p, o in zip(place, view[1:], strict=True))
+    own, other = at(image_view), at(reference_view)
+    shown = lambda rows, key, c, xy: rows.groupBy(*key).agg(F.coalesce(F.max(F.when((F.col("x") == xy[0]) & (F.col("y") == xy[1]), F.col(value))), F.lit(0.0)).alias(c))
+    met = shown(image, by, "_v", own).join(shown(reference, on, "_r", other), on, "left")
+    return met.select(*by, metric(name, F.col("_v"), F.coalesce("_r", F.lit(0.0))).alias("error"))
+
+
 def compare_alpha(alpha: Column, reference_alpha: Column, reference_has_alpha: bool, inside: Column) -> Column:
     """Half the sum; a reference without an alpha channel counts as 1, a place outside it as 0."""
     there = reference_alpha if reference_has_alpha else F.lit(1.0)

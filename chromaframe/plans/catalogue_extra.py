@@ -41,6 +41,31 @@ def selected_after_delete(spark, sf_dir):
     return K.selected_after_delete(rows.join(first, "image_id"), ["image_id"], F.col("ordinal") == F.col("gone"), N.fuzzy_match(F.col("channel"), "PROMO"))
 
 
+@query(
+    f"SELECT image_id, coalesce(max(CASE WHEN {PROMO} AND ordinal // 50 = 3 THEN ordinal END), min(CASE WHEN {PROMO} THEN ordinal END)) AS current, max(CASE WHEN {PROMO} AND ordinal // 50 = 2 THEN ordinal END) AS reference FROM names GROUP BY 1",
+    "names",
+)
+def reselected_after_filter(spark, sf_dir):
+    nth = F.floor(F.col("ordinal") / 50)
+    return K.reselected(V.names(spark, sf_dir), ["image_id"], N.fuzzy_match(F.col("channel"), "PROMO"), nth == 3, nth == 2)
+
+
+@query(
+    "WITH a AS (SELECT DISTINCT user_id, event_type AS tab, props AS name FROM events) SELECT user_id, tab, name, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY tab) - 1 AS INTEGER) AS tab_position, CAST(row_number() OVER (PARTITION BY user_id, tab ORDER BY name) - 1 AS INTEGER) AS \"position\" FROM a"
+)
+def sorted_attributes(spark, sf_dir):
+    rows = V.table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("tab"), F.col("props").alias("name")).distinct()
+    return K.sorted_attributes(rows, ["user_id"], "tab", "name")
+
+
+@query("WITH q AS (SELECT image_id, value FROM px WHERE x = 5 AND y = 6 AND image_id < 10) SELECT p.image_id, p.image_id % 10 AS label, round(abs(p.value - q.value), 6) + 0 AS error FROM px p JOIN q ON p.image_id % 10 = q.image_id WHERE p.x = 3 AND p.y = 1", "px")
+def probe_error(spark, sf_dir):
+    rows = V.px(spark, sf_dir).withColumn("label", F.col("image_id") % 10)
+    # The reference lies half as large and further up.
+    out = J.probe_error(rows, rows.where("image_id < 10"), ["image_id", "label"], ["label"], "ae", (35.0, 21.5), (10.0, 0.5, 2.0), (5.0, 7.0, -11.0))
+    return out.withColumn("error", r("error"))
+
+
 @query(f"SELECT image_id, ordinal FROM names WHERE NOT {PROMO}", "names")
 def delete_visible(spark, sf_dir):
     return K.delete_visible(V.names(spark, sf_dir), N.fuzzy_match(F.col("channel"), "PROMO")).select("image_id", "ordinal")
