@@ -35,6 +35,8 @@ BRANCHES, LEVELS = 2, 3
 SMALL = 8
 #: Centres of a dense node, and those that a member is compared with.
 CENTRES, HUBS = 3, 2
+#: Places of the sketch by which centres are chosen. Which member is a centre decides on the work, not on the links.
+CENTRE_PLACES = 12
 #: Members of a dense group in one block on average.
 BLOCK = 256
 #: Pairs are confirmed only if their sketches agree in at least this share. With 45 hashes that misses 3 links in a million at the
@@ -188,7 +190,8 @@ def _leaves(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
 
 def _centres(dense: DataFrame, reps: DataFrame) -> DataFrame:
     """node and centre: the members whose sketches agree most with the commonest values of their node."""
-    values = dense.join(reps, "rep").select("node", "rep", F.posexplode("sketch").alias("place", "value"))
+    brief = reps.select("rep", F.slice("sketch", 1, CENTRE_PLACES).alias("sketch"))
+    values = dense.join(brief, "rep").select("node", "rep", F.posexplode("sketch").alias("place", "value"))
     common = values.groupBy("node", "place", "value").agg(F.count(F.lit(1)).alias("n"))
     common = common.groupBy("node", "place").agg(F.max_by("value", F.struct("n", "value")).alias("value"))
     score = values.join(common, ["node", "place", "value"]).groupBy("node", "rep").agg(F.count(F.lit(1)).alias("agrees"))
