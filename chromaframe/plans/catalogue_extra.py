@@ -288,13 +288,13 @@ def white_multiplier(spark, sf_dir):
     "WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 150) || '%' WHEN 1 THEN CAST(event_id % 6 AS VARCHAR) WHEN 2 THEN 'half' ELSE '%' END AS text, event_id % 3 / CAST(2 AS DOUBLE) AS a, value / 500 * 1.5 AS b FROM events), "
     "p AS (SELECT *, ends_with(text, '%') AS percent, TRY_CAST(CASE WHEN ends_with(text, '%') THEN substr(text, 1, length(text) - 1) ELSE text END AS DOUBLE) AS n FROM t), "
     "s AS (SELECT *, CASE WHEN percent THEN n / 100 ELSE n END AS v, CASE WHEN a < 1 THEN CASE WHEN b <= 0.01 THEN -20 * b + 1.8 ELSE -0.101 * b + 1.601 END ELSE CASE WHEN b <= 0.01 THEN -70 * b + 3 ELSE -0.303 * b + 2.303 END END AS stops FROM p) "
-    "SELECT event_id, round(v, 6) + 0 AS value, round(stops, 6) + 0 AS stops, CASE WHEN v IS NULL THEN NULL WHEN percent THEN round(pow(2, greatest(0, least(stops * v, stops))), 6) + 0 ELSE round(pow(2, greatest(0, least(stops, v))), 6) + 0 END AS linear FROM s"
+    "SELECT event_id, round(v, 6) + 0 AS value, round(stops, 8) + 0 AS stops, CASE WHEN v IS NULL THEN NULL WHEN percent THEN round(pow(2, greatest(0, least(stops * v, stops))), 6) + 0 ELSE round(pow(2, greatest(0, least(stops, v))), 6) + 0 END AS linear FROM s"
 )
 def gain_headroom(spark, sf_dir):
     e = F.col("event_id")
     text = F.when(e % 4 == 0, F.concat((e % 150).cast("string"), F.lit("%"))).when(e % 4 == 1, (e % 6).cast("string")).when(e % 4 == 2, "half").otherwise("%")
     target, stops = E.headroom(text), E.maker_stops(e % 3 / 2.0, F.col("value") / 500 * 1.5)
-    return V.table(spark, sf_dir, "events").select("event_id", r(target["value"]).alias("value"), r(stops).alias("stops"), F.when(target.isNotNull(), r(E.vendor_headroom(stops, target))).alias("linear"))
+    return V.table(spark, sf_dir, "events").select("event_id", r(target["value"]).alias("value"), r(stops, 8).alias("stops"), F.when(target.isNotNull(), r(E.vendor_headroom(stops, target))).alias("linear"))
 
 
 # Text, bits and captions.
