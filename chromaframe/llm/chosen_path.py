@@ -37,8 +37,10 @@ SMALL = 8
 CENTRES, HUBS = 3, 2
 #: Places of the sketch by which centres are chosen. Which member is a centre decides on the work, not on the links.
 CENTRE_PLACES = 12
-#: Members of a dense group in one block on average.
-BLOCK = 256
+#: Members of a dense group in one block on average, and blocks of members that meet one block in one task on average.
+BLOCK, MET_BLOCKS = 256, 64
+#: Tables with a row per dense group are broadcast up to this many (some 40 bytes each), joined by a shuffle beyond.
+BROADCAST_GROUPS = 100_000
 #: Pairs are confirmed only if their sketches agree in at least this share. With 45 hashes that misses 3 links in a million at the
 #: threshold, fewer above it; more trees make sketches longer and the loss smaller.
 SKETCH_LEAST = 0.5
@@ -302,16 +304,24 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
     if not open_.limit(1).count():
         return None
     apart = materialise(_differences(open_, sets))
-    item = F.collect_list(F.struct("rep", "component", "size", "shared", "bits", "fresh"))
+    parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    sizes = apart.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("outside"), F.lit(1))).alias("n_out"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("size"))).alias("centre_size"))
+    sizes = materialise(sizes.select("centre", "centre_size", parts(F.col("n")).alias("members_parts"), parts(F.col("n_out")).alias("block_parts"), F.ceil(parts(F.col("n")) / MET_BLOCKS).cast("int").alias("salts")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
 
     def pieces(rows: DataFrame, name: str) -> DataFrame:
-        """Parts of BLOCK members on average."""
-        counts = rows.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
-        part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-        return rows.join(counts, "centre").withColumn(f"{name}_part", part).groupBy("centre", f"{name}_part").agg(item.alias(name))
-
-    middle = apart.where("rep = centre").select("centre", F.col("size").alias("centre_size"))
-    met = pieces(apart, "members").join(pieces(apart.where("outside"), "block"), "centre").join(middle, "centre")
+        """Parts of BLOCK members on average, each gathered by itself, however large the group is."""
+        part = F.pmod(F.xxhash64("rep"), F.col(f"{name}_parts")).cast("int").alias(f"{name}_part")
+        kept = ["centre", "centre_size", "block_parts", "salts"]
+        dealt = rows.join(sizes, "centre").select(*kept, part, F.struct("rep", "component", "size", "shared", "bits", "fresh").alias("item"))
+        dealt = dealt.repartition(shuffle_partitions(sets.sparkSession), "centre", f"{name}_part")
+        return dealt.groupBy(*kept, f"{name}_part").agg(F.collect_list("item").alias(name))
+
+    # Each part of the members goes to each block of outside ones; a block has copies, so that a large group's parts spread.
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = pieces(apart, "members").withColumn("block_part", upto("block_parts")).withColumn("salt", F.pmod("members_part", "salts")).select("centre", "block_part", "salt", "members")
+    blocks = pieces(apart.where("outside"), "block").withColumn("salt", upto("salts")).select("centre", "block_part", "salt", "block", "centre_size")
+    met = members.join(blocks, ["centre", "block_part", "salt"]).select("members", "block", "centre_size")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +333,7 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
 
-    return met.repartition(shuffle_partitions(sets.sparkSession), "centre", "members_part", "block_part").select("members", "block", "centre_size").mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(compare, "a long, b long")
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:

@@ -64,6 +64,8 @@ def test_dense_groups_and_common_lines(make_docs, monkeypatch, small):
     monkeypatch.setattr(chosen_path, "SMALL", small)
     monkeypatch.setattr(chosen_path, "HUB_PAIRS", 16)
     monkeypatch.setattr(chosen_path, "BLOCK", 8)
+    monkeypatch.setattr(chosen_path, "MET_BLOCKS", small)
+    monkeypatch.setattr(chosen_path, "BROADCAST_GROUPS", 0 if small == 2 else 100)
     rows = corpus()
     assert got(near_duplicates(make_docs(rows), words=4)) == brute(rows)
 
