@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, shuffle_partitions, text_of
+from .common import fresh, giving_back, materialise, shuffle_partitions, text_of
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 80
@@ -153,7 +153,7 @@ def sketch_table(docs: DataFrame, words: int, size: int) -> DataFrame:
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), _lists(rows)], names=["id", "tag", "shingles", "set_key", "sketch"])
 
-    return docs.mapInArrow(look, "id long, tag long, shingles long, set_key binary, sketch array<long>")
+    return docs.mapInArrow(giving_back(look), "id long, tag long, shingles long, set_key binary, sketch array<long>")
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             for part in _slices(batch):
                 yield pa.RecordBatch.from_arrays([part.column("rep"), _lists(shingle_sets(part.column("text").to_pylist(), words))], names=["id", "set"])
 
-    return docs.join(wanted, ["id", "tag"]).select("rep", "text").mapInArrow(look, "id long, set array<long>")
+    return docs.join(wanted, ["id", "tag"]).select("rep", "text").mapInArrow(giving_back(look), "id long, set array<long>")
 
 
 def _leaves(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +253,7 @@ def _differences(members: DataFrame, sets: DataFrame) -> DataFrame:
     middles = middles.select("centre", "middle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     dealt = members.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
     met = dealt.join(sets.withColumnRenamed("id", "rep"), "rep").join(middles, ["centre", "salt"])
-    return met.select("centre", "rep", "component", "outside", "set", "middle").mapInArrow(look, _DIFFERENCE)
+    return met.select("centre", "rep", "component", "outside", "set", "middle").mapInArrow(giving_back(look), _DIFFERENCE)
 
 
 class _Group:
@@ -333,7 +333,7 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*sorted(found), strict=True)], names=["a", "b"])
 
-    return met.mapInArrow(compare, "a long, b long")
+    return met.mapInArrow(giving_back(compare), "a long, b long")
 
 
 def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:

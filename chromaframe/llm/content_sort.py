@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialise, shuffle_partitions, text_of
+from .common import fresh, giving_back, materialise, shuffle_partitions, text_of
 
 #: Characters that do not count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -91,7 +91,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str, partitions: int | Non
     rows = rows.withColumn("head", F.substring("norm", 1, SPLITTER_CHARS)).withColumn("tie", F.xxhash64("norm"))
     first = [F.col("chars").desc(), F.col("id").asc_nulls_last(), F.col("tag")]
     dealt = rows.repartitionByRange(n, F.col("head"), F.col("tie"), *first)
-    runs = materialise(dealt.sortWithinPartitions("head", "tie", "norm", *first).select("id", "tag", "norm", "chars").mapInArrow(_runs, _RUNS))
+    runs = materialise(dealt.sortWithinPartitions("head", "tie", "norm", *first).select("id", "tag", "norm", "chars").mapInArrow(giving_back(_runs), _RUNS))
 
     # At most two runs a partition touch a border, so this table has at most 2 n rows.
     best = F.struct((-F.col("keep_chars")).alias("chars"), F.col("keep_id").isNull().alias("no_id"), F.col("keep_id"), F.col("keep_tag"), F.col("part"))

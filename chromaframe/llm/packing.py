@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import giving_back, materialise, text_of
 
 SEQUENCE = 4096
 END_ID = 2
 #: Pieces a group holds on average; a task packs one group at a time.
 GROUP_PIECES = 8192
 #: Words whose ids a Python worker remembers before it starts afresh.
-MEMO_WORDS = 250_000
+MEMO_WORDS = 120_000
 #: Bytes of text that are split into words at once.
 SLICE_BYTES = 2 << 20
 
@@ -189,7 +189,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                         rows.append((doc_id, start, len(own), zlib.crc32(own.tobytes()), len(ids)) + (own.astype(np.int64),) * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(cut, fields)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(giving_back(cut), fields)
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import giving_back, materialise, text_of
 
 Q = 8
 #: Edits allowed as a share of a segment's characters.
@@ -247,7 +247,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                     if hits:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*hits, strict=True)], names=["doc_id", "item_id", "item_start", "start", "end", "edits"])
 
-        own = rows.mapInArrow(look, _HITS)
+        own = rows.mapInArrow(giving_back(look), _HITS)
         own = materialise(own) if n > 1 else own  # a block is done with before the next one comes
         found = own if found is None else found.unionAll(own)
     return found
@@ -271,6 +271,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     bad = {hit[0] for hit in index.search(texts)}
                     yield part.filter(pa.array([k not in bad for k in range(len(texts))]))
 
-        left = left.mapInArrow(keep, docs.schema)
+        left = left.mapInArrow(giving_back(keep), docs.schema)
         left = materialise(left) if n > 1 else left
     return left

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_of
+from .common import giving_back, materialise, shuffle_partitions, text_of
 
 LENGTH = 400
 #: Bytes of the q-grams that anchors are chosen and first bucketed by.
@@ -202,7 +202,7 @@ def anchor_table(rows: DataFrame, length: int, q: int, passage: int = PASSAGE_WO
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("tag"), pa.array(keys, pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), items), own, own_marks], names=["row", "tag", "text_key", "n_bytes", "anchors", "own", "marks"])
 
     fields = ", ".join(":".join(f.split()) for f in _ANCHOR.split(", "))
-    return rows.mapInArrow(look, f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>, own array<struct<start:bigint,end:bigint>>, marks array<long>")
+    return rows.mapInArrow(giving_back(look), f"row long, tag long, text_key binary, n_bytes long, anchors array<struct<{fields}>>, own array<struct<start:bigint,end:bigint>>, marks array<long>")
 
 
 _CONTEXT = "bucket long, hot boolean, row long, tag long, at int, reach_back int, least_back int, settled boolean, context binary"
@@ -222,7 +222,7 @@ def _contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[f.split()[0] for f in _CONTEXT.split(", ")])
 
     by_row = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("bucket", "hot", "at", "reach_back", "least_back", "settled", "length")).alias("items"))  # as many as a text has
-    return rows.join(by_row, KEY).mapInArrow(look, _CONTEXT)
+    return rows.join(by_row, KEY).mapInArrow(giving_back(look), _CONTEXT)
 
 
 def _windows(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,8 +291,8 @@ def _refined(contexts: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part.column("row").to_numpy()[member]), pa.array(part.column("tag").to_numpy()[member]), pa.array(start.astype(np.int64)), pa.array(part.column("settled").to_numpy(zero_copy_only=False)[member])], names=["key", "row", "tag", "start", "settled"])
 
     n = max(2 * shuffle_partitions(contexts.sparkSession), 32)
-    usual = contexts.where("not hot").drop("hot").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(within, "row long, tag long, start long, end long")
-    hot = contexts.where("hot").drop("hot").mapInArrow(keys, "key long, row long, tag long, start long, settled boolean")
+    usual = contexts.where("not hot").drop("hot").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(within), "row long, tag long, start long, end long")
+    hot = contexts.where("hot").drop("hot").mapInArrow(giving_back(keys), "key long, row long, tag long, start long, settled boolean")
     repeated = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     found = hot.join(repeated, "key", "left_semi").where("not settled").select("row", "tag", "start", (F.col("start") + length).alias("end"))
     return usual.unionAll(found)
@@ -424,4 +424,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shared_runs long" + ", kept binary" * with_text
-    return rows.join(found, KEY, "left").mapInArrow(finish, fields)
+    return rows.join(found, KEY, "left").mapInArrow(giving_back(finish), fields)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import giving_back, materialise, text_of
 
 #: Labelled documents that markers are counted over at most; more are sampled by a hash of the identifier.
 FIT_ROWS = 20_000
@@ -35,7 +35,7 @@ CLEAR, LEAST_DOCS = 3.3, 3
 RIDGE, STEPS, SETTLED = 1.0, 400, 1e-5
 THRESHOLD = 0.7
 #: Tokens whose readings a task remembers before it starts afresh, and bytes of text that are scored at once.
-MEMO_TOKENS, SLICE_BYTES = 150_000, 4 << 20
+MEMO_TOKENS, SLICE_BYTES = 100_000, 4 << 20
 #: Letters of a spaced-out word at most: each start and each end in a run of single characters is read over so many.
 SPACED_LETTERS = 24
 #: Letters the trigram model knows: a-z and the lower-case Latin letters with marks.
@@ -255,7 +255,7 @@ def character_model(docs: DataFrame, text_col: str = "text") -> Trigrams:
         grams = [alphabet[k >> 12] + alphabet[k >> 6 & 63] + alphabet[k & 63] for k in some.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(found[some], pa.int64())], names=["gram", "n"])
 
-    grams = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = docs.select(text_of(text_col).alias("text")).mapInArrow(giving_back(count), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     return Trigrams({r["gram"]: r["n"] for r in grams.collect()})
 
 
@@ -385,7 +385,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 value = [math.log1p(n) for n in found.values()]
                 yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(list(found), pa.string()), pa.array(value, pa.float64())], names=["y", "f", "v"])
 
-    each = rows.select("_y", "text").mapInArrow(look, "y int, f string, v double")
+    each = rows.select("_y", "text").mapInArrow(giving_back(look), "y int, f string, v double")
     v, pos, neg = F.col("v"), F.when(F.col("y") == 1, F.col("v")).otherwise(0.0), F.when(F.col("y") == 1, 0.0).otherwise(F.col("v"))
     sums = each.groupBy("f").agg(F.sum(pos).alias("p"), F.sum(pos * v).alias("pp"), F.sum(neg).alias("q"), F.sum(neg * v).alias("qq"), F.sum("y").alias("n"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_y"), F.lit(0)).alias("pos")).first()
@@ -406,7 +406,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("_y"), pa.array(words, pa.int32()), *lists], names=["y", "words", "marker", "times"])
 
     # fit_rows rows at most, with the counts of their markers only.
-    found = rows.select("_y", "text").mapInArrow(count, "y int, words int, marker array<int>, times array<int>").toPandas()
+    found = rows.select("_y", "text").mapInArrow(giving_back(count), "y int, words int, marker array<int>, times array<int>").toPandas()
     sizes = [len(m) for m in found["marker"]]
     model.regress(np.repeat(np.arange(len(found)), sizes), np.concatenate([*found["marker"], []]).astype(np.int64), np.concatenate([*found["times"], []]), found["words"].to_numpy(), found["y"].to_numpy())
     model.memo = {}
@@ -422,7 +422,7 @@ def score(docs: DataFrame, model: Markers, id_col: str = "doc_id", text_col: str
             for part in _slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(model.scores(part.column("text")), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(look, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(giving_back(look), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Markers, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -436,4 +436,4 @@ def drop_toxic(docs: DataFrame, model: Markers, text_col: str = "text", threshol
             for part in _slices(batch, text_col):
                 yield part.filter(pa.array(model.scores(pc.fill_null(part.column(text_col), "")) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(giving_back(keep), docs.schema)
