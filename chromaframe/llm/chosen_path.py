@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, giving_back, materialise, shuffle_partitions, text_of
+from .common import fresh, giving_back, kept, materialise, shuffle_partitions, text_of
 from .components import connected_components
 
 WORDS, THRESHOLD = 5, 80
@@ -167,7 +167,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return docs.join(wanted, ["id", "tag"]).select("rep", "text").mapInArrow(giving_back(look), "id long, set array<long>")
 
 
-def _leaves(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
+def _leaves(reps: DataFrame, n_trees: int, n: int) -> tuple[DataFrame, DataFrame]:
     """Members (node, rep) of nodes to compare exhaustively, and of the dense ones that stay large."""
     per_tree = 1 + BRANCHES * (LEVELS - 1)
     at = reps.select("rep", "sketch", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
@@ -175,9 +175,9 @@ def _leaves(reps: DataFrame, n_trees: int) -> tuple[DataFrame, DataFrame]:
     small: DataFrame | None = None
     for level in range(1, LEVELS + 1):
         plain = members.select("node", "rep", "tree")
-        plain = materialise(plain.distinct() if level > 1 else plain)
+        plain = kept(plain.distinct() if level > 1 else plain, n)
         sizes = plain.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        held = materialise(plain.join(sizes, "node"))
+        held = kept(plain.join(sizes, "node"), n)
         own = held.where(F.col("n") <= SMALL).select("node", "rep")
         small = own if small is None else small.unionAll(own)
         large = held.where(F.col("n") > SMALL)
@@ -212,9 +212,9 @@ def _alike(pairs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     return both.where(agree >= math.ceil(SKETCH_LEAST * size)).select("a", "b", "na", "nb")
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int, n: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are linked by their whole sets (id, set). Pairs of a hub are dealt over salts."""
-    pairs = materialise(pairs.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"))
+    pairs = kept(pairs.where(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)"), n)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_PAIRS).cast("int").alias("salts"))
     ones = sets.withColumnRenamed("id", "a").withColumnRenamed("set", "one").join(hubs, "a")
     ones = ones.select("a", "one", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -285,7 +285,7 @@ def _linked(left: _Group, right: _Group, centre_size: int, threshold: int) -> It
         yield min(int(left.rep[i]), int(right.rep[j])), max(int(left.rep[i]), int(right.rep[j]))
 
 
-def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int) -> DataFrame | None:
+def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFrame, threshold: int, n: int) -> DataFrame | None:
     """Exact links (a, b) of those members of dense groups that lie outside their group's main component.
 
     Nodes whose centres are in one component are one group, with their commonest centre. Blocks of outside members meet chunks of the group's members, so rows grow
@@ -297,16 +297,16 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
     usual = first.groupBy("group", "own").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("own", F.struct("n", -F.col("own"))).alias("centre"))
     members = dense.join(first.join(usual, "group").select("node", "centre"), "node").select("centre", "rep")
     members = members.unionAll(usual.select("centre", F.col("centre").alias("rep"))).distinct()
-    named = materialise(members.join(label, F.col("rep") == F.col("labelled"), "left").select("centre", "rep", F.coalesce("component", "rep").alias("component")))
+    named = kept(members.join(label, F.col("rep") == F.col("labelled"), "left").select("centre", "rep", F.coalesce("component", "rep").alias("component")), n)
     per = named.groupBy("centre", "component").agg(F.count(F.lit(1)).alias("n"))
     main = per.groupBy("centre").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("components")).where("components > 1")
-    open_ = materialise(named.join(main, "centre").select("centre", "rep", "component", (F.col("component") != F.col("main")).alias("outside")))
+    open_ = kept(named.join(main, "centre").select("centre", "rep", "component", (F.col("component") != F.col("main")).alias("outside")), n)
     if not open_.limit(1).count():
         return None
-    apart = materialise(_differences(open_, sets))
+    apart = kept(_differences(open_, sets), n)
     parts = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
     sizes = apart.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("outside"), F.lit(1))).alias("n_out"), F.max(F.when(F.col("rep") == F.col("centre"), F.col("size"))).alias("centre_size"))
-    sizes = materialise(sizes.select("centre", "centre_size", parts(F.col("n")).alias("members_parts"), parts(F.col("n_out")).alias("block_parts"), F.ceil(parts(F.col("n")) / MET_BLOCKS).cast("int").alias("salts")))
+    sizes = kept(sizes.select("centre", "centre_size", parts(F.col("n")).alias("members_parts"), parts(F.col("n_out")).alias("block_parts"), F.ceil(parts(F.col("n")) / MET_BLOCKS).cast("int").alias("salts")), n)
     sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
 
     def pieces(rows: DataFrame, name: str) -> DataFrame:
@@ -336,7 +336,7 @@ def _rest(dense: DataFrame, centres: DataFrame, labels: DataFrame, sets: DataFra
     return met.mapInArrow(giving_back(compare), "a long, b long")
 
 
-def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:
+def _classes(sets: DataFrame, n: int) -> tuple[DataFrame, bool]:
     """set_key, rep, id, tag, sketch and shingles of each class of equal sets, and whether rep is always id.
 
     id is the smallest one of the class and tag names one of that id's texts. rep, which stands for the class in all joins,
@@ -344,11 +344,11 @@ def _classes(sets: DataFrame) -> tuple[DataFrame, bool]:
     """
     least = F.min(F.struct("id", "tag"))
     found = sets.groupBy("set_key").agg(least.alias("least"), F.min_by("sketch", "id").alias("sketch"), F.first("shingles").alias("shingles"))
-    found = materialise(found.select("set_key", "least.id", "least.tag", "sketch", "shingles"))
+    found = kept(found.select("set_key", "least.id", "least.tag", "sketch", "shingles"), n)
     several = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("several"))
     if not several.limit(1).count():
         return found.withColumn("rep", F.col("id")), True
-    return materialise(found.join(several, "id", "left").withColumn("rep", F.when(F.col("several"), F.xxhash64("id", "set_key")).otherwise(F.col("id")))), False
+    return kept(found.join(several, "id", "left").withColumn("rep", F.when(F.col("several"), F.xxhash64("id", "set_key")).otherwise(F.col("id"))), n), False
 
 
 def _by_smallest_id(labels: DataFrame, reps: DataFrame) -> DataFrame:
@@ -372,35 +372,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = n_trees * (1 + BRANCHES * (LEVELS - 1))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_of(text_col)).alias("tag"), text_of(text_col).cast("binary").alias("text"))
     rows = materialise(sketch_table(texts, words, size))
+    n = rows.count()
     sets = rows.where("set_key is not null and id is not null")
-    reps, by_id = _classes(sets)
+    reps, by_id = _classes(sets, n)
     known = reps.select("rep", "sketch", "shingles")
 
-    small, dense = _leaves(known, n_trees)
+    small, dense = _leaves(known, n_trees, n)
     grouped = small.groupBy("node").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # SMALL members at most
     pairs = grouped.select(F.explode("m").alias("a"), "m").select("a", F.explode("m").alias("b")).where("a < b")
-    centres = materialise(_centres(dense, known))
+    centres = kept(_centres(dense, known), n)
     # The centre of a dense group is the hub of its pairs. A member is in many nodes; the HUBS centres that it meets most often stand for them.
     met = dense.join(centres, "node").where("rep <> centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("n"))
     best = met.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("centre")).alias("c"))), asc=False), 1, HUBS).alias("hubs"))
     hub = best.select(F.explode("hubs").alias("h"), F.col("rep").alias("b")).select((-F.col("h.c")).alias("a"), "b")
-    small_pairs, hub_pairs = materialise(_alike(pairs, known, size)), materialise(_alike(hub, known, size))
+    small_pairs, hub_pairs = kept(_alike(pairs, known, size), n), kept(_alike(hub, known, size), n)
     ends = [df.select(F.col(c).alias("id")) for df, c in ((small_pairs, "a"), (small_pairs, "b"), (dense, "rep"))]
     ends = ends[0].unionAll(ends[1]).unionAll(ends[2]).distinct().withColumnRenamed("id", "rep")
-    sets = materialise(_set_table(texts, reps.select("rep", "id", "tag").join(ends, "rep", "left_semi"), words).dropDuplicates(["id"]))
+    sets = kept(_set_table(texts, reps.select("rep", "id", "tag").join(ends, "rep", "left_semi"), words).dropDuplicates(["id"]), n)
 
-    to_hub = materialise(_confirm(hub_pairs, sets, threshold))
+    to_hub = kept(_confirm(hub_pairs, sets, threshold, n), n)
     # Small nodes need no second look at two documents of one hub.
     star = to_hub.groupBy("b").agg(F.min("a").alias("hub"))
     with_hubs = small_pairs.join(star.select(F.col("b").alias("a"), F.col("hub").alias("ha")), "a", "left").join(star.select("b", F.col("hub").alias("hb")), "b", "left")
     apart = with_hubs.where(~F.coalesce("ha", "a").eqNullSafe(F.coalesce("hb", "b"))).select("a", "b", "na", "nb")
-    links = materialise(to_hub.unionAll(_confirm(apart, sets, threshold)))
-    labels = connected_components(links)
-    more = _rest(dense, centres, labels, sets, threshold) if dense.limit(1).count() else None
+    links = kept(to_hub.unionAll(_confirm(apart, sets, threshold, n)), n)
+    labels = connected_components(links, n)
+    more = _rest(dense, centres, labels, sets, threshold, n) if dense.limit(1).count() else None
     if more is not None:
-        more = materialise(more.distinct())
+        more = kept(more.distinct(), n)
         if more.limit(1).count():
-            labels = connected_components(links.unionAll(more))
+            labels = connected_components(links.unionAll(more), n)
 
     labels = labels if by_id else _by_smallest_id(labels, reps)
     classes = reps.select("set_key", "rep", F.col("id").alias("least")).join(labels, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "least").alias("component"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise, shared_folder
 
-__all__ = ["fresh", "giving_back", "materialise", "shared_folder", "shuffle_partitions", "table", "text_of"]
+__all__ = ["fresh", "giving_back", "kept", "materialise", "shared_folder", "shuffle_partitions", "table", "text_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of the table that it stems from for each file of an intermediate table.
+FILE_ROWS = 10_000
+
+
+def kept(df: DataFrame, rows: int) -> DataFrame:
+    """materialise(), in fewer files than there are shuffle partitions if the table that df stems from has few rows; at least one
+    for each core."""
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return materialise(df.coalesce(n) if n < shuffle_partitions(df.sparkSession) else df)
+
+
 def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: a worker serves many tasks and stages, so what one of them has freed goes back to the system at its end."""
 

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import kept, materialise, shuffle_partitions
 
 #: Rows of links or labels in one partition; labels are broadcast up to this many (16 bytes each), joined by a shuffle beyond.
 ROWS = 250_000
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """node and component (its smallest node) for every end of a link (a, b).
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node and component (its smallest node) for every end of a link (a, b). rows: of the table that the links stem from, if known.
 
     Labels spread to neighbours and then jump to their label's label, so stars take two rounds and
     chains a logarithmic number. Labels are combined before each shuffle. Beyond ROWS links a hub's rows meet its label in a
     sort-merge join, which adaptive execution splits.
     """
     spark = links.sparkSession
-    both = materialise(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    keep = materialise if rows is None else lambda df: kept(df, rows)
+    both = keep(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     n = both.count()
     parts = max(1, min(shuffle_partitions(spark), -(-n // ROWS)))
     small = F.broadcast if n <= ROWS else lambda df: df  # there are at most as many labels as links
