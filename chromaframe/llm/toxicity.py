@@ -327,6 +327,7 @@ class Markers:
         order = np.argsort(marker, kind="stable")
         markers, by_marker = np.unique(marker[order], return_index=True)
         ordered, doc_of = values[:, order], doc[order]
+        del order
 
         def of_documents(w: np.ndarray) -> np.ndarray:
             out = np.zeros(n)
@@ -406,9 +407,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column("_y"), pa.array(words, pa.int32()), *lists], names=["y", "words", "marker", "times"])
 
     # fit_rows rows at most, with the counts of their markers only.
-    found = rows.select("_y", "text").mapInArrow(giving_back(count), "y int, words int, marker array<int>, times array<int>").toPandas()
-    sizes = [len(m) for m in found["marker"]]
-    model.regress(np.repeat(np.arange(len(found)), sizes), np.concatenate([*found["marker"], []]).astype(np.int64), np.concatenate([*found["times"], []]), found["words"].to_numpy(), found["y"].to_numpy())
+    found = rows.select("_y", "text").mapInArrow(giving_back(count), "y int, words int, marker array<int>, times array<int>").toArrow()
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), pc.list_value_length(found["marker"]).to_numpy())
+    model.regress(doc, *[pc.list_flatten(found[c]).to_numpy() for c in ("marker", "times")], found["words"].to_numpy(), found["y"].to_numpy())
     model.memo = {}
     return model
 
