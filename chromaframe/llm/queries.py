@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chosen_path, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
+from . import bytepair, chosen_path, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bytepair.encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_kd_sharding": op2_kd_sharding,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chosen_path": op9_chosen_path,
     "op10_toxicity": op10_toxicity,
+    "op12_byte_pairs": op12_byte_pairs,
 }
 
 def _any_case(words: str) -> str:
