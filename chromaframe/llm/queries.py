@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, chosen_path, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
+from . import bytepair, chosen_path, codebooks, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -83,6 +83,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codebooks.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bytepair.encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
@@ -99,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chosen_path": op9_chosen_path,
     "op10_toxicity": op10_toxicity,
+    "op11_vector_codes": op11_vector_codes,
     "op12_byte_pairs": op12_byte_pairs,
 }
 
@@ -144,7 +150,31 @@ def _secrets_sql() -> str:
     """
 
 
+def _codes_sql() -> str:
+    nearest = lambda book: f"SELECT vec_id, p, label, q, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (SELECT vec_id, p, label, q, e, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - c[i]) * (q[i] - c[i]))) AS d FROM pts JOIN {book} USING (p)) GROUP BY vec_id, p, label, q"
+    moved = lambda book, given: f"""
+        SELECT p, e, coalesce(m, c) AS c FROM {book} LEFT JOIN (
+            SELECT p, e, list(CAST(floor((s - ((s % n) + n) % n) / n) AS BIGINT) ORDER BY i) AS m FROM (
+                SELECT p, e, i, sum(q[i]) AS s, count(*) AS n FROM {given}, unnest(range(1, len(q) + 1)) AS u(i) GROUP BY p, e, i) GROUP BY p, e
+        ) USING (p, e)"""
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), pts AS MATERIALIZED (
+            SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS q FROM kept, unnest(range(16)) AS u(p)
+        ), b0 AS MATERIALIZED (
+            SELECT p, e, q AS c FROM pts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept) USING (vec_id) WHERE e < 64
+        ), a0 AS MATERIALIZED ({nearest("b0")}), b1 AS MATERIALIZED ({moved("b0", "a0")}), a1 AS MATERIALIZED ({nearest("b1")}),
+        b2 AS MATERIALIZED ({moved("b1", "a1")}), a2 AS MATERIALIZED ({nearest("b2")}), coded AS (
+            SELECT vec_id, label, string_agg(format('{{:02x}}', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id, label
+        ), books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded, books
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
     "op1_secret_scan": _secrets_sql(),
     "op7_content_sort": r"""
         WITH t AS (
