@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytepair, chosen_path, codebooks, content_sort, kdshard, packing, preferences, qgram, secrets, suffix_dedup, toxicity, urlfilter
+from . import bytepair, chosen_path, codebooks, content_sort, kdshard, packing, preferences, qgram, repair, secrets, suffix_dedup, toxicity, urlfilter
 from .common import table
 
 SHARDS = 24
@@ -93,6 +93,10 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytepair.encode_texts(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_kd_sharding": op2_kd_sharding,
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_vector_codes": op11_vector_codes,
     "op12_byte_pairs": op12_byte_pairs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 def _any_case(words: str) -> str:
