@@ -15,21 +15,22 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import sys
-from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import giving_back, text_of
 
-#: Matches and pairs of tokens whose outcome a Python worker remembers before it starts afresh; matches longer than
-#: MEMO_CHARS are not remembered.
-MEMO = 200_000
+#: Matches, halves and pairs of tokens whose outcome a Python worker remembers before it starts afresh; matches longer than
+#: MEMO_CHARS are not remembered, nor are halves longer than HALF_BYTES.
+MEMO = 300_000
 MEMO_CHARS = 64
+HALF_BYTES = 8
 #: Characters of a text that are split into matches at once, if it holds a blank where it can be parted.
 SLICE_CHARS = 1 << 18
 #: Ids whose bytes are put together at a leaf of the tree.
@@ -49,7 +50,7 @@ class Vocabulary:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pairs: dict[tuple[int, int], list[int]] = {}
-        self.whole: dict[bytes, bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
         self.ordered = all(self._in_order(token, rank) for token, rank in self.ranks.items() if self._doubtful(token, rank))
 
     def _doubtful(self, token: bytes, rank: int) -> bool:
@@ -108,39 +109,45 @@ class Vocabulary:
         """The encoding of the bytes of a followed by those of b."""
         if not a or not b:
             return a + b
+        window = self._pair(a[-1], b[0])
+        if window == [a[-1], b[0]] and self.ordered:
+            return a + b
         left, right = 1, 1
         while True:
             at, to = max(0, len(a) - left), min(len(b), right)
-            ends = a[at:] + b[:to]
-            window = self._pair(*ends) if len(ends) == 2 else self.merged(b"".join([self.bytes_of[t] for t in ends]))
             left_settled = at == 0 or self._settled(a[at - 1], window[0])
             right_settled = to == len(b) or self._settled(window[-1], b[to])
             if left_settled and right_settled:
                 return a[:at] + window + b[to:]
             left, right = left * (1 if left_settled else 2), right * (1 if right_settled else 2)
+            window = self.merged(b"".join([self.bytes_of[t] for t in a[max(0, len(a) - left) :] + b[:right]]))
 
     def reduce(self, data: bytes) -> list[int]:
-        """Encodes halves and joins them."""
-        token = self.ranks.get(data)
-        if token is not None:
-            alone = self.whole.get(data)
-            if alone is None:
-                alone = self.whole[data] = len(self.merged(data)) == 1
-            if alone:
-                return [token]
-        if len(data) < 2:
-            return []
-        half = len(data) // 2
-        return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
+        """Encodes halves and joins them. Short halves are common to many matches and remembered."""
+        ids = self.halves.get(data)
+        if ids is None:
+            token = self.ranks.get(data)
+            if token is not None and len(self.merged(data)) == 1:
+                ids = [token]
+            elif len(data) > 1:
+                half = len(data) // 2
+                ids = self.join(self.reduce(data[:half]), self.reduce(data[half:]))
+            else:
+                ids = []
+            if len(data) <= HALF_BYTES:
+                if len(self.halves) > MEMO:
+                    self.halves.clear()
+                self.halves[data] = ids
+        return ids
 
     def encode_match(self, match: bytes) -> list[int]:
         """A match that is a token is that token, even if merges would not lead to it."""
         token = self.ranks.get(match)
         return self.reduce(match) if token is None else [token]
 
-    def decode(self, ids: array | list[int]) -> bytes:
+    def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:
-            return b"".join([self.bytes_of[t] for t in ids])
+            return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -167,20 +174,20 @@ class Encoder:
             at = found.end()
         yield text[at:] if at else text
 
-    def encode(self, text: str) -> array:
-        memo, encode_match = self.memo, self.vocabulary.encode_match
-        out: list[int] = []
+    def encode(self, text: str) -> list[int]:
+        memo, encode_match, out = self.memo, self.vocabulary.encode_match, []
         for part in self._slices(text):
-            for match in self.matches(part):
-                ids = memo.get(match)
-                if ids is None:
-                    ids = encode_match(match.encode())
-                    if len(match) <= MEMO_CHARS:
-                        if len(memo) > MEMO:
-                            memo.clear()
-                        memo[match] = ids
-                out += ids
-        return array("I", out)
+            if len(memo) > MEMO:
+                memo.clear()
+            matches = self.matches(part)
+            new = set(matches).difference(memo)
+            for match in new:
+                memo[match] = encode_match(match.encode())
+            out += chain.from_iterable(map(memo.__getitem__, matches))
+            for match in new:
+                if len(match) > MEMO_CHARS:
+                    del memo[match]
+        return out
 
 
 _workers: dict[tuple[str, str], Encoder] = {}
@@ -193,14 +200,9 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return _workers[path, pattern]
 
 
-def _id_bytes(ids: array) -> bytes:
+def _id_bytes(ids: list[int]) -> bytes:
     """Unsigned 32-bit numbers, little-endian."""
-    if ids.itemsize != 4:
-        ids = array("L", ids)
-    if sys.byteorder == "big":
-        ids = ids[:]
-        ids.byteswap()
-    return ids.tobytes()
+    return np.array(ids, "<u4").tobytes()
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -225,7 +227,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
                     ids = encoder.encode(text.as_py())
                     decoded = encoder.vocabulary.decode(ids)
                     digests = hashlib.sha256(_id_bytes(ids)).hexdigest(), hashlib.sha256(decoded).hexdigest()
-                    rows.append((doc_id, len(ids), *digests) + (list(ids), decoded) * with_ids)
+                    rows.append((doc_id, len(ids), *digests) + (ids, decoded) * with_ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(giving_back(run), fields)
