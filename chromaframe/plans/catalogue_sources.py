@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import bands, images
+from ..streaming import packet_log, packets, tiles
 from ..storage import shared_folder
 from . import views as V
 from .catalogue import query
@@ -22,3 +23,15 @@ def image_bands(spark, sf_dir):
     samples = bands.read_bands(spark, folder).where("channel in ('R', 'A') and y >= 2 and x < 6")
     image_id = F.regexp_extract("path", r"([0-9]+)\.pfm$", 1).cast("long")
     return bands.linear_values(samples).select(image_id.alias("image_id"), "channel", "x", "y", "value")
+
+
+@query("SELECT image_id, channel, x, y, CAST(CAST(arg_max(value, seq) AS FLOAT) AS DOUBLE) AS value FROM tiles GROUP BY ALL", "tiles")
+def tile_packet_log(spark, sf_dir):
+    """All tiles as packets into a log, in their order, and from the log as a stream into a table."""
+    folder = shared_folder(spark, "packets")
+    packet_log.write_packets(packets.encode_tiles(V.tiles(spark, sf_dir)), f"{folder}/log", ["seq"])
+    keys = ["image_id", "channel", "x", "y"]
+    table = tiles.TileTable(spark, f"{folder}/table", keys, "seq", "value")
+    received = packets.decode_tiles(packet_log.stream_packets(spark, f"{folder}/log"))
+    received.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select(*keys, "value")
