@@ -177,13 +177,6 @@ def traffic(packets: DataFrame, by: list[str], payload: str, connection: str) ->
     return packets.groupBy(*by).agg(F.sum(F.octet_length(payload)).cast("long").alias("bytes"), F.count(F.lit(1)).alias("packets"), F.countDistinct(connection).alias("connections"))
 
 
-def recomputed(rows: DataFrame, by: list[str], at: str, shown: Column, least: float = 0.2) -> DataFrame:
-    """Updates that make statistics stale at once: all of images that are not shown, and of a shown one those that come later
-    than some seconds after the update before."""
-    before = F.lag(at).over(Window.partitionBy(*by).orderBy(at))
-    return rows.withColumn("_before", before).where(~shown | F.col("_before").isNull() | (_seconds(F.col(at)) - _seconds(F.col("_before")) > least)).drop("_before")
-
-
 def new_files(listing: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
     return listing.join(seen.select(*key), key, "left_anti")
 

@@ -11,6 +11,7 @@ from ..functions import names as N
 from ..operators import catalog as K
 from ..operators import compare as J
 from ..operators import geometry as G
+from ..streaming.recompute import recomputed
 from . import views as V
 from .catalogue import KEY, SRGB, UNSRGB, _resize_sql, query, r, rgb
 from .convert import wide_pixels
@@ -146,10 +147,17 @@ def traffic(spark, sf_dir):
     return K.traffic(V.table(spark, sf_dir, "events"), ["event_type"], "props", "user_id")
 
 
-@query("WITH l AS (SELECT event_id, user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events WHERE event_id % 3 <> 1) SELECT event_id FROM l WHERE user_id % 2 = 1 OR b IS NULL OR epoch(ts) - epoch(b) > 3600")
+@query(
+    """WITH RECURSIVE o AS (SELECT user_id, user_id % 2 = 0 AS shown, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (
+        SELECT user_id, k, t, t AS planned FROM o WHERE k = 1 UNION ALL
+        SELECT o.user_id, o.k, o.t, CASE WHEN o.t <= f.planned THEN f.planned WHEN o.shown THEN greatest(o.t, f.planned + 86400000000) ELSE o.t END FROM f JOIN o ON o.user_id = f.user_id AND o.k = f.k + 1
+    ) SELECT user_id, planned AS recomputed_us, count(*) AS updates, max(t) AS last_us FROM f GROUP BY 1, 2"""
+)
 def recomputed_statistics(spark, sf_dir):
-    rows = V.table(spark, sf_dir, "events").where("event_id % 3 <> 1")
-    return K.recomputed(rows, ["user_id"], "ts", F.col("user_id") % 2 == 0, 3600.0).select("event_id")
+    """Statistics of a shown image that stand for a day, as events of a user are hours apart."""
+    rows = V.table(spark, sf_dir, "events").withColumn("shown", F.col("user_id") % 2 == 0)
+    out = recomputed(rows, ["user_id"], "ts", "shown", 86400.0)
+    return out.select("user_id", F.unix_micros("recomputed_at").alias("recomputed_us"), "updates", F.unix_micros("last_update").alias("last_us"))
 
 
 # Joins of readers.
