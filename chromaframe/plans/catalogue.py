@@ -558,18 +558,24 @@ def tile_upsert_stream(spark, sf_dir):
     return replay_tiles(spark, V.tiles(spark, sf_dir))
 
 
-@query(
-    "WITH i AS (SELECT image_id, seq FROM tiles WHERE NOT (image_id % 3 = 0 AND seq % 50 = 7)), d AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seq) + CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY seq) > 5 + image_id % 7 THEN 1 ELSE 0 END AS load_id FROM i), "
-    "g AS (SELECT *, load_id - row_number() OVER (PARTITION BY image_id ORDER BY load_id) AS gap FROM d) SELECT image_id, load_id FROM g WHERE gap = 0",
-    "tiles",
-)
-def load_order_prefix(spark, sf_dir):
+def numbered_loads(spark, sf_dir):
+    """Loads of each image, numbered from 1 with one number missing."""
     from pyspark.sql import Window
 
     k = F.row_number().over(Window.partitionBy("image_id").orderBy("seq")).cast("long")
     rows = V.tiles(spark, sf_dir).where("not (image_id % 3 = 0 and seq % 50 = 7)").select("image_id", k.alias("k"))
-    loads = rows.select("image_id", (F.col("k") + F.when(F.col("k") > 5 + F.col("image_id") % 7, 1).otherwise(0)).alias("load_id"))
-    return K.contiguous_prefix(loads, ["image_id"], "load_id")
+    return rows.select("image_id", (F.col("k") + F.when(F.col("k") > 5 + F.col("image_id") % 7, 1).otherwise(0)).alias("load_id"))
+
+
+LOAD_ORDER = (
+    "WITH i AS (SELECT image_id, seq FROM tiles WHERE NOT (image_id % 3 = 0 AND seq % 50 = 7)), d AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY seq) + CASE WHEN row_number() OVER (PARTITION BY image_id ORDER BY seq) > 5 + image_id % 7 THEN 1 ELSE 0 END AS load_id FROM i), "
+    "g AS (SELECT *, load_id - row_number() OVER (PARTITION BY image_id ORDER BY load_id) AS gap FROM d) SELECT image_id, load_id FROM g WHERE gap = 0"
+)
+
+
+@query(LOAD_ORDER, "tiles")
+def load_order_prefix(spark, sf_dir):
+    return K.contiguous_prefix(numbered_loads(spark, sf_dir), ["image_id"], "load_id")
 
 
 @query(

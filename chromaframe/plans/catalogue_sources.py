@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import bands, images
-from ..streaming import packet_log, packets, tiles
+from ..streaming import graphics, packet_log, packets, publish, tiles
 from ..storage import shared_folder
 from . import views as V
-from .catalogue import query
+from .catalogue import LOAD_ORDER, numbered_loads, query
 
 
 @query(
@@ -35,3 +35,72 @@ def tile_packet_log(spark, sf_dir):
     received = packets.decode_tiles(packet_log.stream_packets(spark, f"{folder}/log"))
     received.writeStream.foreachBatch(table.merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return table.read().select(*keys, "value")
+
+
+@query(LOAD_ORDER, "tiles")
+def load_order_stream(spark, sf_dir):
+    """Loads that come in no order, as a stream of several batches that publishes them in order."""
+    folder = shared_folder(spark, "publish")
+    numbered_loads(spark, sf_dir).repartition(4, F.xxhash64("image_id", "load_id")).write.parquet(f"{folder}/in")
+    arrivals = spark.readStream.schema("image_id long, load_id long").option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    out = publish.published(arrivals, ["image_id"], "load_id", 1).writeStream.format("parquet").option("path", f"{folder}/out")
+    out.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+# Vector graphics and focus: events as packets for the image of their user.
+
+PACKETS = """p AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS image, user_id % 5 AS host, event_id % 3 AS n, event_id % 4 = 0 AS focus, event_type = 'click' OR value >= 250 AS append,
+        CASE event_type WHEN 'signup' THEN 'begin' WHEN 'error' THEN 'end' WHEN 'view' THEN 'update' ELSE 'draw' END AS what FROM events)"""
+TRACED = f"""{PACKETS}, w AS (
+        SELECT *, last_value(CASE WHEN what IN ('begin', 'end') THEN what END IGNORE NULLS) OVER o = 'begin' AS there, max(CASE WHEN what = 'begin' OR (what = 'draw' AND NOT append) THEN seq END) OVER o AS since
+        FROM p WINDOW o AS (PARTITION BY image ORDER BY seq)
+    ), t AS (
+        SELECT image, host, seq, focus, coalesce(there, false) AS exists, CASE WHEN there THEN (SELECT coalesce(sum(q.n), 0) FROM p q WHERE q.image = w.image AND q.what = 'draw' AND q.seq BETWEEN w.since AND w.seq) ELSE 0 END AS commands FROM w
+    )"""
+
+
+def event_packets(spark, sf_dir):
+    op = F.when(F.col("event_type") == "signup", packets.CREATE).when(F.col("event_type") == "error", packets.CLOSE).when(F.col("event_type") == "view", packets.UPDATE_V3).otherwise(packets.VECTOR)
+    command = F.struct((F.col("event_id") % 27).cast("int").alias("op"), F.array(F.col("value").cast("float")).alias("args"), F.lit(None).cast("string").alias("text"))
+    return V.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("image"), (F.col("user_id") % 5).alias("host"), op.alias("op"),
+        ((F.col("event_type") == "click") | (F.col("value") >= 250)).alias("append"), (F.col("event_id") % 4 == 0).alias("grab_focus"),
+        F.array_repeat(command, (F.col("event_id") % 3).cast("int")).alias("commands"),
+    )
+
+
+@query(
+    f"WITH {PACKETS}, l AS (SELECT image, arg_max(what, seq) FILTER (what IN ('begin', 'end')) AS state, max(seq) FILTER (what = 'begin' OR (what = 'draw' AND NOT append)) AS since FROM p GROUP BY 1) "
+    "SELECT image, seq, CAST(k AS INTEGER) AS position, CAST(seq % 27 AS INTEGER) AS op FROM p JOIN l USING (image), unnest(range(n)) AS u(k) WHERE state = 'begin' AND what = 'draw' AND seq >= since"
+)
+def vector_graphics(spark, sf_dir):
+    return graphics.drawn(event_packets(spark, sf_dir)).select("image", "seq", "position", F.col("command.op").alias("op"))
+
+
+@query(f"WITH {TRACED} SELECT image, seq, exists, CAST(commands AS BIGINT) AS commands FROM t")
+def vector_graphics_trace(spark, sf_dir):
+    return graphics.traced(event_packets(spark, sf_dir)).select("image", "seq", "exists", "commands")
+
+
+@query(f"WITH {TRACED} SELECT host, arg_max(image, seq) AS selected FROM t WHERE exists AND focus GROUP BY 1")
+def focused_images(spark, sf_dir):
+    return graphics.focused(event_packets(spark, sf_dir), ["host"])
+
+
+@query(
+    f"WITH {PACKETS}, l AS (SELECT image, arg_max(what, seq) FILTER (what IN ('begin', 'end')) AS state, max(seq) FILTER (what = 'begin' OR (what = 'draw' AND NOT append)) AS since FROM p GROUP BY 1) "
+    "SELECT image, max(p.seq) AS seq, CASE WHEN any_value(state) = 'begin' THEN coalesce(sum(n) FILTER (what = 'draw' AND p.seq >= since), 0) ELSE -1 END::INTEGER AS commands FROM p JOIN l USING (image) GROUP BY 1"
+)
+def vector_graphics_stream(spark, sf_dir):
+    """The same packets as a stream that is stopped half-way, and what each image bears after its last packet."""
+    folder = shared_folder(spark, "graphics")
+    sent = event_packets(spark, sf_dir)
+    half = sent.agg(F.max("seq")).first()[0] or 0
+    table = tiles.TileTable(spark, f"{folder}/table", ["image"], "seq", "commands")
+    for part in (F.col("seq") * 2 <= half, F.col("seq") * 2 > half):
+        sent.where(part).write.mode("append").parquet(f"{folder}/in")
+        borne = graphics.drawn_stream(spark.readStream.schema(sent.schema).parquet(f"{folder}/in"))
+        counted = borne.select("image", "seq", F.coalesce(F.size("commands"), F.lit(-1)).alias("commands"))
+        counted.writeStream.foreachBatch(table.merge).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("image", "seq", "commands")

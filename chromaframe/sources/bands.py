@@ -32,6 +32,8 @@ SCHEMA = "path string, part string, channel string, x int, y int, sample double,
 BAND_BYTES = 64 << 20
 #: Bytes that are read at once, and bytes of a header that are read before it is known how long it is.
 READ_BYTES, HEAD_BYTES = 8 << 20, 1 << 16
+#: Bytes that opening a file counts for, so that many small files are dealt over more tasks.
+OPEN_BYTES = 1 << 18
 BATCH_ROWS = 1 << 16
 
 
@@ -319,11 +321,12 @@ class BandReader(D.DataSourceReader):
         for info in sorted(files, key=lambda i: natural_key(i.path)):
             count = max(1, -(-info.size // self.band_bytes))
             for number in range(count):
-                if own and held + info.size // count > self.band_bytes:
+                cost = info.size // count + OPEN_BYTES
+                if own and held + cost > max(self.band_bytes, OPEN_BYTES):
                     out.append(Bands(tuple(own)))
                     own, held = [], 0
                 own.append((info.path, number, count))
-                held += info.size // count
+                held += cost
         return [*out, Bands(tuple(own))] if own else out
 
     def read(self, partition: Bands) -> Iterator[pa.RecordBatch]:
