@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import ifd
+from ..functions import gainmap, ifd, rdf
 from ..functions.binary import packed
 from . import views as V
 from .catalogue import query
@@ -57,3 +57,78 @@ def exif_attributes(spark, sf_dir):
 def exif_picture(spark, sf_dir):
     """The colour space stands in the second directory here, where it does not count."""
     return ifd.picture_rows(ifd.directory_rows(tagged_blocks(spark, sf_dir), "p_partkey", "block"), "p_partkey")
+
+
+# Markup: a packet for each page.
+
+
+def page_packets(spark, sf_dir):
+    """Some packets have a second description that says a property again, some leave an element open."""
+    page = V.table(spark, sf_dir, "pages").where("url is not null")
+    text = lambda v: F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    number, host = F.col("page_id"), F.split_part("url", F.lit("/"), F.lit(3))
+    shown = lambda v: v.cast("string")
+    again = F.when(number % 4 == 1, F.concat(F.lit('<rdf:Description xmp:Rating="'), shown(number % 6 + 10), F.lit('"/>'))).otherwise("")
+    items = F.array_join(F.transform(F.split(host, r"\."), lambda p: F.concat(F.lit("<rdf:li>"), text(p), F.lit("</rdf:li>"))), "")
+    xml = F.concat(
+        F.lit('<?xpacket begin=""?><x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description rdf:about="" xmp:Rating="'), shown(number % 6), F.lit('" tiff:Orientation="'), shown(number % 10),
+        F.lit('" hdrgm:Version="1.0" hdrgm:HDRCapacityMax="'), shown(number % 5), F.lit('" hdrgm:GainMapMax="'), shown(number % 7 / 2.0), F.lit(',3,1.5">\n <dc:source>'), text(F.col("url")), F.lit("</dc:source><dc:subject><rdf:Bag>"), items,
+        F.lit('</rdf:Bag></dc:subject><a:b rdf:parseType="Resource"><c:d>'), shown(number), F.lit("</c:d></a:b>"), F.when(number % 9 == 2, "").otherwise("</rdf:Description>"), again, F.lit("</rdf:RDF></x:xmpmeta>"),
+    )
+    return page.select("page_id", xml.alias("xml"))
+
+
+PROPERTIES = """g AS (SELECT page_id, url, split_part(url, '/', 3) AS host, page_id % 9 = 2 AS bad FROM pages WHERE url IS NOT NULL), l AS (
+        SELECT page_id, 0 AS ord, 'xmp:Rating' AS property, CAST(CASE WHEN page_id % 4 = 1 THEN page_id % 6 + 10 ELSE page_id % 6 END AS VARCHAR) AS value FROM g WHERE NOT bad
+        UNION ALL SELECT page_id, 1, 'tiff:Orientation', CAST(page_id % 10 AS VARCHAR) FROM g WHERE NOT bad UNION ALL SELECT page_id, 2, 'hdrgm:Version', '1.0' FROM g WHERE NOT bad
+        UNION ALL SELECT page_id, 3, 'hdrgm:HDRCapacityMax', CAST(page_id % 5 AS VARCHAR) FROM g WHERE NOT bad
+        UNION ALL SELECT page_id, 4, 'hdrgm:GainMapMax', printf('%.1f', (page_id % 7) / CAST(2 AS DOUBLE)) || ',3,1.5' FROM g WHERE NOT bad
+        UNION ALL SELECT page_id, 5, 'dc:source', url FROM g WHERE NOT bad
+        UNION ALL SELECT page_id, CAST(5 + k AS INTEGER), 'dc:subject[' || k || ']', string_split(host, '.')[k] FROM g, unnest(range(1, len(string_split(host, '.')) + 1)) AS u(k) WHERE NOT bad AND string_split(host, '.')[k] <> ''
+        UNION ALL SELECT page_id, CAST(6 + len(list_filter(string_split(host, '.'), lambda x: x <> '')) AS INTEGER), 'a:b/c:d', CAST(page_id AS VARCHAR) FROM g WHERE NOT bad
+    )"""
+
+
+@query(f"WITH {PROPERTIES} SELECT page_id, ord, property, value, CAST(NULL AS VARCHAR) AS error FROM l UNION ALL SELECT page_id, NULL, NULL, NULL, 'elements are not closed in order' FROM g WHERE bad")
+def packet_properties(spark, sf_dir):
+    return rdf.leaf_rows(page_packets(spark, sf_dir), "page_id", "xml").select("page_id", "ord", "property", "value", "error")
+
+
+@query(
+    f"WITH {PROPERTIES}, t AS (SELECT *, regexp_extract_all(property, '[^:/]*[:/]|[^:/]+') AS parts FROM l) "
+    "SELECT page_id, ord, array_to_string(list_concat(['XMP'], parts[1:len(parts) - 1]), '/') AS path, CAST(len(parts) AS INTEGER) AS depth, parts[len(parts)] AS name, value FROM t"
+)
+def packet_tree(spark, sf_dir):
+    return rdf.tree_rows(rdf.leaf_rows(page_packets(spark, sf_dir), "page_id", "xml"), "page_id")
+
+
+@query(
+    f"WITH {PROPERTIES} SELECT page_id, CAST(page_id % 5 AS DOUBLE) AS headroom, array_to_string(list_transform([greatest((page_id % 7) / CAST(2 AS DOUBLE), 0), 3, 1.5], lambda v: printf('%.3f', v)), ',') AS gain_max, "
+    "'0.016,0.016,0.016' AS base_offset, CAST(NULL AS VARCHAR) AS error FROM g WHERE NOT bad"
+)
+def packet_gain_maps(spark, sf_dir):
+    found = gainmap.property_gain_map(rdf.leaf_rows(page_packets(spark, sf_dir), "page_id", "xml"), "page_id")
+    shown = lambda c: F.array_join(F.transform(f"gain_map.{c}", lambda v: F.format_string("%.3f", v)), ",")
+    return found.select("page_id", F.col("gain_map.alternate_headroom").alias("headroom"), shown("gain_max").alias("gain_max"), shown("base_offset").alias("base_offset"), F.col("gain_map.error").alias("error"))
+
+
+# Gain-map records: one for each part, with one channel or three, fractions or a common denominator; some lead backward, some are cut.
+
+
+@query(
+    r"""WITH p AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_partkey % 3 = 0 THEN 1000 ELSE 64 END AS d, p_partkey % 4 = 1 AS backward, p_partkey % 13 = 5 AS cut, p_partkey % 2 = 1 AS three FROM part)
+        SELECT k AS p_partkey, CASE WHEN NOT cut THEN CASE WHEN backward THEN (k % 9) ELSE s END / CAST(d AS DOUBLE) END AS base_headroom, CASE WHEN NOT cut THEN CASE WHEN backward THEN s ELSE (k % 9) END / CAST(d AS DOUBLE) END AS alternate_headroom,
+            CASE WHEN NOT cut THEN array_to_string(list_transform(range(3), lambda c: printf('%.6f', (-s - CASE WHEN three THEN c ELSE 0 END) / CAST(d AS DOUBLE))), ',') END AS gain_min,
+            CASE WHEN NOT cut THEN array_to_string(list_transform(range(3), lambda c: printf('%.6f', (CASE WHEN backward THEN -7 ELSE 5 END + CASE WHEN three THEN c ELSE 0 END) / CAST(d AS DOUBLE))), ',') END AS base_offset,
+            CASE WHEN cut THEN 'not enough data' END AS error FROM p"""
+)
+def gain_map_records(spark, sf_dir):
+    k, s = F.col("p_partkey"), F.col("p_size").cast("bigint")
+    channel = lambda c: [-s - c, s + c, F.lit(100 + c), F.lit(5 + c), F.lit(-7 + c)]
+    record = lambda n, d, common: gainmap.packed_gain_map([s, k % 9], [channel(c) for c in range(n)], d, F.when(k % 4 == 1, gainmap.BACKWARD).otherwise(0), common)
+    common = lambda n: F.when(k % 3 == 0, record(n, 1000, True)).otherwise(record(n, 64, False))
+    data = F.when(k % 2 == 1, common(3)).otherwise(common(1))
+    data = F.when(k % 13 == 5, F.substring(data, 1, 20)).otherwise(data)
+    found = V.table(spark, sf_dir, "part").select("p_partkey", data.alias("data")).select("p_partkey", gainmap.iso_gain_map(F.col("data")).alias("g"))
+    shown = lambda c: F.array_join(F.transform(f"g.{c}", lambda v: F.format_string("%.6f", v)), ",")
+    return found.select("p_partkey", "g.base_headroom", "g.alternate_headroom", shown("gain_min").alias("gain_min"), shown("base_offset").alias("base_offset"), "g.error")
