@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import gainmap, ifd, rdf
+from ..functions import camera, gainmap, ifd, rdf
 from ..functions.binary import packed
+from ..functions.color import BRADFORD, ILLUMINANTS, lit
 from . import views as V
-from .catalogue import query
+from .catalogue import query, r
 
 
 def tagged_blocks(spark, sf_dir):
@@ -132,3 +134,47 @@ def gain_map_records(spark, sf_dir):
     found = V.table(spark, sf_dir, "part").select("p_partkey", data.alias("data")).select("p_partkey", gainmap.iso_gain_map(F.col("data")).alias("g"))
     shown = lambda c: F.array_join(F.transform(f"g.{c}", lambda v: F.format_string("%.6f", v)), ",")
     return found.select("p_partkey", "g.base_headroom", "g.alternate_headroom", shown("gain_min").alias("gain_min"), shown("base_offset").alias("base_offset"), "g.error")
+
+
+# Camera matrices: one camera for each vector, some without one or another of the matrices.
+
+
+def _camera_sql() -> str:
+    product = lambda a, b: "[" + ", ".join(f"{a}[{3 * i + 1}] * {b}[{j + 1}] + {a}[{3 * i + 2}] * {b}[{j + 4}] + {a}[{3 * i + 3}] * {b}[{j + 7}]" for i in range(3) for j in range(3)) + "]"
+    times = lambda m, v: "[" + ", ".join(f"{m}[{3 * i + 1}] * {v}[1] + {m}[{3 * i + 2}] * {v}[2] + {m}[{3 * i + 3}] * {v}[3]" for i in range(3)) + "]"
+    at = lambda i, j: f"m[{3 * (i % 3) + j % 3 + 1}]"
+    minor = lambda i, j: f"({at(i + 1, j + 1)} * {at(i + 2, j + 2)} - {at(i + 1, j + 2)} * {at(i + 2, j + 1)})"
+    numbers = lambda m: "[" + ", ".join(f"CAST({float(v)!r} AS DOUBLE)" for v in np.asarray(m).ravel()) + "]"
+    matrix = lambda first, by: "[" + ", ".join(f"CAST({int(k % 4 == 0)} AS DOUBLE) + CAST({by} AS DOUBLE) * v[{first + k}]" for k in range(9)) + "]"
+    bx, by = ILLUMINANTS["D50"]
+    white = numbers([bx / by, 1.0, (1 - bx - by) / by])
+    return f"""
+        WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), p AS (
+            SELECT vec_id, CASE WHEN vec_id % 4 = 3 THEN 3 WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS source, {matrix(1, 0.3)} AS m1, {matrix(19, 0.3)} AS m2, {matrix(10, 0.3)} AS m3, {matrix(28, 0.1)} AS c2, {numbers(np.eye(3))} AS one,
+                [1 + CAST(0.2 AS DOUBLE) * v[37], 1 + CAST(0.2 AS DOUBLE) * v[38], 1 + CAST(0.2 AS DOUBLE) * v[39]] AS b, CASE WHEN vec_id % 5 <> 0 THEN [CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * v[40], CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * v[41], CAST(0.8 AS DOUBLE) + CAST(0.2 AS DOUBLE) * v[42]] END AS neutral,
+                CASE WHEN vec_id % 2 = 0 THEN [CAST(0.31 AS DOUBLE) + CAST(0.01 AS DOUBLE) * v[43], CAST(0.33 AS DOUBLE)] END AS given FROM e
+        ), q AS (SELECT *, CASE source WHEN 3 THEN m3 WHEN 2 THEN m2 ELSE m1 END AS cm, CASE source WHEN 2 THEN c2 ELSE one END AS c FROM p), q1 AS (SELECT *, {product("c", "cm")} AS x FROM q),
+        q2 AS (SELECT * EXCLUDE (m1, m2, m3), list_transform(range(1, 10), lambda k: b[(k - 1) // 3 + 1] * x[k]) AS m FROM q1), q3 AS (SELECT *, m[1] * {minor(0, 0)} + m[2] * {minor(0, 1)} + m[3] * {minor(0, 2)} AS det FROM q2),
+        q4 AS (SELECT *, [{", ".join(f"{minor(j, i)} / det" for i in range(3) for j in range(3))}] AS inv FROM q3), q5 AS (SELECT *, {times("inv", "neutral")} AS seen FROM q4),
+        q6 AS (SELECT *, CASE WHEN neutral IS NOT NULL THEN [seen[1] / (seen[1] + seen[2] + seen[3]), seen[2] / (seen[1] + seen[2] + seen[3])] ELSE given END AS w, {numbers(BRADFORD)} AS cone, {white} AS d50 FROM q5),
+        q7 AS (SELECT *, [w[1] / w[2], 1, (1 - w[1] - w[2]) / w[2]] AS wx FROM q6), q8 AS (SELECT *, {times("cone", "d50")} AS target, {times("cone", "wx")} AS own FROM q7),
+        q9 AS (SELECT *, list_transform(range(1, 10), lambda k: CASE WHEN w IS NULL THEN 1 ELSE target[(k - 1) // 3 + 1] / own[(k - 1) // 3 + 1] END * cone[k]) AS scaled, {numbers(np.linalg.inv(np.array(BRADFORD)))} AS back FROM q8),
+        q10 AS (SELECT *, {product("back", "scaled")} AS adapt FROM q9), q11 AS (SELECT *, {product("adapt", "inv")} AS y, {numbers(camera.rec709_from_d50())} AS last FROM q10), q12 AS (SELECT vec_id, source, {product("last", "y")} AS z FROM q11)
+        SELECT vec_id, source, CAST(k AS INTEGER) AS place, round(z[k + 1], 5) + 0 AS value FROM q12, unnest(range(9)) AS u(k)
+    """
+
+
+@query(_camera_sql())
+def camera_matrices(spark, sf_dir):
+    v = lambda k: F.col("embedding")[k - 1].cast("double")
+    matrix = lambda first, by: F.array(*[lit(float(k % 4 == 0)) + lit(by) * v(first + k) for k in range(9)])
+    three = lambda first, start: F.array(*[lit(start) + lit(0.2) * v(first + k) for k in range(3)])
+    none = F.lit(None).cast("array<double>")
+    key = F.col("vec_id")
+    cameras = V.table(spark, sf_dir, "embeddings").select(
+        "vec_id", three(37, 1.0).alias("analog_balance"), matrix(1, 0.3).alias("color_matrix1"), F.when(key % 3 == 0, matrix(19, 0.3)).alias("color_matrix2"), F.when(key % 4 == 3, matrix(10, 0.3)).alias("color_matrix3"),
+        none.alias("calibration1"), matrix(28, 0.1).alias("calibration2"), none.alias("calibration3"), F.when(key % 5 != 0, three(40, 0.8)).alias("as_shot_neutral"),
+        F.when(key % 2 == 0, F.array(lit(0.31) + lit(0.01) * v(43), lit(0.33))).alias("as_shot_white"),
+    )
+    found = camera.camera_matrices(cameras, "vec_id")
+    return found.select("vec_id", "source", F.posexplode("to_rec709").alias("place", "value")).withColumn("value", r("value", 5))
