@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Turn markers. Markers inside a text lose their bars, so that a text cannot open or close a turn.
+#: Turn markers. Markers inside a text or a role lose their bars, so that neither can open or close a turn.
 START, END = "<|im_start|>", "<|im_end|>"
 #: Identifiers in a row among which one task numbers the conversations that share a first turn.
 ID_BLOCK = 1 << 12
 
 
 def conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id and turns, array<struct<role, text>> in order of turn, then role and text. A null role is a user's, a null text empty."""
-    clean = F.replace(F.replace(text_of(text_col), F.lit(START), F.lit("<im_start>")), F.lit(END), F.lit("<im_end>"))
-    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("user")).alias("role"), clean.alias("text"))
+    """conv_id and turns, array<struct<role, text>> in order of turn, then role and text. A null role is a user's, a null text empty.
+
+    A null conv_id is a conversation like others here; rows that repeat are turns that repeat. Other columns are ignored, whatever
+    their names."""
+    clean = lambda v: F.replace(F.replace(v, F.lit(START), F.lit("<im_start>")), F.lit(END), F.lit("<im_end>"))
+    turn = F.struct(F.col(turn_col).alias("turn"), clean(F.coalesce(F.col(role_col), F.lit("user"))).alias("role"), clean(text_of(text_col)).alias("text"))
     rows = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("t"))
     ordered = F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return rows.groupBy("conv_id").agg(ordered.alias("turns"))

@@ -192,7 +192,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op3_preferences": r"""
         WITH t AS (
-            SELECT conv_id, turn, coalesce(role, 'user') AS role, replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
+            SELECT conv_id, turn, replace(replace(coalesce(role, 'user'), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS role, replace(replace(coalesce(text, ''), '<|im_start|>', '<im_start>'), '<|im_end|>', '<im_end>') AS text
             FROM conversations WHERE conv_id IS NOT NULL
         ), c AS (
             SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn, role, text) AS turns FROM t GROUP BY conv_id
