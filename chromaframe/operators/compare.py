@@ -7,7 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import color as C
 from ..functions.color import metric
+from .geometry import resize_bilinear
 
 
 def centre_offset(image: tuple[int, int], reference: tuple[int, int]) -> tuple[int, int]:
@@ -175,3 +177,16 @@ def neighbours(rows: DataFrame, by: list[str], order: list[str], name: str) -> D
     w = Window.partitionBy(*by).orderBy(*order)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumn("previous", F.coalesce(F.lag(name).over(w), F.last(name).over(whole))).withColumn("next", F.coalesce(F.lead(name).over(w), F.first(name).over(whole)))
+
+
+def match_auxiliary(pixels: DataFrame, by: list[str], straight: bool, wanted_straight: bool, matrix: C.Matrix, size: tuple[int, int], wanted: tuple[int, int]) -> DataFrame:
+    """by, x, y, channel (R, G, B, A) and value of wide pixels (r, g, b, a) with the alpha state, colours and size of the image that they
+    are added to. The matrix leads from their colours to those; each step is left out where nothing differs."""
+    colours = tuple(F.col(c) for c in "rgb")
+    if straight and not wanted_straight:
+        colours = tuple(v * F.col("a") for v in colours)
+    elif wanted_straight and not straight:
+        colours = tuple(C.unpremultiply(v, F.col("a")) for v in colours)
+    cells = zip("RGBA", (*C.apply_matrix(matrix, colours), F.col("a")), strict=True)
+    rows = pixels.select(*by, "x", "y", F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), v.alias("value")) for c, v in cells])).alias("s")).select(*by, "x", "y", "s.*")
+    return rows if size == wanted else resize_bilinear(rows, [*by, "channel"], size, wanted)

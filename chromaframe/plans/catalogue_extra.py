@@ -120,6 +120,22 @@ def appended_channels(spark, sf_dir):
     return K.append_channels(K.append_channels(rows, aux, "depth"), empty, "")
 
 
+P3 = [[float(x) for x in row] for row in C.conversion_matrix("bt2020", "display_p3")]
+
+
+@query(
+    "WITH m AS (SELECT image_id, x // 2 AS x, y // 2 AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a FROM rgba GROUP BY 1, 2, 3), "
+    "c AS (SELECT image_id, x, y, unnest(['R', 'G', 'B', 'A']) AS channel, unnest([" + ", ".join(f"(CAST({row[0]!r} AS DOUBLE) * r + CAST({row[1]!r} AS DOUBLE) * g + CAST({row[2]!r} AS DOUBLE) * b) * a" for row in P3) + ", a]) AS value FROM m), "
+    "SELECT image_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, channel, round(value, 6) + 0 AS value FROM c",
+    "rgba",
+)
+def matched_auxiliary(spark, sf_dir):
+    """Half-size pictures with straight alpha in wide primaries, as they are added to an image with premultiplied alpha in others."""
+    small = V.rgba(spark, sf_dir).groupBy("image_id", F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).agg(*[F.avg(c).alias(c) for c in "rgba"])
+    found = J.match_auxiliary(small, ["image_id"], True, False, C.conversion_matrix("bt2020", "display_p3"), (4, 4), (4, 4))
+    return found.withColumn("value", r("value"))
+
+
 MIP = "SELECT image_id, CAST(x // 2 AS INTEGER) AS x, CAST(y // 2 AS INTEGER) AS y, avg(value) AS value FROM px GROUP BY 1, 2, 3"
 
 
@@ -218,13 +234,13 @@ BLACK, BY_COLUMN, BY_ROW = [[0.01, 0.02], [0.03, 0.04]], [k / 1000 for k in rang
 
 
 @query(
-    f"WITH b AS (SELECT image_id, (['R', 'G', 'G', 'B'])[CAST((y % 2) * 2 + x % 2 AS INTEGER) + 1] AS channel, ([0.01, 0.02, 0.03, 0.04])[CAST((y % 2) * 2 + x % 2 AS INTEGER) + 1] + ({BY_COLUMN})[x + 1] + ({BY_ROW})[y + 1] AS black FROM px WHERE x < 6) "
+    f"WITH b AS (SELECT image_id, (['R', 'G', 'G', 'B'])[CAST((y % 2) * 2 + x % 2 AS INTEGER) + 1] AS channel, ([0.01, 0.02, 0.03, 0.04])[CAST((y % 2) * 2 + x % 2 AS INTEGER) + 1] + ({BY_COLUMN})[x + 1] + ({BY_ROW})[y + 1] AS black FROM px) "
     "SELECT image_id, channel, round(CAST(max(black) AS DOUBLE), 6) + 0 AS black FROM b GROUP BY 1, 2",
     "px",
 )
 def greatest_black_level(spark, sf_dir):
     letter = F.element_at(F.array(*[F.lit(c) for c in "RGGB"]), (F.col("y") % 2 * 2 + F.col("x") % 2 + 1).cast("int"))
-    rows = V.px(spark, sf_dir).where("x < 6").select("image_id", letter.alias("channel"), J.black_level(BLACK, BY_COLUMN, BY_ROW).alias("black"))
+    rows = V.px(spark, sf_dir).select("image_id", letter.alias("channel"), J.black_level(BLACK, BY_COLUMN, BY_ROW).alias("black"))
     return rows.groupBy("image_id", "channel").agg(r(F.max("black")).alias("black"))
 
 
@@ -316,13 +332,14 @@ def text_and_sizes(spark, sf_dir):
 
 
 @query(
-    "WITH b AS (SELECT event_id, ascii(props[1]) AS a, ascii(props[2]) AS b, ascii(props[3]) AS c FROM events), h AS (SELECT *, a * 16 + b // 16 AS u, (b % 16) * 256 + c AS v FROM b) "
-    "SELECT event_id, CAST(u AS BIGINT) AS first, CAST(v AS BIGINT) AS second, CAST(CASE WHEN v >= 2048 THEN v - 4096 ELSE v END AS BIGINT) AS signed FROM h"
+    "WITH d AS (SELECT event_id, array_to_string(list_transform(range(1, length(props) + 1), lambda i: lpad(bin(ascii(props[i])), 8, '0')), '') AS d FROM events), "
+    "f AS (SELECT event_id, list_transform(range(0, length(d) // 12), lambda k: CAST('0b' || d[k * 12 + 1:k * 12 + 12] AS BIGINT)) AS v FROM d) "
+    "SELECT event_id, array_to_string(v, ',') AS fields, array_to_string(list_transform(v, lambda x: CASE WHEN x >= 2048 THEN x - 4096 ELSE x END), ',') AS signed FROM f"
 )
 def unpacked_bits(spark, sf_dir):
-    data = F.encode(F.substring("props", 1, 3), "UTF-8")
-    plain, signed = E.unpack_bits(data, 12), E.unpack_bits(data, 12, signed=True)
-    return V.table(spark, sf_dir, "events").select("event_id", plain[0].alias("first"), plain[1].alias("second"), signed[1].alias("signed"))
+    data = F.encode("props", "UTF-8")
+    shown = lambda fields: F.array_join(F.transform(fields, lambda v: v.cast("string")), ",")
+    return V.table(spark, sf_dir, "events").select("event_id", shown(E.unpack_bits(data, 12)).alias("fields"), shown(E.unpack_bits(data, 12, signed=True)).alias("signed"))
 
 
 UNIT = "pow(2, greatest(floor(ln(greatest(abs(v), 5e-8)) / ln(CAST(2 AS DOUBLE)) + 1e-12), -14) - 10)"

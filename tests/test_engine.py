@@ -243,3 +243,18 @@ def test_numbers_over_partitions(spark):
     rows = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"), F.lit("x").alias("o"))
     assert all(r.v == r.at for r in numbered(rows, ["v"], "at").collect())
     assert numbered(rows.limit(0), ["v"], "at").count() == 0
+
+
+def test_auxiliary_takes_on_alpha_colours_and_size(spark):
+    rows = spark.createDataFrame([(1, x, y, 0.1 * x, 0.2 * y, 0.5, 0.5 if x else 0.0) for x in range(2) for y in range(2)], "image_id long, x int, y int, r double, g double, b double, a double")
+    one = ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))
+    turned = ((0.0, 1.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 2.0))
+    got = lambda *args: {(r.x, r.y, r.channel): r.value for r in J.match_auxiliary(rows, ["image_id"], *args).collect()}
+    same = got(True, True, one, (2, 2), (2, 2))
+    assert len(same) == 16 and same[1, 1, "G"] == 0.2 and same[0, 0, "B"] == 0.5
+    assert got(True, False, turned, (2, 2), (2, 2))[1, 1, "R"] == 0.1 and got(True, False, turned, (2, 2), (2, 2))[0, 1, "B"] == 0.0
+    straight = got(False, True, one, (2, 2), (2, 2))
+    assert straight[1, 0, "B"] == 1.0 and straight[0, 0, "B"] == 0.0 and straight[1, 0, "A"] == 0.5
+    large = got(True, True, one, (2, 2), (4, 4))
+    want = {(r.x, r.y): r.value for r in G.resize_bilinear(rows.select("image_id", "x", "y", F.col("r").alias("value")), ["image_id"], (2, 2), (4, 4)).collect()}
+    assert len(large) == 64 and {(x, y): v for (x, y, c), v in large.items() if c == "R"} == want
