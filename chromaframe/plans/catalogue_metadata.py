@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import camera, gainmap, ifd, rdf
+from ..functions import camera, gainmap, header, ifd, rdf
 from ..functions.binary import packed
 from ..functions.color import BRADFORD, ILLUMINANTS, lit
 from . import views as V
@@ -178,3 +178,29 @@ def camera_matrices(spark, sf_dir):
     )
     found = camera.camera_matrices(cameras, "vec_id")
     return found.select("vec_id", "source", F.posexplode("to_rec709").alias("place", "value")).withColumn("value", r("value", 5))
+
+
+# Headers of attributes: one for each part, some without their last bytes.
+
+PACKINGS = header.NAMED["compression"]
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, p_brand, p_size, p_partkey % 9 = 4 AS cut, ({list(PACKINGS)})[p_partkey % 12 + 1] AS packing FROM part)
+        SELECT p_partkey, 0 AS position, 'owner' AS name, 'string' AS type, CAST(NULL AS DOUBLE) AS number, p_brand AS text, CAST(NULL AS VARCHAR) AS error FROM p
+        UNION ALL SELECT p_partkey, 1, 'size', 'int', CAST(p_size AS DOUBLE), NULL, NULL FROM p
+        UNION ALL SELECT p_partkey, 2, 'packing', 'compression', NULL, coalesce(packing, 'invalid'), NULL FROM p WHERE NOT cut
+        UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL, 'no 1 bytes for packing' FROM p WHERE cut"""
+)
+def header_attributes(spark, sf_dir):
+    little = F.lit(True)
+    text = lambda s: F.encode(F.lit(s), "UTF-8")
+    part = V.table(spark, sf_dir, "part")
+    brand = F.encode("p_brand", "UTF-8")
+    block = F.concat(
+        F.unhex(F.lit(header.MAGIC + "02000000")), text("owner\0string\0"), packed(F.length(brand), 4, little), brand, text("size\0int\0"), packed(F.lit(4), 4, little), packed(F.col("p_size"), 4, little),
+        text("packing\0compression\0"), packed(F.lit(1), 4, little), packed(F.col("p_partkey") % 12, 1, little), F.unhex(F.lit("00")),
+    )
+    cut = F.when(F.col("p_partkey") % 9 == 4, F.substring(block, 1, F.length(block) - 2)).otherwise(block)
+    rows = header.header_rows(part.select("p_partkey", cut.alias("block")), "p_partkey", "block")
+    return rows.select("p_partkey", "position", "name", "type", F.col("numbers")[0].alias("number"), "text", "error")
