@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .color import srgb_to_linear
+
 #: Blanks that are trimmed and split at.
 BLANK = r"[ \t\n\r\f\x0B]"
 
@@ -169,6 +171,21 @@ def parse_color(text: str) -> tuple[float, float, float, float]:
     return (*numbers, 1.0)[:4]
 
 
+def color_values(text: Column) -> Column:
+    """array<double> of four of each text that parse_color() takes; null for any other."""
+    plain = F.trim(text)
+    digits = F.substring(plain, 2, 8)
+    short = F.length(digits) < 5
+    part = lambda k: F.when(short, F.repeat(F.substring(digits, k + 1, 1), 2)).otherwise(F.substring(digits, 2 * k + 1, 2))
+    level = lambda k: F.conv(part(k), 16, 10).cast("double") / 255
+    opaque = F.length(digits).isin(3, 6)
+    hexadecimal = F.array(*[srgb_to_linear(level(k)) for k in range(3)], F.when(opaque, 1.0).otherwise(level(3)))
+    numbers = F.transform(F.split(plain, ","), lambda p: parse_number(p))
+    listed = F.when(F.size(numbers).isin(3, 4) & ~F.exists(numbers, lambda v: v.isNull()), F.slice(F.concat(numbers, F.array(F.lit(1.0))), 1, 4))
+    marked = plain.rlike("^#([0-9a-fA-F]{3,4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})$")
+    return F.when(plain == "", F.array(*[F.lit(0.0)] * 4)).when(marked, hexadecimal).when(~F.startswith(plain, F.lit("#")), listed)
+
+
 def common_prefix_length(a: Column, b: Column) -> Column:
     """Code points that two texts begin with alike."""
     n = F.least(F.length(a), F.length(b))

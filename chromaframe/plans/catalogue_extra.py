@@ -378,14 +378,30 @@ def probe_captions(spark, sf_dir):
     return V.rgba(spark, sf_dir).select(*KEY, caption.alias("caption"))
 
 
-COLOURS = {"": "#f00", "b": "#00ff0080", "c": "0.1, 0.2,0.3", "d": ""}
-
-
-@query("SELECT p_partkey, " + ", ".join(f"round(CASE p_partkey % 4 {' '.join(f'WHEN {k} THEN {v!r}' for k, v in enumerate(N.parse_color(t)[c] for t in COLOURS.values()))} END :: DOUBLE, 6) + 0 AS c{c}" for c in range(4)) + " FROM part")
+def _colour_sql() -> str:
+    linear = lambda v: f"CASE WHEN {v} <= 0.04045 THEN {v} / 12.92 ELSE pow(({v} + 0.055) / 1.055, 2.4) END"
+    byte, digit = lambda n: f"(({n}) / CAST(255 AS DOUBLE))", lambda n: f"(({n}) / CAST(15 AS DOUBLE))"
+    by_form = [
+        [linear(byte("k % 256")), linear(byte("k * 7 % 256")), linear(byte("s")), "1"],
+        [linear(digit("k % 16")), linear(digit("s % 16")), linear(digit("3")), digit("k * 5 % 16")],
+        ["s / CAST(8 AS DOUBLE)", "-0.5", "2", "1"], ["0.25", "1e-3", "s * CAST(1 AS DOUBLE)", "0.5"], ["0"] * 4, ["NULL"] * 4, ["NULL"] * 4,
+    ]
+    channels = [f"round(CAST(CASE k % 7 {' '.join(f'WHEN {n} THEN {form[c]}' for n, form in enumerate(by_form))} END AS DOUBLE), 6) + 0 AS c{c}" for c in range(4)]
+    return f"WITH p AS (SELECT p_partkey AS k, p_size AS s FROM part) SELECT k AS p_partkey, {', '.join(channels)} FROM p"
+
+
+@query(_colour_sql())
 def parsed_colours(spark, sf_dir):
-    parsed = F.array(*[F.array(*[F.lit(float(v)) for v in N.parse_color(t)]) for t in COLOURS.values()])
-    own = F.element_at(parsed, (F.col("p_partkey") % 4 + 1).cast("int"))
-    return V.table(spark, sf_dir, "part").select("p_partkey", *[r(own[c]).alias(f"c{c}") for c in range(4)])
+    """A colour for each part, written in one of seven ways, the last two of which are none."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    byte, digit = lambda v: F.lpad(F.hex(v), 2, "0"), lambda v: F.lower(F.hex(v % 16))
+    forms = [
+        F.concat(F.lit("#"), byte(k % 256), byte(k * 7 % 256), byte(size)), F.concat(F.lit(" #"), digit(k), digit(size), F.lit("3"), digit(k * 5)),
+        F.concat((size / 8).cast("string"), F.lit(", -0.5,2 ")), F.concat(F.lit("0.25,1e-3,"), size.cast("string"), F.lit(",.5")), F.lit(" "), F.concat(F.lit("#"), byte(size)), F.lit("1,2,x"),
+    ]
+    text = F.element_at(F.array(*forms), (k % 7 + 1).cast("int"))
+    rows = V.table(spark, sf_dir, "part").select("p_partkey", text.alias("text")).select("p_partkey", N.color_values(F.col("text")).alias("v"))
+    return rows.select("p_partkey", *[r(F.col("v")[c]).alias(f"c{c}") for c in range(4)])
 
 
 @query("SELECT image_id, x, y, value AS r, value AS g, value AS b, CAST(1 AS DOUBLE) AS a FROM px WHERE image_id % 2 = 0 UNION ALL SELECT image_id, x, y, value AS r, value * 2 AS g, CAST(0 AS DOUBLE) AS b, CAST(1 AS DOUBLE) AS a FROM px WHERE image_id % 2 = 1", "px")

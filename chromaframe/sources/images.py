@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..functions.names import natural_key
 from ..schema import READER
+from ..storage import numbered
 from . import formats
 
 #: Media types by preference. Fixed values.
@@ -29,6 +31,12 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
+def in_natural_order(files: DataFrame) -> DataFrame:
+    """path, modificationTime, length and ordinal, from 0 in the natural order of paths; contents are not moved."""
+    rows = files.select("path", "modificationTime", "length", natural_key(F.col("path")).alias("_natural"))
+    return numbered(rows, ["_natural", "path"], "ordinal").drop("_natural")
+
+
 def wanted_channel(name: str, selector: str) -> bool:
     """Whether the selector keeps the channel; its words are alternatives."""
     words = [w for w in re.split("[, ]", selector) if w]

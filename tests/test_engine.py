@@ -258,3 +258,14 @@ def test_auxiliary_takes_on_alpha_colours_and_size(spark):
     large = got(True, True, one, (2, 2), (4, 4))
     want = {(r.x, r.y): r.value for r in G.resize_bilinear(rows.select("image_id", "x", "y", F.col("r").alias("value")), ["image_id"], (2, 2), (4, 4)).collect()}
     assert len(large) == 64 and {(x, y): v for (x, y, c), v in large.items() if c == "R"} == want
+
+
+def test_colours_of_a_column(spark):
+    texts = ["", " ", "#f00", "#ff000080", "#0F0a", "0.1, 0.2,0.3", "1,2,3,4", "1e3,-2,.5", "#12", "#ggg", "1,2", "1,2,3,4,5", "a,b,c", "1,,2", None, "#f00 1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", N.color_values(F.col("t")).alias("v")).collect()
+    for r in rows:
+        try:
+            want = N.parse_color(texts[r.k]) if texts[r.k] is not None else None
+        except ValueError:
+            want = None
+        assert (r.v is None) == (want is None) and (want is None or r.v == pytest.approx(want)), texts[r.k]

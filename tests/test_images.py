@@ -67,3 +67,11 @@ def test_errors_are_raised_kept_or_skipped(spark, tmp_path):
     assert images.read_images(spark, str(tmp_path), "R", on_error="skip").count() == 48
     with pytest.raises(Exception, match="c.jpg"):
         images.read_images(spark, str(tmp_path)).collect()
+
+
+def test_files_in_natural_order(spark, tmp_path):
+    for name in ("f10", "F2", "f1", "b/f3", "f02"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    rows = images.in_natural_order(images.scan_files(spark, str(tmp_path), recursive=True)).orderBy("ordinal").collect()
+    assert [r.path.split(f"{tmp_path}/")[1] for r in rows] == ["b/f3", "f1", "F2", "f02", "f10"] and [r.ordinal for r in rows] == list(range(5))
