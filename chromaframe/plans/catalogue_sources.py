@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions import boxes
 from ..sources import bands, images
 from ..streaming import graphics, packet_log, packets, publish, tiles
 from ..storage import shared_folder
@@ -104,3 +106,62 @@ def vector_graphics_stream(spark, sf_dir):
         counted = borne.select("image", "seq", F.coalesce(F.size("commands"), F.lit(-1)).alias("commands"))
         counted.writeStream.foreachBatch(table.merge).outputMode("update").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     return table.read().select("image", "seq", "commands")
+
+
+# Packets of all kinds, as bytes and back; some lack their last byte.
+
+
+def _payloads(op: pd.Series, image: pd.Series, seq: pd.Series) -> pd.Series:
+    made = {
+        packets.CREATE: lambda i, k: packets.create_image(i, k % 100 + 1, k % 50 + 1, ["R", "G"][: k % 2 + 1]), packets.CLOSE: lambda i, k: packets.close_image(i), packets.RELOAD: lambda i, k: packets.reload_image(i, k % 2 == 1),
+        packets.OPEN_V2: lambda i, k: packets.open_image(i, "r,g" if k % 3 else "", k % 2 == 1), packets.VECTOR: lambda i, k: packets.vector_graphics(i, [(12, [1.0, 2.0], None)] * (k % 4), k % 5 == 0, k % 2 == 1),
+    }
+    out = []
+    for o, i, k in zip(op, image, seq, strict=True):
+        (payload,), _ = packets.split_frames(packets.frame(made[o](i, k)))
+        out.append(payload[:-1] if k % 17 == 3 else payload)
+    return pd.Series(out)
+
+
+@query(
+    """WITH p AS (SELECT event_id AS k, 'image ' || user_id AS image, CASE event_type WHEN 'signup' THEN 4 WHEN 'error' THEN 2 WHEN 'view' THEN 1 WHEN 'click' THEN 7 ELSE 8 END AS op, event_id % 17 = 3 AS cut FROM events)
+        SELECT k AS seq, CASE WHEN NOT cut THEN op END AS op, CASE WHEN NOT cut THEN image END AS image, CASE WHEN NOT cut AND op <> 2 AND op <> 4 THEN k % 2 = 1 WHEN NOT cut AND op = 4 THEN false END AS grab_focus,
+            CASE WHEN NOT cut AND op = 7 THEN CASE WHEN k % 3 > 0 THEN 'r,g' ELSE '' END END AS selector, CASE WHEN NOT cut AND op = 4 THEN CAST(k % 100 + 1 AS INTEGER) END AS width, CASE WHEN NOT cut AND op = 4 THEN CAST(k % 50 + 1 AS INTEGER) END AS height,
+            CASE WHEN NOT cut AND op = 4 THEN CASE WHEN k % 2 = 1 THEN 'R,G' ELSE 'R' END END AS channels, CASE WHEN NOT cut AND op = 8 THEN k % 5 = 0 END AS append, CASE WHEN NOT cut AND op = 8 THEN CAST(k % 4 AS INTEGER) END AS commands,
+            CASE WHEN cut THEN CASE WHEN op = 8 THEN 'the packet ends early' ELSE 'a string without its end' END END AS error FROM p"""
+)
+def packet_fields(spark, sf_dir):
+    kind = F.col("event_type")
+    op = F.when(kind == "signup", packets.CREATE).when(kind == "error", packets.CLOSE).when(kind == "view", packets.RELOAD).when(kind == "click", packets.OPEN_V2).otherwise(packets.VECTOR)
+    sent = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.pandas_udf(_payloads, "binary")(op, F.concat(F.lit("image "), F.col("user_id").cast("string")), "event_id").alias("payload"))
+    got = packets.decode_packets(sent)
+    commands = F.when(F.col("commands").isNotNull(), F.size("commands"))
+    return got.select("seq", "op", "image", "grab_focus", "selector", "width", "height", F.array_join("channels", ",").alias("channels"), "append", commands.alias("commands"), "error")
+
+
+# A box for each part, its area shared with a fixed one, and the box around all of a brand.
+
+BOXED = "b AS (SELECT p_partkey AS k, p_brand AS brand, least(p_size % 7, p_size % 11) AS x0, p_size % 5 AS y0, greatest(p_size % 7, p_size % 11) + 1 AS x1, p_size % 5 + p_size % 4 AS y1 FROM part)"
+
+
+def part_boxes(spark, sf_dir):
+    size = F.col("p_size")
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    across = boxes.from_points(point(size % 7, size % 5), point(size % 11, size % 5 + size % 4), drag=True)
+    shorter = boxes.box(across["min_x"], across["min_y"], across["max_x"], across["max_y"] - 1)
+    return V.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("brand"), shorter.alias("box"))
+
+
+@query(
+    f"WITH {BOXED}, i AS (SELECT *, greatest(x0, 2) AS a, greatest(y0, 1) AS b, least(x1, 8) AS c, least(y1, 5) AS d FROM b) SELECT k AS p_partkey, CASE WHEN c >= a AND d >= b THEN (c - a) * (d - b) ELSE 0 END::BIGINT AS shared, "
+    "(x1 - x0)::BIGINT * (y1 - y0) AS area, 4 >= x0 AND 4 < x1 AND 3 >= y0 AND 3 < y1 AS has_point, x0 >= 2 AND x0 < 9 AND y0 >= 1 AND y0 < 6 AND x1 >= 2 AND x1 < 9 AND y1 >= 1 AND y1 < 6 AS held FROM i"
+)
+def box_overlaps(spark, sf_dir):
+    fixed, own = boxes.box(*[F.lit(v) for v in (2, 1, 8, 5)]), F.col("box")
+    rows = part_boxes(spark, sf_dir).withColumn("both", boxes.intersect(own, fixed))
+    return rows.select("p_partkey", boxes.area(F.col("both")).alias("shared"), boxes.area(own).alias("area"), boxes.contains(own, F.lit(4), F.lit(3)).alias("has_point"), boxes.contains_box(fixed, own).alias("held"))
+
+
+@query(f"WITH {BOXED} SELECT brand, min(x0)::INTEGER AS min_x, min(y0)::INTEGER AS min_y, max(x1)::INTEGER AS max_x, max(y1)::INTEGER AS max_y FROM b GROUP BY 1")
+def bounding_boxes(spark, sf_dir):
+    return part_boxes(spark, sf_dir).groupBy("brand").agg(boxes.bounding(F.col("box")).alias("b")).select("brand", "b.*")
