@@ -68,8 +68,8 @@ def suffix_duplicates(channels: DataFrame, by: list[str], name: str = "channel",
 
 
 def first_of_each(rows: DataFrame, value: list[str], order: list[str]) -> DataFrame:
-    """Distinct values, each with its first row."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*value).orderBy(*order))).where("_k = 1").drop("_k")
+    """Distinct values, each with its first row: an aggregate, so that of a hot value each task passes on one row."""
+    return rows.groupBy(*value).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")).select("_first.*")
 
 
 def drop_repeats_in_a_row(rows: DataFrame, by: list[str], value: str, order: list[str]) -> DataFrame:
