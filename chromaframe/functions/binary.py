@@ -2,28 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .color import lit
 
 
-def _digits(data: Column, at: Column, size: int, little: Column) -> Column:
-    """The bytes as hexadecimal digits, the most significant byte first."""
-    plain = F.hex(F.substring(data, (at + 1).cast("int"), F.lit(size)))
-    turned = F.concat(*[F.substring(plain, 2 * k + 1, 2) for k in reversed(range(size))])
-    return F.when(little, turned).otherwise(plain)
+def held(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f looks at it, and stands once in the plan."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _turned(v: Column, size: int) -> Column:
+    """A number of so many bytes with its bytes in the other order."""
+    out = F.shiftleft(v.bitwiseAND(255), 8 * (size - 1))
+    for k in range(1, size):
+        byte = F.shiftright(v, 8 * k).bitwiseAND(255)
+        out = out.bitwiseOR(F.shiftleft(byte, 8 * (size - 1 - k)))
+    return out
 
 
 def unsigned(data: Column, at: Column, size: int, little: Column) -> Column:
     """The number of up to 4 bytes at a place from 0, as bigint; null if the place lies outside."""
-    inside = (at >= 0) & (at + size <= F.length(data))
-    return F.when(inside, F.conv(_digits(data, at, size, little), 16, 10).cast("bigint"))
+
+    def read(at: Column) -> Column:
+        big = F.conv(F.hex(F.substring(data, (at + 1).cast("int"), F.lit(size))), 16, 10).cast("bigint")
+        number = big if size == 1 else F.when(little, held(big, lambda v: _turned(v, size))).otherwise(big)
+        return F.when((at >= 0) & (at + size <= F.length(data)), number)
+
+    return held(at, read)
 
 
 def signed(data: Column, at: Column, size: int, little: Column) -> Column:
-    v = unsigned(data, at, size, little)
-    return F.when(v >= 1 << (8 * size - 1), v - (1 << 8 * size)).otherwise(v)
+    return held(unsigned(data, at, size, little), lambda v: F.when(v >= 1 << (8 * size - 1), v - (1 << 8 * size)).otherwise(v))
 
 
 def _floating(negative: Column, exponent: Column, fraction: Column, bias: int, top: int) -> Column:
@@ -34,15 +47,16 @@ def _floating(negative: Column, exponent: Column, fraction: Column, bias: int, t
 
 
 def float32(data: Column, at: Column, little: Column) -> Column:
-    v = unsigned(data, at, 4, little)
-    return _floating(v >= 1 << 31, F.floor(v / (1 << 23)) % 256, (v % (1 << 23)) / lit(2.0**23), 127, 255)
+    return held(unsigned(data, at, 4, little), lambda v: _floating(v >= 1 << 31, F.floor(v / (1 << 23)) % 256, (v % (1 << 23)) / lit(2.0**23), 127, 255))
 
 
 def float64(data: Column, at: Column, little: Column) -> Column:
-    first, second = unsigned(data, at, 4, little), unsigned(data, at + 4, 4, little)
-    high, low = F.when(little, second).otherwise(first), F.when(little, first).otherwise(second)
-    fraction = ((high % (1 << 20)) * lit(2.0**32) + low) / lit(2.0**52)
-    return _floating(high >= 1 << 31, F.floor(high / (1 << 20)) % 2048, fraction, 1023, 2047)
+    def value(words: Column) -> Column:
+        high, low = F.when(little, words["second"]).otherwise(words["first"]), F.when(little, words["first"]).otherwise(words["second"])
+        fraction = ((high % (1 << 20)) * lit(2.0**32) + low) / lit(2.0**52)
+        return _floating(high >= 1 << 31, F.floor(high / (1 << 20)) % 2048, fraction, 1023, 2047)
+
+    return held(F.struct(unsigned(data, at, 4, little).alias("first"), unsigned(data, at + 4, 4, little).alias("second")), value)
 
 
 def packed(value: Column, size: int, little: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binary import float32, float64, signed, unsigned
+from .binary import float32, float64, held, signed, unsigned
 from .encoding import repaired_utf8
 
 #: Types of values by number: name and bytes. Fixed values of the format.
@@ -38,10 +38,8 @@ _ENTRY = "struct<path:string,position:int,tag:int,type:int,count:bigint,bytes:bi
 
 
 def _size(kind: Column) -> Column:
-    out = F.lit(1)
-    for number, (_, size) in TYPES.items():
-        out = F.when(kind == number, size).otherwise(out)
-    return out
+    sizes = F.array(*[F.lit(TYPES[k][1] if k in TYPES else 1) for k in range(max(TYPES) + 1)])
+    return F.coalesce(F.get(sizes, kind.cast("int")), F.lit(1))
 
 
 def _numbered(n: Column, f) -> Column:
@@ -55,9 +53,10 @@ def _directories(data: Column, start: Column, little: Column) -> Column:
     place = lambda path, at: F.struct(path.alias("path"), at.cast("bigint").alias("at"))
     fail = lambda text: F.concat(*[F.lit(t) if isinstance(t, str) else t.cast("string") for t in text])
 
-    def step(acc: Column, _: Column) -> Column:
+    name = lambda tag: F.create_map(*[F.lit(v) for pair in POINTERS.items() for v in pair])[tag.cast("int")]
+
+    def read(acc: Column, count: Column) -> Column:
         head, found = acc["queue"][0], acc["found"]
-        count = unsigned(data, head["at"], 2, little)
         end = head["at"] + 2 + count * 12
         error = (
             F.when(F.exists(found, lambda p: p["at"] == head["at"]), fail(["directory at ", head["at"], " twice"]))
@@ -65,16 +64,18 @@ def _directories(data: Column, start: Column, little: Column) -> Column:
             .when(end + 4 > F.length(data), fail(["too short for ", count, " tags"]))
         )
         entry = lambda k: head["at"] + 2 + k * 12
-        tags = F.filter(_numbered(count, lambda k: F.struct(unsigned(data, entry(k), 2, little).alias("tag"), unsigned(data, entry(k) + 8, 4, little).alias("at"))), lambda e: e["tag"].isin(*POINTERS))
-        name = lambda tag: F.create_map(*[F.lit(v) for pair in POINTERS.items() for v in pair])[tag.cast("int")]
-        inner = F.coalesce(F.transform(tags, lambda e: place(F.concat_ws("/", head["path"], name(e["tag"])), e["at"])), none)
-        following = unsigned(data, end, 4, little)
+        tags = F.filter(_numbered(count, lambda k: F.struct(unsigned(data, entry(k), 2, little).alias("tag"), k.alias("k"))), lambda e: e["tag"].isin(*POINTERS))
+        inner = F.coalesce(F.transform(tags, lambda e: place(F.concat_ws("/", head["path"], name(e["tag"])), unsigned(data, entry(e["k"]) + 8, 4, little))), none)
         chained = head["path"].rlike("^[0-9]+$")
-        more = F.when((following > 0) & chained, F.array(place((head["path"].cast("int") + 1).cast("string"), following))).otherwise(none)
+        more = held(unsigned(data, end, 4, little), lambda following: F.when((following > 0) & chained, F.array(place((head["path"].cast("int") + 1).cast("string"), following))).otherwise(none))
         rest = F.slice(acc["queue"], 2, MOST_DIRECTORIES * 8)
         going = F.struct(F.concat(rest, inner, more).alias("queue"), F.concat(found, F.array(head)).alias("found"), F.lit(None).cast("string").alias("error"))
         failed = F.struct(none.alias("queue"), found.alias("found"), error.alias("error"))
-        return F.when((F.size(acc["queue"]) == 0) | acc["error"].isNotNull(), acc).when(error.isNotNull(), failed).otherwise(going)
+        return F.when(error.isNotNull(), failed).otherwise(going)
+
+    def step(acc: Column, _: Column) -> Column:
+        ended = (F.size(acc["queue"]) == 0) | acc["error"].isNotNull()
+        return F.when(ended, acc).otherwise(held(unsigned(data, acc["queue"][0]["at"], 2, little), lambda count: read(acc, count)))
 
     first = F.struct(F.array(place(F.lit("0"), start)).alias("queue"), none.alias("found"), F.lit(None).cast("string").alias("error"))
     last = lambda acc: F.struct(acc["found"].alias("found"), F.coalesce(acc["error"], F.when(F.size(acc["queue"]) > 0, F.lit(f"more than {MOST_DIRECTORIES} directories"))).alias("error"))
@@ -85,17 +86,22 @@ def _entries(data: Column, directory: Column, little: Column) -> Column:
     """array of path, position, tag, type, count, bytes and error of one directory."""
     at = directory["at"]
 
-    def entry(k: Column) -> Column:
-        own = at + 2 + k * 12
-        kind, count = unsigned(data, own + 2, 2, little), unsigned(data, own + 4, 4, little)
-        size = count * _size(kind)
-        place = F.when(size > 4, unsigned(data, own + 8, 4, little)).otherwise(own + 8)
-        error = F.when(place + size > F.length(data), F.concat(F.lit("offset overflow "), place.cast("string"), F.lit("+"), size.cast("string"), F.lit(" vs. "), F.length(data).cast("string")))
+    def found(own: Column, e: Column, place: Column) -> Column:
+        error = F.when(place + e["size"] > F.length(data), F.concat(F.lit("offset overflow "), place.cast("string"), F.lit("+"), e["size"].cast("string"), F.lit(" vs. "), F.length(data).cast("string")))
         return F.struct(
-            directory["path"].alias("path"), k.cast("int").alias("position"), unsigned(data, own, 2, little).cast("int").alias("tag"), kind.cast("int").alias("type"), count.alias("count"),
-            F.when(error.isNull(), F.substring(data, (place + 1).cast("int"), size.cast("int"))).alias("bytes"), error.alias("error"),
+            directory["path"].alias("path"), ((own - at - 2) / 12).cast("int").alias("position"), unsigned(data, own, 2, little).cast("int").alias("tag"), e["type"].cast("int").alias("type"), e["count"].alias("count"),
+            F.when(error.isNull(), F.substring(data, (place + 1).cast("int"), e["size"].cast("int"))).alias("bytes"), error.alias("error"),
         )
 
+    def sized(own: Column, e: Column) -> Column:
+        whole = F.struct(e["type"].alias("type"), e["count"].alias("count"), (e["count"] * _size(e["type"])).alias("size"))
+        place = lambda e: F.when(e["size"] > 4, unsigned(data, own + 8, 4, little)).otherwise(own + 8)
+        return held(whole, lambda e: held(place(e), lambda p: found(own, e, p)))
+
+    def entry(k: Column) -> Column:
+        head = lambda own: F.struct(unsigned(data, own + 2, 2, little).alias("type"), unsigned(data, own + 4, 4, little).alias("count"))
+        return held(at + 2 + k * 12, lambda own: held(head(own), lambda e: sized(own, e)))
+
     return _numbered(unsigned(data, at, 2, little), entry)
 
 
@@ -128,7 +134,7 @@ def directory_rows(blocks: DataFrame, key: str, data: str) -> DataFrame:
     order = F.when(F.length(block) < 8, F.lit(None)).otherwise(F.hex(F.substring(block, 1, 2)))
     little = order == F.lit("4949")
     readable = order.isin("4949", "4D4D")
-    walked = _directories(block, unsigned(block, F.lit(4).cast("bigint"), 4, little), little)
+    walked = held(little, lambda little: _directories(block, unsigned(block, F.lit(4).cast("bigint"), 4, little), little))
     rows = blocks.select(F.col(key).alias("key"), block.alias("block"), little.alias("little"), F.coalesce(readable, F.lit(False)).alias("readable"), F.when(readable, walked).alias("walk"))
     none = F.array().cast(f"array<{_ENTRY}>")
     entries = F.coalesce(F.flatten(F.transform("walk.found", lambda d: F.coalesce(_entries(F.col("block"), d, F.col("little")), none))), none)
@@ -136,7 +142,9 @@ def directory_rows(blocks: DataFrame, key: str, data: str) -> DataFrame:
     error = F.coalesce(F.col("walk.error"), F.when(~F.col("readable"), F.lit("no byte order")))
     broken = F.when(error.isNotNull(), F.array(F.struct(*[F.lit(None).alias(c) for c in ("path", "position", "tag", "type", "count", "bytes")], error.alias("error")).cast(_ENTRY))).otherwise(none)
     each = rows.select("key", "little", entries.alias("all"), broken.alias("broken"))
-    each = each.select("key", "little", F.explode(F.concat(F.filter("all", lambda e: ~F.exists("all", lambda o: later(e, o))), "broken")).alias("e")).select("key", "little", "e.*")
+    last = F.concat(F.filter("all", lambda e: ~F.exists("all", lambda o: later(e, o))), "broken")
+    # A plain explode would be filtered by the size of its array before it, which repeats the walk for each entry of each entry.
+    each = each.select("key", "little", F.explode_outer(last).alias("e")).where("e is not null").select("key", "little", "e.*")
     numbers = _numbers(F.col("type"), F.col("count"), F.col("bytes"), F.col("little"))
     text = F.when(F.col("type") == 2, repaired_utf8(F.encode(F.substring_index(F.decode("bytes", "ISO-8859-1"), "\0", 1), "ISO-8859-1")))
     return each.select(F.col("key").alias(key), "path", "position", "tag", "type", "count", "bytes", F.when(F.col("bytes").isNotNull(), numbers).alias("numbers"), text.alias("text"), "error")
@@ -146,7 +154,7 @@ def shown_value(numbers: Column, text: Column, data: Column) -> Column:
     """A value as text: numbers with up to six decimals, text, else bytes in hexadecimal; at most 255 characters and a mark if there are more."""
     plain = F.transform(numbers, lambda v: F.when(v.isNull(), "n/a").otherwise(F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", "")))
     full = F.coalesce(F.array_join(plain, ", "), text, F.hex(data))
-    return F.when(full == "", "n/a").when(F.length(full) >= SHOWN, F.concat(F.substring(full, 1, SHOWN), F.lit("…"))).otherwise(full)
+    return held(full, lambda t: F.when(t == "", "n/a").when(F.length(t) >= SHOWN, F.concat(F.substring(t, 1, SHOWN), F.lit("…"))).otherwise(t))
 
 
 def attribute_rows(entries: DataFrame, key: str) -> DataFrame:

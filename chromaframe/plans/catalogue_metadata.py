@@ -14,7 +14,7 @@ from .catalogue import query, r
 
 def tagged_blocks(spark, sf_dir):
     """A block of two directories for each part, in either byte order; some loop, some are cut."""
-    part = V.table(spark, sf_dir, "part")
+    part = V.spread(V.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
     key = F.col("p_partkey")
     little = key % 2 == 0
     number = lambda v, size: packed(F.lit(v) if isinstance(v, int) else v.cast("bigint"), size, little)
@@ -131,7 +131,8 @@ def gain_map_records(spark, sf_dir):
     common = lambda n: F.when(k % 3 == 0, record(n, 1000, True)).otherwise(record(n, 64, False))
     data = F.when(k % 2 == 1, common(3)).otherwise(common(1))
     data = F.when(k % 13 == 5, F.substring(data, 1, 20)).otherwise(data)
-    found = V.table(spark, sf_dir, "part").select("p_partkey", data.alias("data")).select("p_partkey", gainmap.iso_gain_map(F.col("data")).alias("g"))
+    part = V.spread(V.table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    found = part.select("p_partkey", data.alias("data")).select("p_partkey", gainmap.iso_gain_map(F.col("data")).alias("g"))
     shown = lambda c: F.array_join(F.transform(f"g.{c}", lambda v: F.format_string("%.6f", v)), ",")
     return found.select("p_partkey", "g.base_headroom", "g.alternate_headroom", shown("gain_min").alias("gain_min"), shown("base_offset").alias("base_offset"), "g.error")
 
@@ -195,7 +196,7 @@ PACKINGS = header.NAMED["compression"]
 def header_attributes(spark, sf_dir):
     little = F.lit(True)
     text = lambda s: F.encode(F.lit(s), "UTF-8")
-    part = V.table(spark, sf_dir, "part")
+    part = V.spread(V.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size"), "p_partkey")
     brand = F.encode("p_brand", "UTF-8")
     block = F.concat(
         F.unhex(F.lit(header.MAGIC + "02000000")), text("owner\0string\0"), packed(F.length(brand), 4, little), brand, text("size\0int\0"), packed(F.lit(4), 4, little), packed(F.col("p_size"), 4, little),

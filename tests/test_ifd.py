@@ -5,6 +5,7 @@ import struct
 from pyspark.sql import functions as F
 
 from chromaframe.functions import ifd
+from chromaframe.plans import catalogue_metadata as metadata
 
 
 def tiff(directories, order="<", links=None):
@@ -122,3 +123,13 @@ def test_attributes_and_picture(spark):
     assert len(named["EXIF/0/EXIF", "MakerNote"][0]) == 256 and named["EXIF/1", "Compression"] == ("6", "SHORT")
     assert [tuple(r) for r in ifd.picture_rows(entries, "id").collect()] == [(1, 8, False)]
     assert ifd.directory_rows(spark.range(0).select(F.col("id"), F.lit(None).cast("binary").alias("block")), "id", "block").collect() == []
+
+
+def test_a_block_is_walked_once(spark):
+    entries = ifd.directory_rows(spark.range(3).select("id", F.unhex(F.concat(F.lit("49492A00080000000000"), F.hex("id"))).alias("block")), "id", "block")
+    for rows in (entries, entries.select("id", ifd.shown_value(F.col("numbers"), F.col("text"), F.col("bytes"))), ifd.attribute_rows(entries, "id"), ifd.picture_rows(entries, "id")):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
+def test_narrow_rows_are_spread(spark, sf_dir):
+    assert metadata.tagged_blocks(spark, sf_dir).rdd.getNumPartitions() > 1
