@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binary import float32, float64, signed, unsigned
+from .binary import float32, float64, held, signed, unsigned
 from .encoding import repaired_utf8
 
 #: First bytes of a header (and a version after them), and its types of numbers: what one is and how many there are. Fixed values.
@@ -34,21 +34,25 @@ def _attributes(data: Column, text: Column) -> Column:
     after = lambda at: F.call_function("locate", F.lit("\0"), text, at)
     part = lambda start, end: repaired_utf8(F.encode(F.substring(text, start, end - start), "ISO-8859-1"))
 
-    def step(acc: Column, _: Column) -> Column:
-        at = acc["at"]
-        name_end = after(at)
-        type_end = after(name_end + 1)
-        size = unsigned(data, type_end.cast("bigint"), 4, F.lit(True))
-        end = type_end + 4 + size
+    def read(acc: Column, name_end: Column, type_end: Column, size: Column) -> Column:
+        at, end = acc["at"], type_end + 4 + size
         error = F.when((name_end == 0) | (type_end == 0) | size.isNull(), "the header ends early").when(end > F.length(data), F.concat(F.lit("no "), size.cast("string"), F.lit(" bytes for "), part(at, name_end)))
         own = F.struct(part(at, name_end).alias("name"), part(name_end + 1, type_end).alias("type"), (type_end + 4).cast("bigint").alias("at"), size.alias("size"))
         finished = F.struct(at.alias("at"), acc["found"].alias("found"), F.lit(True).alias("done"), F.lit(None).cast("string").alias("error"))
         failed = F.struct(at.alias("at"), acc["found"].alias("found"), F.lit(True).alias("done"), error.alias("error"))
         going = F.struct((end + 1).cast("int").alias("at"), F.concat(acc["found"], F.array(own)).alias("found"), F.lit(False).alias("done"), F.lit(None).cast("string").alias("error"))
-        return F.when(acc["done"], acc).when((name_end == at) & (name_end > 0), finished).when((name_end > 0) & error.isNull(), going).otherwise(failed)
+        return F.when((name_end == at) & (name_end > 0), finished).when((name_end > 0) & error.isNull(), going).otherwise(failed)
+
+    def sized(acc: Column, name_end: Column, type_end: Column) -> Column:
+        return held(unsigned(data, type_end.cast("bigint"), 4, F.lit(True)), lambda size: read(acc, name_end, type_end, size))
+
+    def step(acc: Column, _: Column) -> Column:
+        going = held(after(acc["at"]), lambda name_end: held(after(name_end + 1), lambda type_end: sized(acc, name_end, type_end)))
+        return F.when(acc["done"], acc).otherwise(going)
 
     last = lambda acc: F.struct(acc["found"].alias("found"), F.coalesce(acc["error"], F.when(~acc["done"], F.lit(f"more than {MOST_ATTRIBUTES} attributes"))).alias("error"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_ATTRIBUTES + 1)), first, step, last)
+    # An attribute has 7 bytes at least, so a short block needs fewer steps.
+    return F.aggregate(F.sequence(F.lit(1), F.least(F.floor(F.length(data) / 7).cast("int") + 2, F.lit(MOST_ATTRIBUTES + 1))), first, step, last)
 
 
 def _numbers(kind: Column, data: Column) -> Column:
@@ -77,7 +81,9 @@ def header_rows(blocks: DataFrame, key: str, data: str) -> DataFrame:
     kind = "struct<position:int,name:string,type:string,bytes:binary,error:string>"
     error = F.coalesce(F.col("walk.error"), F.when(~known, F.lit("no header")))
     broken = F.when(error.isNotNull(), F.array(F.struct(*[F.lit(None).alias(c) for c in ("position", "name", "type", "bytes")], error.alias("error")).cast(kind))).otherwise(F.array().cast(f"array<{kind}>"))
-    each = walked.select("key", F.concat(F.coalesce(own.cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")), broken).alias("all")).select("key", F.explode("all").alias("a")).select("key", "a.*")
+    each = walked.select("key", F.concat(F.coalesce(own.cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")), broken).alias("all"))
+    # A plain explode would be filtered by the size of its array before it, which repeats the walk.
+    each = each.select("key", F.explode_outer("all").alias("a")).where("a is not null").select("key", "a.*")
 
     latin = F.decode("bytes", "ISO-8859-1")
     channels = F.array_join(F.regexp_extract_all(latin, F.lit(r"(?s)([^\x00]+)\x00.{16}"), F.lit(1)), ", ")

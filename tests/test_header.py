@@ -2,6 +2,7 @@ import random
 import struct
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from chromaframe.functions import header
 from chromaframe.sources import formats
@@ -66,3 +67,8 @@ def test_walk_is_the_plain_one(spark):
             assert (r.error == f"not the size of {r.type}" and r.numbers is None and r.text is None) if v == "wrong" else r.type == "chlist" or (r.numbers if isinstance(v, list) else r.text) == v, (r, v)
     assert [r.text for r in rows if r.id == 0 and r.type == "chlist"] == ["A, B, G, R"]
     assert [r.numbers for r in rows if r.id == 0 and r.name == "dataWindow"] == [[0.0, 0.0, 2.0, 1.0]]
+
+
+def test_a_header_is_walked_once(spark):
+    rows = header.header_rows(spark.range(3).select("id", F.unhex(F.concat(F.lit("762F310102000000"), F.hex("id"))).alias("d")), "id", "d")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
