@@ -139,7 +139,8 @@ def linear_to_bt709(v: Column) -> Column:
 
 
 def _odd(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda v: F.when(v < 0, -f(-v)).otherwise(f(v))
+    """A missing value stays missing."""
+    return lambda v: F.when(v < 0, -f(-v)).when(v.isNotNull(), f(v))
 
 
 def srgb_to_linear(v: Column) -> Column:

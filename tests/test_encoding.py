@@ -109,3 +109,10 @@ def test_windows_turn_with_their_pixels(spark, orientation):
     rows = spark.range(w * h).select((F.col("id") % w).cast("int").alias("x"), F.floor(F.col("id") / w).cast("int").alias("y")).withColumn("in", G.inside(box))
     turned, moved = G.orient(rows, orientation, w, h), G.oriented_box(box, orientation, w, h)
     assert turned.where(F.col("in") != G.inside(moved)).count() == 0
+
+
+def test_a_missing_sample_stays_missing(spark):
+    v, none = F.lit(0.5), F.lit(None).cast("double")
+    for f in (C.srgb_to_linear, C.linear_to_srgb):
+        assert one(spark, f(none)) is None
+    assert one(spark, E.decode_alpha(none, v, "srgb", "premultiplied")) is None and one(spark, E.decode_alpha(none, v, "srgb", "premultiplied_nonlinear")) is None
