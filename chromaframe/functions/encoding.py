@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 import numpy as np
 from pyspark.sql import Column
@@ -158,9 +160,10 @@ def channel_colour(tail: Column, pastel: bool = False) -> Column:
 
 
 def probe_caption(name: Column, group: Column, zoom: float, x: Column, y: Column, size: tuple[int, int], shown: list[Column], values: list[Column], has_alpha: bool = False) -> Column:
-    """Name, group, zoom, place, relative place and size, the inspected values, and sRGB bytes in hexadecimal digits."""
+    """Name, group, zoom, place, relative place and size, the inspected values, and sRGB bytes in hexadecimal digits; null where a value is missing."""
     place = F.format_string("@%d,%d (%.3f,%.3f) / %dx%d", x, y, x / lit(size[0]), y / lit(size[1]), F.lit(size[0]), F.lit(size[1]))
     numbers = F.concat_ws(",", *[F.format_string("%.2f", v) for v in shown])
     coded = [v if has_alpha and k == len(values) - 1 else C.linear_to_srgb(v) for k, v in enumerate(values)]
     digits = F.concat(*[F.format_string("%02X", C.to_byte(v)) for v in coded])
-    return F.concat_ws(" – ", name, group, F.lit(f"{round(zoom * 100)}%"), F.concat(place, F.lit(": "), numbers, F.lit(" / 0x"), digits))
+    there = functools.reduce(operator.and_, [v.isNotNull() for v in (*shown, *values)])
+    return F.when(there, F.concat_ws(" – ", name, group, F.lit(f"{round(zoom * 100)}%"), F.concat(place, F.lit(": "), numbers, F.lit(" / 0x"), digits)))

@@ -116,3 +116,9 @@ def test_a_missing_sample_stays_missing(spark):
     for f in (C.srgb_to_linear, C.linear_to_srgb):
         assert one(spark, f(none)) is None
     assert one(spark, E.decode_alpha(none, v, "srgb", "premultiplied")) is None and one(spark, E.decode_alpha(none, v, "srgb", "premultiplied_nonlinear")) is None
+
+
+def test_caption_of_a_missing_sample(spark):
+    v, none = F.lit(0.5), F.lit(None).cast("double")
+    caption = lambda values: E.probe_caption(F.lit("n"), F.lit("g"), 1.0, F.lit(1), F.lit(2), (8, 8), values, values)
+    assert one(spark, caption([v, none])) is None and one(spark, caption([v, v])).startswith("n – g – 100% – @1,2")
