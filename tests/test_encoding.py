@@ -122,3 +122,8 @@ def test_caption_of_a_missing_sample(spark):
     v, none = F.lit(0.5), F.lit(None).cast("double")
     caption = lambda values: E.probe_caption(F.lit("n"), F.lit("g"), 1.0, F.lit(1), F.lit(2), (8, 8), values, values)
     assert one(spark, caption([v, none])) is None and one(spark, caption([v, v])).startswith("n – g – 100% – @1,2")
+
+
+def test_inspected_values_of_a_missing_sample(spark):
+    v, none = F.lit(0.5), F.lit(None).cast("double")
+    assert one(spark, F.array(*E.inspected((v, none, v), v, C.conversion_matrix("rec709", "bt2020"), "srgb"))) == [None] * 3
