@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .binary import packed, signed, unsigned
+from .binary import held, packed, unsigned
 from .color import lit
 from .names import parse_number
 
@@ -32,26 +32,37 @@ def _record(found: dict[str, Column], error: Column) -> Column:
 def iso_gain_map(data: Column) -> Column:
     """The record in bytes as a struct of version, base_colours, headrooms, five arrays of three channels, and error.
 
-    data is looked at many times, so it should be a column, not what computes one. One channel stands for all three. A quotient by 0 is null. A record that is too short or of a later version has an error and nothing
+    One channel stands for all three. A quotient by 0 is null. A record that is too short or of a later version has an error and nothing
     else; bytes after it do not count. Records of 62 or 142 bytes have a byte in front of them that does not count.
     """
-    at0 = F.when(F.length(data).isin(62, 142), 1).otherwise(0).cast("bigint")
     big = F.lit(False)
-    u = lambda at, size=4: unsigned(data, at0 + at, size, big)
-    flags = u(4, 1)
-    has = lambda bit: flags.bitwiseAND(bit) != 0
-    common, channels = has(COMMON_DENOMINATOR), F.when(has(THREE_CHANNELS), 3).otherwise(1)
-    number = lambda at, sign: (signed if sign else unsigned)(data, at0 + at, 4, big).cast("double")
-    over = lambda v, d: F.when(d != 0, v / d)
-    #: With a common denominator numbers follow each other, else each is followed by its own.
-    fraction = lambda k, sign: F.when(common, over(number(F.lit(9 + 4 * k) if isinstance(k, int) else k * 4 + 9, sign), u(5).cast("double"))).otherwise(over(number(F.lit(5 + 8 * k) if isinstance(k, int) else k * 8 + 5, sign), u((F.lit(9 + 8 * k) if isinstance(k, int) else k * 8 + 9)).cast("double")))
-    size = F.when(common, 9 + 4 * (channels * 5 + 2)).otherwise(5 + 8 * (channels * 5 + 2))
-    found = {"version": F.format_string("ISO 21496-1 v%d / v%d", u(0, 2), u(2, 2)), "base_colours": has(BASE_COLOURS), "base_headroom": fraction(0, False), "alternate_headroom": fraction(1, False)}
-    for p, (name, sign) in enumerate(PARTS):
-        found[name] = F.transform(F.array(*[F.lit(c) for c in range(3)]), lambda c: fraction(F.when(channels == 3, c).otherwise(0) * 5 + 2 + p, sign))  # noqa: B023
-    short = data.isNull() | flags.isNull()
-    error = F.when(short, "not enough data").when(u(0, 2) > 0, F.concat(F.lit("version "), u(0, 2).cast("string"))).when(at0 + size > F.length(data), "not enough data")
-    return _record(_turned(found, has(BACKWARD)), error)
+
+    def read(data: Column, at0: Column) -> Column:
+        u = lambda at, size: unsigned(data, at0 + at, size, big)
+        #: All numbers of four bytes after the flags, at most two headrooms and five parts of three channels with a denominator each.
+        most = 2 * (2 + 3 * len(PARTS))
+        words = F.transform(F.sequence(F.lit(0), F.least(F.floor((F.length(data) - at0 - 5) / 4), F.lit(most)).cast("int")), lambda k: u(k * 4 + 5, 4))
+        return held(F.struct(u(0, 2).alias("version"), u(2, 2).alias("writer"), u(4, 1).alias("flags"), F.when(F.length(data) - at0 > 8, words).alias("words")), lambda h: record(data, at0, h))
+
+    def record(data: Column, at0: Column, h: Column) -> Column:
+        has = lambda bit: h["flags"].bitwiseAND(bit) != 0
+        return held(F.struct(has(COMMON_DENOMINATOR).alias("common"), F.when(has(THREE_CHANNELS), 3).otherwise(1).alias("channels")), lambda form: parts(data, at0, h, has, form))
+
+    def parts(data: Column, at0: Column, h: Column, has, form: Column) -> Column:
+        over = lambda v, d: F.when(d != 0, v / d)
+        word = lambda k: F.get(h["words"], k).cast("double")
+        signed = lambda v, sign: held(v, lambda v: F.when(v >= 2.0**31, v - 2.0**32).otherwise(v)) if sign else v
+        #: With a common denominator numbers follow each other, else each is followed by its own.
+        fraction = lambda k, sign: F.when(form["common"], over(signed(word(k + 1), sign), word(F.lit(0)))).otherwise(over(signed(word(k * 2), sign), word(k * 2 + 1)))
+        size = F.when(form["common"], 9 + 4 * (form["channels"] * 5 + 2)).otherwise(5 + 8 * (form["channels"] * 5 + 2))
+        found = {"version": F.format_string("ISO 21496-1 v%d / v%d", h["version"], h["writer"]), "base_colours": has(BASE_COLOURS), "base_headroom": fraction(F.lit(0), False), "alternate_headroom": fraction(F.lit(1), False)}
+        for p, (name, sign) in enumerate(PARTS):
+            found[name] = F.transform(F.array(*[F.lit(c) for c in range(3)]), lambda c: fraction(F.when(form["channels"] == 3, c).otherwise(0) * 5 + 2 + p, sign))  # noqa: B023
+        short = data.isNull() | h["flags"].isNull()
+        error = F.when(short, "not enough data").when(h["version"] > 0, F.concat(F.lit("version "), h["version"].cast("string"))).when(at0 + size > F.length(data), "not enough data")
+        return held(error, lambda error: _record(_turned(found, has(BACKWARD)), error))
+
+    return held(data, lambda data: held(F.when(F.length(data).isin(62, 142), 1).otherwise(0).cast("bigint"), lambda at0: read(data, at0)))
 
 
 def packed_gain_map(headrooms: list[Column], channels: list[list[Column]], denominator: int, flags: Column, common: bool) -> Column:

@@ -38,6 +38,11 @@ def test_records(spark):
     assert all(g.gamma is None and g.version is None for g in got[15:])
 
 
+def test_a_record_is_read_once(spark):
+    rows = spark.range(3).select(F.hex("id").cast("binary").alias("d")).select(gainmap.iso_gain_map(F.col("d")).alias("g"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("conv(") < 20
+
+
 HEAD = '<x:xmpmeta xmlns:x="adobe:ns:meta/" xmlns:rdf="http://r" xmlns:dc="http://dc" xmlns:xmp="http://xmp" xmlns:st="http://st" xmlns:hdrgm="http://g" xmlns:tiff="http://t"><rdf:RDF>'
 TAIL = "</rdf:RDF></x:xmpmeta>"
 PACKETS = [
