@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import color as C
+from .binary import held
 from .color import RGB, lit
 
 # Scalings of decoded samples (0 to 1).
@@ -108,11 +109,18 @@ def to_half(v: Column, half_up: bool = False) -> Column:
 
 def unpack_bits(data: Column, width: int, signed: bool = False) -> Column:
     """array<bigint> of the fields of width bits, most significant bit first, of up to 62 bits; a rest is left out."""
-    digits = F.array_join(F.transform(F.sequence(F.lit(1), F.length(data)), lambda k: F.lpad(F.conv(F.hex(F.substring(data, k, F.lit(1))), 16, 2), 8, "0")), "")
-    n = F.floor(F.length(data) * 8 / width).cast("int")
-    field = lambda k: F.conv(F.substring(digits, (k * width + 1).cast("int"), F.lit(width)), 2, 10).cast("bigint")
-    value = (lambda k: F.when(field(k) >= 1 << width - 1, field(k) - (1 << width)).otherwise(field(k))) if signed else field
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), value)).otherwise(F.array().cast("array<bigint>"))
+    bits = F.length(data) * 8
+
+    def part(start: Column, n: int) -> Column:
+        """n bits, up to 48 as they lie in 7 bytes at most, from the bytes that hold them."""
+        first, last = F.shiftright(start, 3), F.shiftright(start + n - 1, 3)
+        whole = F.conv(F.hex(F.substring(data, first + 1, last - first + 1)), 16, 10).cast("bigint")
+        return F.call_function("shiftright", whole, (last + 1) * 8 - start - n).bitwiseAND(F.lit((1 << n) - 1).cast("bigint"))
+
+    low = width - 48 if width > 48 else 0
+    field = lambda start: F.shiftleft(part(start, 48), low).bitwiseOR(part(start + 48, low)) if low else part(start, width)
+    value = (lambda v: held(v, lambda v: F.when(v >= 1 << width - 1, v - (1 << width)).otherwise(v))) if signed else (lambda v: v)
+    return F.when(bits >= width, F.transform(F.sequence(F.lit(0), bits - width, F.lit(width)), lambda start: value(field(start)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def four_cc(text: Column) -> Column:

@@ -339,7 +339,8 @@ def text_and_sizes(spark, sf_dir):
 def unpacked_bits(spark, sf_dir):
     data = F.encode("props", "UTF-8")
     shown = lambda fields: F.array_join(F.transform(fields, lambda v: v.cast("string")), ",")
-    return V.table(spark, sf_dir, "events").select("event_id", shown(E.unpack_bits(data, 12)).alias("fields"), shown(E.unpack_bits(data, 12, signed=True)).alias("signed"))
+    events = V.spread(V.table(spark, sf_dir, "events").select("event_id", "props"), "event_id")
+    return events.select("event_id", shown(E.unpack_bits(data, 12)).alias("fields"), shown(E.unpack_bits(data, 12, signed=True)).alias("signed"))
 
 
 UNIT = "pow(2, greatest(floor(ln(greatest(abs(v), 5e-8)) / ln(CAST(2 AS DOUBLE)) + 1e-12), -14) - 10)"

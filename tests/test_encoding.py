@@ -32,6 +32,17 @@ def test_bit_fields(spark, width):
     assert one(spark, E.unpack_bits(F.lit(b""), width)) == []
 
 
+@pytest.mark.parametrize("width", [7, 12, 48, 49, 57])
+def test_bit_fields_look_at_their_own_bytes(spark, width):
+    data = bytes(np.random.default_rng(width).integers(0, 256, 200, dtype=np.uint8))
+    bits = "".join(f"{b:08b}" for b in data)
+    fields = E.unpack_bits(F.col("d"), width)
+    rows = spark.createDataFrame([(bytearray(data),), (bytearray(b"\xff" * 20),), (None,)], "d binary").select(fields.alias("v"))
+    assert "array_join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = [r.v for r in rows.collect()]
+    assert got == [[int(bits[k : k + width], 2) for k in range(0, len(bits) - width + 1, width)], [(1 << width) - 1] * (160 // width), []]
+
+
 def test_sizes_and_texts(spark):
     assert one(spark, E.positive_product(F.lit(3), F.lit(4))) == 12
     with pytest.raises(Exception, match="negative size"):
