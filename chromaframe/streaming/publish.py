@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: The state store that streams with several states for a group need.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Identifiers whose waiting rows lie in one entry of the state, as each look at it is a call out of the worker.
+BLOCK = 128
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -39,32 +41,42 @@ def _processor(by: list[str], ident: str, first: int, schema: T.StructType):
     class Publish(StatefulProcessor):
         def init(self, handle) -> None:
             self.due = handle.getValueState("due", "id long")
-            self.waiting = handle.getMapState("waiting", "id long", T.StructType([*others, T.StructField("_there", T.BooleanType())]))
+            kept = T.StructType([T.StructField("_id", T.LongType()), *others])
+            self.waiting = handle.getMapState("waiting", "block long", T.StructType([T.StructField("rows", T.ArrayType(kept))]))
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             due = self.due.get()[0] if self.due.exists() else first
-            came: dict[int, tuple] = {}
+            blocks: dict[int, dict[int, tuple]] = {}
+            before: dict[int, int] = {}
+            some = self.waiting.exists()
+
+            def block(i: int) -> dict[int, tuple]:
+                """Waiting rows by identifier."""
+                b = i // BLOCK
+                if b not in blocks:
+                    there = some and self.waiting.containsKey((b,))
+                    blocks[b] = {r[0]: tuple(r)[1:] for r in self.waiting.getValue((b,))[0]} if there else {}
+                    before[b] = len(blocks[b])
+                return blocks[b]
+
+            changed = set()
             for frame in rows:
                 cells = frame[names].astype(object).where(frame[names].notna(), None)
                 own = zip(*[cells[c].tolist() for c in names], strict=True) if names else [()] * len(frame)
                 for i, row in zip(frame[ident].tolist(), own, strict=True):
-                    if i >= due:
-                        came.setdefault(i, row)
+                    if i >= due and i not in block(i):
+                        block(i)[i] = row
+                        changed.add(i // BLOCK)
             out = []
-            while True:
-                if self.waiting.exists() and self.waiting.containsKey((due,)):
-                    row = tuple(self.waiting.getValue((due,)))[:-1]
-                    self.waiting.removeKey((due,))
-                    came.pop(due, None)
-                elif due in came:
-                    row = came.pop(due)
-                else:
-                    break
-                out.append((due, row))
+            while due in block(due):
+                out.append((due, block(due).pop(due)))
+                changed.add(due // BLOCK)
                 due += 1
-            for i, row in came.items():
-                if not self.waiting.containsKey((i,)):
-                    self.waiting.updateValue((i,), (*row, True))
+            for b in changed:
+                if blocks[b]:
+                    self.waiting.updateValue((b,), ([(i, *row) for i, row in blocks[b].items()],))
+                elif before[b]:
+                    self.waiting.removeKey((b,))
             self.due.update((due,))
             if out:
                 columns = {c: [k] * len(out) for c, k in zip(by, key, strict=True)} | {ident: [i for i, _ in out]}

@@ -1,6 +1,7 @@
 import random
 
 from chromaframe.operators.catalog import contiguous_prefix
+from chromaframe.streaming import publish
 from chromaframe.streaming.publish import published
 
 FIELDS = "kind string, load_id long, name string, size double"
@@ -33,3 +34,15 @@ def test_stream_is_the_prefix_after_every_batch(spark, tmp_path):
         want = contiguous_prefix(arrived, ["kind"], "load_id").alias("p").join(least.alias("l"), least["kind"].eqNullSafe(arrived["kind"]), "left_semi")
         assert out == sorted(map(repr, want.select("p.*").collect()))
     assert sum("'a'" in r for r in out) == 33 and not any("'d'" in r for r in out)
+
+
+def test_waiting_rows_share_entries_of_the_state(spark, tmp_path):
+    """Rows that come backward, over several batches: an entry holds many, and none is left or lost."""
+    n = 5 * publish.BLOCK + 3
+    for k in range(4):
+        spark.range(n).where(f"pmod(id, 4) = {3 - k}").selectExpr("'a' AS kind", "id AS load_id", "concat('n', id) AS name", "id / 2 AS size").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(FIELDS).parquet(str(tmp_path / "in"))
+        published(stream, ["kind"], "load_id").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "progress"))
+        assert state.count() == (5, 6, 6, 0)[k]
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", i, f"n{i}", i / 2) for i in range(n)]
