@@ -16,8 +16,10 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
 
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """8 x 8 single-channel images: image_id, x, y, channel, value."""
-    at = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("pos", "v"))
+    """8 x 8 single-channel images: image_id, x, y, channel, value. Samples that a vector lacks are null."""
+    v = F.col("embedding")
+    padded = F.slice(F.concat(F.coalesce(v, F.array().cast("array<float>")), F.array_repeat(F.lit(None).cast("float"), 64)), 1, 64)
+    at = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode(F.when(F.size(v) == 64, v).otherwise(padded)).alias("pos", "v"))
     return at.select("image_id", (F.col("pos") % 8).cast("int").alias("x"), F.floor(F.col("pos") / 8).cast("int").alias("y"), F.lit("L").alias("channel"), F.col("v").cast("double").alias("value"))
 
 
@@ -26,7 +28,7 @@ def rgba(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, k = F.col("value"), F.col("image_id") % 4
     rows = px(spark, sf_dir)
     pick = lambda n: F.max(F.when(k == n, F.abs(v)))
-    return rows.groupBy(F.floor(F.col("image_id") / 4).cast("long").alias("image_id"), "x", "y").agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), F.least(2.0 * pick(3), F.lit(1.0)).alias("a"))
+    return rows.groupBy(F.expr("image_id div 4").alias("image_id"), "x", "y").agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"), F.least(2.0 * pick(3), F.lit(1.0)).alias("a"))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
