@@ -9,9 +9,9 @@ order. Packets for an image that is not there have no effect, nor on focus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,44 +75,57 @@ def focused(packets: DataFrame, by: list[str] | None = None, image: str = "image
 
 def drawn_stream(packets: DataFrame, image: str = "image", order: str = "seq") -> DataFrame:
     """image, seq and commands of each image that packets of a batch have changed, after the batch: all that it bears, null once it
-    is not there. Packets of one image must come in order over batches; in a batch they are ordered."""
+    is not there. Packets of one image must come in order over batches; in a batch they are ordered.
+
+    Commands go through the state as text, an entry for each packet, as nested values are slow to pass to Python and back."""
     use_state_store(packets.sparkSession)
     rows = _marked(packets, image, order)
     kind = rows.schema["commands"].dataType
-    return rows.groupBy("image").transformWithStateInPandas(_processor(kind), T.StructType([rows.schema["image"], T.StructField("seq", T.LongType()), T.StructField("commands", kind)]), "Update", "none")
+    text = F.to_json(F.col("commands").cast(_wide(kind)))
+    mark = F.when(F.col("begins"), _BEGUN).when(F.col("ends"), _ENDED).when(F.col("empties"), _EMPTIED).otherwise(0)
+    out = T.StructType([rows.schema["image"], T.StructField("seq", T.LongType()), T.StructField("text", T.StringType())])
+    borne = rows.select("image", "seq", mark.alias("mark"), text.alias("text")).groupBy("image").transformWithState(_processor(), out, "Update", "none")
+    return borne.select("image", "seq", F.from_json("text", _wide(kind)).cast(kind).alias("commands"))
 
 
-def _plain(value: object) -> object:
-    """Arrays come as numpy's and are kept as lists."""
-    return value.tolist() if hasattr(value, "tolist") else value
+#: What a packet does to an image, besides its commands.
+_BEGUN, _ENDED, _EMPTIED = 1, 2, 3
 
 
-def _processor(kind: T.ArrayType):
-    from pyspark.sql.streaming import StatefulProcessor
+def _wide(kind: T.DataType) -> T.DataType:
+    """The type with doubles for floats, whose text is read back as the same number."""
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_wide(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _wide(f.dataType), f.nullable) for f in kind.fields])
+    return T.DoubleType() if isinstance(kind, T.FloatType) else kind
 
-    fields = kind.elementType.names
+
+def _processor():
+    from pyspark.sql.streaming import StatefulProcessor
 
     class Draw(StatefulProcessor):
         def init(self, handle) -> None:
-            self.there = handle.getValueState("there", "yes boolean")
-            self.commands = handle.getListState("commands", kind.elementType)
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            own = pd.concat(list(rows)).sort_values("seq")
-            there, new, clear = self.there.exists(), [], False
-            for begins, ends, empties, commands in zip(*[own[c].tolist() for c in ("begins", "ends", "empties", "commands")], strict=True):
-                there = begins or (there and not ends)
-                if begins or ends or (there and empties):
+            #: Of an image that is there an empty text, and after it the commands of each packet.
+            self.borne = handle.getListState("borne", "text string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+            before = [text for (text,) in self.borne.get()]
+            there, new, clear, last = bool(before), [], False, None
+            for last, mark, text in sorted(((r.seq, r.mark, r.text) for r in rows), key=itemgetter(0)):
+                there = mark == _BEGUN or (there and mark != _ENDED)
+                if mark in (_BEGUN, _ENDED) or (there and mark == _EMPTIED):
                     new, clear = [], True
-                if there and commands is not None:
-                    new += [tuple(_plain(c[f]) for f in fields) for c in commands]
-            if clear:
-                self.commands.clear()
-            if new:
-                self.commands.appendList(new)
-            self.there.update((True,)) if there else self.there.clear()
-            all_ = [dict(zip(fields, c, strict=True)) for c in self.commands.get()] if there and self.commands.exists() else [] if there else None
-            yield pd.DataFrame({"image": [key[0]], "seq": [int(own["seq"].max())], "commands": [all_]})
+                if there and text is not None and text != "[]":
+                    new.append(text)
+            if clear and there:
+                self.borne.put([("",), *[(text,) for text in new]])
+            elif clear and before:
+                self.borne.clear()
+            elif new:
+                self.borne.appendList([(text,) for text in new])
+            all_ = new if clear else before[1:] + new
+            yield Row(image=key[0], seq=last, text="[" + ",".join(text[1:-1] for text in all_) + "]" if there else None)
 
         def close(self) -> None:
             pass

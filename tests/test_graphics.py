@@ -1,5 +1,6 @@
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from chromaframe.streaming import graphics as G
@@ -79,3 +80,43 @@ def test_from_bytes(spark):
     df = P.decode_packets(spark.createDataFrame([(k, bytearray(p)) for k, p in enumerate(sent)], "seq long, payload binary"))
     assert [(r.seq, r.position, r.command.op) for r in G.drawn(df).orderBy("seq", "position").collect()] == [(3, 0, 12), (3, 1, 23), (4, 0, 12)]
     assert [r.selected for r in G.focused(df).collect()] == ["x"]
+
+
+def test_stream_keeps_odd_commands(spark, tmp_path):
+    odd = [(None, [0.1, 1e-45, 3.4028235e38, float("inf"), -0.0], 'a "b", [c]\n\t\\ \x01 é 😀'), (1, [], ""), (None, None, None), (2, [None, 16777216.0], "]")]
+    for n, rows in enumerate(([(0, 0, "a", P.CREATE, None, None, None), (1, 0, "a", P.VECTOR, True, None, odd[:2]), (2, 0, "a", P.VECTOR, True, None, [])], [(3, 0, "a", P.VECTOR, True, None, odd[2:]), (4, 0, "b", P.CLOSE, None, None, None)])):
+        frame(spark, rows).write.mode("append").parquet(str(tmp_path / "in"))
+        got = []
+        stream = G.drawn_stream(spark.readStream.schema(FIELDS).parquet(str(tmp_path / "in")))
+        stream.writeStream.foreachBatch(lambda batch, _, got=got: got.extend(batch.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start().awaitTermination()
+        assert {r.image for r in got} == ({"a", "b"} if n else {"a"})
+    want = [tuple(r) for r in spark.createDataFrame([(odd,)], "commands array<struct<op:int,args:array<float>,text:string>>").first()[0]]
+    assert {r.image: r.commands and [tuple(c) for c in r.commands] for r in got} == {"a": want, "b": None}
+    assert repr(got[[r.image for r in got].index("a")].commands[0].args) == repr(want[0][1])
+
+
+def test_stream_asks_the_state_seldom():
+    asked = []
+
+    class Kept:
+        held = []
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return {"get": lambda: iter(self.held), "put": self.put_, "appendList": lambda v: self.held.extend(v)}[name]
+
+        def put_(self, rows):
+            self.held = rows
+
+    class Handle:
+        def getListState(self, *_):
+            return Kept()
+
+        getValueState = getListState
+
+    draw = G._processor()
+    draw.init(Handle())
+    row = lambda seq, mark, text=None: Row(seq=seq, mark=mark, text=text)
+    assert [tuple(r) for r in draw.handleInputRows(("a",), iter([row(2, 0, '[{"op":1}]'), row(1, G._BEGUN)]), None)] == [("a", 2, '[{"op":1}]')]
+    assert [tuple(r) for r in draw.handleInputRows(("a",), iter([row(3, 0, '[{"op":2},{"op":3}]')]), None)] == [("a", 3, '[{"op":1},{"op":2},{"op":3}]')]
+    assert asked == ["get", "put", "get", "appendList"]
