@@ -168,6 +168,9 @@ def attribute_rows(entries: DataFrame, key: str) -> DataFrame:
 
 def picture_rows(entries: DataFrame, key: str) -> DataFrame:
     """key, orientation (1 to 8, else 0) and force_srgb, from directory_rows(): what the first directory says."""
-    first = lambda tag: F.max(F.when((F.col("path") == "0") & (F.col("tag") == tag) & (F.col("type") == 3), F.col("numbers")[0]))
-    out = entries.groupBy(key).agg(first(ORIENTATION).alias("o"), first(COLOR_SPACE).alias("c"))
+    counts = (F.col("path") == "0") & F.col("tag").isin(ORIENTATION, COLOR_SPACE) & (F.col("type") == 3)
+    # Looked at once, the numbers are read of these entries alone.
+    said = entries.select(key, "tag", F.when(counts, F.col("numbers")[0]).alias("said"))
+    first = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("said")))
+    out = said.groupBy(key).agg(first(ORIENTATION).alias("o"), first(COLOR_SPACE).alias("c"))
     return out.select(key, F.when(F.col("o").between(1, 8), F.col("o").cast("int")).otherwise(0).alias("orientation"), F.coalesce(F.col("c") == 1, F.lit(False)).alias("force_srgb"))

@@ -133,3 +133,9 @@ def test_a_block_is_walked_once(spark):
 
 def test_narrow_rows_are_spread(spark, sf_dir):
     assert metadata.tagged_blocks(spark, sf_dir).rdd.getNumPartitions() > 1
+
+
+def test_picture_reads_the_numbers_of_few_entries(spark):
+    entries = ifd.directory_rows(spark.createDataFrame([(1, bytearray(next(iter(blocks()))))], "id int, block binary"), "id", "block")
+    plan = ifd.picture_rows(entries, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS said#" in plan and "AS numbers#" not in plan
