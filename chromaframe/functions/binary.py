@@ -35,8 +35,22 @@ def unsigned(data: Column, at: Column, size: int, little: Column) -> Column:
     return held(at, read)
 
 
+def big(data: Column) -> Column:
+    """The number of up to 7 bytes, high ones first, as bigint."""
+    return F.conv(F.hex(data), 16, 10).cast("bigint")
+
+
+def turned(data: Column) -> Column:
+    """Bytes from last to first."""
+    return F.encode(F.reverse(F.decode(data, "ISO-8859-1")), "ISO-8859-1")
+
+
+def as_signed(v: Column, size: int) -> Column:
+    return F.when(v >= 1 << (8 * size - 1), v - (1 << 8 * size)).otherwise(v)
+
+
 def signed(data: Column, at: Column, size: int, little: Column) -> Column:
-    return held(unsigned(data, at, size, little), lambda v: F.when(v >= 1 << (8 * size - 1), v - (1 << 8 * size)).otherwise(v))
+    return held(unsigned(data, at, size, little), lambda v: as_signed(v, size))
 
 
 def _floating(negative: Column, exponent: Column, fraction: Column, bias: int, top: int) -> Column:
@@ -46,17 +60,23 @@ def _floating(negative: Column, exponent: Column, fraction: Column, bias: int, t
     return F.when(negative, -size).otherwise(size)
 
 
+def as_float32(v: Column) -> Column:
+    return _floating(v >= 1 << 31, F.floor(v / (1 << 23)) % 256, (v % (1 << 23)) / lit(2.0**23), 127, 255)
+
+
 def float32(data: Column, at: Column, little: Column) -> Column:
-    return held(unsigned(data, at, 4, little), lambda v: _floating(v >= 1 << 31, F.floor(v / (1 << 23)) % 256, (v % (1 << 23)) / lit(2.0**23), 127, 255))
+    return held(unsigned(data, at, 4, little), as_float32)
 
 
-def float64(data: Column, at: Column, little: Column) -> Column:
-    def value(words: Column) -> Column:
-        high, low = F.when(little, words["second"]).otherwise(words["first"]), F.when(little, words["first"]).otherwise(words["second"])
-        fraction = ((high % (1 << 20)) * lit(2.0**32) + low) / lit(2.0**52)
-        return _floating(high >= 1 << 31, F.floor(high / (1 << 20)) % 2048, fraction, 1023, 2047)
+def as_float64(first: Column, second: Column, little: Column) -> Column:
+    """Of two numbers of 4 bytes, as they follow each other in the block."""
+    high, low = F.when(little, second).otherwise(first), F.when(little, first).otherwise(second)
+    fraction = ((high % (1 << 20)) * lit(2.0**32) + low) / lit(2.0**52)
+    return _floating(high >= 1 << 31, F.floor(high / (1 << 20)) % 2048, fraction, 1023, 2047)
 
-    return held(F.struct(unsigned(data, at, 4, little).alias("first"), unsigned(data, at + 4, 4, little).alias("second")), value)
+
+def float64(data: Column, at: Column, little: Column) -> Column:
+    return held(F.struct(unsigned(data, at, 4, little).alias("first"), unsigned(data, at + 4, 4, little).alias("second")), lambda words: as_float64(words["first"], words["second"], little))
 
 
 def packed(value: Column, size: int, little: Column) -> Column:

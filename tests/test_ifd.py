@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import struct
 
 from pyspark.sql import functions as F
@@ -139,3 +140,35 @@ def test_picture_reads_the_numbers_of_few_entries(spark):
     entries = ifd.directory_rows(spark.createDataFrame([(1, bytearray(next(iter(blocks()))))], "id int, block binary"), "id", "block")
     plan = ifd.picture_rows(entries, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "AS said#" in plan and "AS numbers#" not in plan
+
+
+def test_entries_are_read_in_compiled_code(spark):
+    """Java never compiles a method of more than 8000 bytes, so each row would be interpreted."""
+    blocks = spark.range(3).select("id", F.unhex(F.concat(F.lit("49492A00080000000000"), F.hex("id"))).alias("block"))
+    rows = ifd.attribute_rows(ifd.directory_rows(blocks, "id", "block"), "id")
+    shown = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_pointers_that_come_twice(spark):
+    """Two directories of one path: of a tag in both the later position counts, equal positions stay."""
+    for order in "<>":
+        short = lambda v, order=order: struct.pack(order + "H", v)
+        main = [(0x8769, 4, 1, 1), (0x8769, 4, 1, 2)]
+        one = [(0x0112, 3, 1, short(1)), (0x0103, 3, 1, short(2)), (0x0101, 3, 1, short(3))]
+        two = [(0x0103, 3, 1, short(4)), (0x0112, 3, 1, short(5)), (0x0101, 3, 1, short(6))]
+        rows = ifd.directory_rows(spark.createDataFrame([(1, bytearray(tiff([main, one, two], order)))], "id int, block binary"), "id", "block").collect()
+        got = sorted((r.path, r.tag, r.position, r.numbers[0]) for r in rows if r.path != "0")
+        assert got == [("0/EXIF", 0x0101, 2, 3.0), ("0/EXIF", 0x0101, 2, 6.0), ("0/EXIF", 0x0103, 1, 2.0), ("0/EXIF", 0x0112, 1, 5.0)]
+        assert [(r.tag, r.position) for r in rows if r.path == "0"] == [(0x8769, 1)]
+
+
+def test_entries_are_not_compared_with_each_other(spark):
+    """A long directory: work that grows with the square of its entries would not end soon."""
+    tags = [k * 7 % 4001 + 1 for k in range(4500)]
+    block = tiff([[(tag, 3, 1, struct.pack("<H", k)) for k, tag in enumerate(tags)]])
+    rows = ifd.directory_rows(spark.createDataFrame([(1, bytearray(block))], "id int, block binary"), "id", "block")
+    # The walk looks for a directory among those met, once for the error and once for its text.
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("exists(") == 2
+    assert {(r.path, r.tag): r.numbers for r in rows.collect()} == plain(block)[0]
